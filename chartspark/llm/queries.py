@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspark.llm import chat_format, topk_search, url_filter
+from chartspark.llm import chat_format, decontaminate, jaccard_join, quality_gam, style_tree, substring_dedup, suffix_dedup, tokens, topk_search, url_filter, vector_packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+#: Tokens, segments and loss-bearing tokens of a sequence.
+PACK_LIMITS = (1024, 256, 1024)
+
+
+def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_gam.train(documents, table(spark, sf_dir, "labels"))
+    out = quality_gam.scored(documents.select("doc_id", "text"), model).select("carried.doc_id", "score").select("doc_id", quality_gam.is_held_out().alias("held_out"), "score")
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"), size=50)
+
+
+def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack(table(spark, sf_dir, "documents"), tokens.byte_bpe(tokenizer_file()), PACK_LIMITS)
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked_components(table(spark, sf_dir, "documents"), n=5, percent=75)
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), size=50))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
+def op9_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), "page_id")
 
@@ -31,12 +74,68 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_gam": op1_quality_gam,
     "op2_url_filter": op2_url_filter,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_vector_packing": op4_vector_packing,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_exact_topk": op6_exact_topk,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_style_tree": op9_style_tree,
     "op10_chat_format": op10_chat_format,
 }
 
+_WINDOWS = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS h FROM p),
+low AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY h) AS low FROM h),
+hit AS (SELECT * FROM low WHERE low < doc_id)"""
+
 SQL: dict[str, str] = {
+    "op3_suffix_dedup": _WINDOWS + """,
+g AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 50 THEN 0 ELSE 1 END AS fresh FROM hit),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM g)
+SELECT doc_id, min(s) - 1 AS start_word, max(s) + 50 - min(s) AS n_words, min(low) AS match_doc_id FROM i GROUP BY doc_id, island""",
+    "op5_jaccard_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(g, ' ')) AS g FROM (
+    SELECT doc_id, w[s:s + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM d WHERE len(w) > 0))),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+l AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id
+  JOIN n u ON u.doc_id = x.doc_id JOIN n v ON v.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id HAVING 100 * count(*) >= 75 * (any_value(u.n) + any_value(v.n) - count(*))),
+r AS (SELECT doc_id, doc_id AS reach FROM documents UNION SELECT l.a, r.reach FROM r JOIN l ON l.b = r.doc_id),
+c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op7_substring_dedup": _WINDOWS + """,
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM hit),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+k AS (
+  SELECT x.doc_id, count(*) AS n_words, count(gone.i) AS n_removed, string_agg(CASE WHEN gone.i IS NULL THEN word END, ' ' ORDER BY x.i) AS kept
+  FROM x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.i = x.i GROUP BY x.doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN k USING (doc_id)""",
+    "op8_decontaminate": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[s:s + 12], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)),
+m AS (SELECT DISTINCT doc_id, s, dw.n, item_id FROM dw JOIN bw ON bw.n = dw.n AND bw.g = dw.g),
+hit AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS i FROM m) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM m) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
     "op2_url_filter": """
 WITH u AS (
   SELECT page_id,
