@@ -10,8 +10,8 @@
 3. In each block a signature tree gives pairs that may link, enough to connect all that could be
    connected (``signature_tree``).
 4. These pairs are checked exactly, on whole sets. Blocks with a pair that failed are taken again,
-   with the links found so far as components and the failed pair barred, until none fails. Then
-   every pair that links is connected through checked links.
+   with the links found so far as components: members that may still link across components are
+   compared there on whole sets. Then every pair that links is connected through checked links.
 5. Components by large-star and small-star; the smallest doc_id of each names it.
 
 Defined results: a text without words, or null, has an empty set and links with nothing; a text
@@ -154,46 +154,66 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([signed(np.repeat(members, count)[many]), pa.array(token[many]), pa.array(node[many]), pa.array(size[many])], names=["members", "token", "node", "n"])
 
 
-def _pairs(percent: int, forests: int):
-    """Pairs that may link, by block; rows with n = -1 are pairs (node, other) known not to link.
+def _per_block(batches: Iterator[pa.RecordBatch], rows_of_block, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of integers from each block of rows sorted by token."""
+    for t in _groups(batches, "token"):
+        token = t.column("token").to_numpy()
+        begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        out: list[tuple] = []
+        for at, end in zip(begin, np.r_[begin[1:], len(token)], strict=True):
+            g = t.slice(at, end - at)
+            out += rows_of_block(int(token[at]), g.column("node").to_numpy(), g.column("n").to_numpy().astype(np.int64), g)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+
+
+def _labels(g: pa.Table) -> np.ndarray:
+    return np.unique(g.column("root").to_numpy(), return_inverse=True)[1]
+
+
+def _narrow(g: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x, U) for x in g.column("bits").to_pylist()]
+
+
+def _candidates(percent: int):
+    """Pairs that may link by their bitmaps, and connect all that may be connected."""
+
+    def block(token, node, size, g):
+        found = st.Block(_narrow(g), size, np.arange(len(node)), percent).spanning()
+        return [(token, *sorted((int(node[i]), int(node[j])))) for i, j in found]
+
+    return lambda it: _per_block(it, block, ["token", "u", "v"])
+
+
+def _involved(percent: int):
+    """Members that may link with a member of another component."""
+
+    def block(token, node, size, g):
+        return [(token, int(node[i]), int(size[i])) for i in st.Block(_narrow(g), size, _labels(g), percent).involved()]
 
-    Each block gives up to ``forests`` edge-disjoint forests, so that a few failed pairs more do
-    not cost a round more.
-    """
+    return lambda it: _per_block(it, block, ["token", "node", "n"])
+
+
+def _settled(percent: int):
+    """Links between components, by whole sets; wide bitmaps spare most comparisons."""
+
+    def block(token, node, size, g):
+        sets = [np.frombuffer(x, U) for x in g.column("set").to_pylist()]
+        bits = [st.bitmap(s, st.WIDE * st.width_of(len(s))) for s in sets]
+
+        def check(i: int, j: int) -> bool:
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            return 100 * both >= percent * (size[i] + size[j] - both)
+
+        return [(int(node[i]), int(node[j])) for i, j in st.Block(bits, size, _labels(g), percent).spanning(check)]
+
+    return lambda it: _per_block(it, block, ["u", "v"])
+
+
+def _sets(wanted: DataFrame, docs: DataFrame, place: DataFrame, n: int) -> DataFrame:
+    """``node, set`` of the nodes of ``wanted``, from their texts. ``place``: node, doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, "token"):
-            token = t.column("token").to_numpy()
-            begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            out: list[tuple[int, int, int]] = []
-            for at, end in zip(begin, np.r_[begin[1:], len(token)], strict=True):
-                g = t.slice(at, end - at)
-                size = g.column("n").to_numpy()
-                failed = int(np.searchsorted(size, 0))
-                node = g.column("node").to_numpy()[failed:]
-                order = np.argsort(node)
-                barred = np.zeros(0, np.int64)
-                if failed:
-                    a, b = (order[np.searchsorted(node[order], g.column(c).to_numpy()[:failed])] for c in ("node", "other"))
-                    barred = np.minimum(a, b) * len(node) + np.maximum(a, b)
-                _, label = np.unique(g.column("root").to_numpy()[failed:], return_inverse=True)
-                bits = [np.frombuffer(x, U) for x in g.column("bits").to_pylist()[failed:]]
-                for _ in range(forests):
-                    found = st.may_link(bits, size[failed:].astype(np.int64), label, barred, percent)
-                    if not found:
-                        break
-                    out += [(int(token[at]), *sorted((int(node[i]), int(node[j])))) for i, j in found]
-                    barred = np.concatenate([barred, [min(p) * len(node) + max(p) for p in found]])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["token", "u", "v"])
-
-    return run
-
-
-def _checked(pairs: DataFrame, docs: DataFrame, place: DataFrame, n: int, percent: int) -> DataFrame:
-    """``u, v, linked`` of distinct ``pairs``, on whole sets. ``place``: node, doc_id."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(fold=True)
         for batch in batches:
             for part in slices(batch, "text"):
@@ -202,6 +222,13 @@ def _checked(pairs: DataFrame, docs: DataFrame, place: DataFrame, n: int, percen
                 keep = [i for i, (s, node) in enumerate(zip(own, part.column("node").to_pylist(), strict=True)) if len(s) and node_of(s) == node]
                 yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(keep, pa.int64())), pa.array([own[i].tobytes() for i in keep], pa.binary())], names=["node", "set"])
 
+    texts = docs.join(written(wanted.join(place, "node"), "wanted"), "doc_id").select("node", "text")
+    return written(texts.mapInArrow(run, "node long, set binary").dropDuplicates(["node"]), "sets")
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``u, v, linked`` of distinct ``pairs``, on whole sets."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             linked = []
@@ -211,11 +238,12 @@ def _checked(pairs: DataFrame, docs: DataFrame, place: DataFrame, n: int, percen
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(linked, pa.bool_())], names=["u", "v", "linked"])
 
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(place, "node")
-    texts = docs.join(written(wanted, "wanted"), "doc_id").select("node", "text")
-    found = written(texts.mapInArrow(sets, "node long, set binary"), "sets")
-    both = pairs.join(found.select(F.col("node").alias("u"), F.col("set").alias("x")), "u").join(found.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
-    return both.select("u", "v", "x", "y").mapInArrow(compare, "u long, v long, linked boolean").distinct()
+    x, y = (sets.select(F.col("node").alias(k), F.col("set").alias(s)) for k, s in (("u", "x"), ("v", "y")))
+    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(compare, "u long, v long, linked boolean")
+
+
+def _by_token(rows: DataFrame) -> DataFrame:
+    return rows.repartition("token").sortWithinPartitions("token", "n", "node")
 
 
 def linked_components(documents: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
@@ -231,39 +259,27 @@ def linked_components(documents: DataFrame, n: int = 5, percent: int = 75) -> Da
     blocks = members.join(first, ["members", "token"]).select("token", "node", "n")
     blocks = written(blocks.join(bits, "node").select("token", "node", "n", "bits"), "blocks")
 
-    links: DataFrame | None = None
-    emitted: DataFrame | None = None
-    roots: DataFrame | None = None
-    forests = 1
-    while True:
-        now = blocks.withColumns({"root": F.col("node"), "other": F.lit(None).cast("long")})
-        if emitted is not None:
-            failed = emitted.where("not linked").select("token", "u", "v")
-            now = blocks.join(failed.select("token").distinct(), "token", "left_semi")
-            now = now.join(roots, "node", "left").select("token", "node", "n", "bits", F.coalesce("root", "node").alias("root"), F.lit(None).cast("long").alias("other"))
-            now = now.unionByName(failed.select("token", F.col("u").alias("node"), F.lit(-1).alias("n"), F.lit(None).cast("binary").alias("bits"), F.col("u").alias("root"), F.col("v").alias("other")))
-        ordered = now.repartition("token").sortWithinPartitions("token", "n", "node")
-        found = written(ordered.mapInArrow(_pairs(percent, forests), "token long, u long, v long"), "pairs")
-        if not found.take(1):
-            break
-        forests *= 4
-        pairs = found.select("u", "v").distinct()
-        if emitted is not None:  # in other blocks a pair may be known already
-            pairs = pairs.join(emitted.select("u", "v").distinct(), ["u", "v"], "left_anti")
-        checked = _checked(pairs, docs, place, n, percent)
-        known = checked if emitted is None else checked.unionByName(emitted.select("u", "v", "linked").distinct())
-        fresh = found.join(written(known, "known"), ["u", "v"])
-        emitted = written(fresh if emitted is None else fresh.unionByName(emitted, allowMissingColumns=False).distinct(), "emitted")
-        links = emitted.where("linked").select("u", "v").distinct()
-        roots = components(links)
-        if not emitted.join(found.select("token", "u", "v"), ["token", "u", "v"], "left_semi").where("not linked").take(1):
-            break
+    found = written(_by_token(blocks).mapInArrow(_candidates(percent), "token long, u long, v long"), "pairs")
+    pairs = found.select("u", "v").distinct()
+    sets = _sets(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), docs, place, n)
+    checked = written(_checked(pairs, sets, percent), "checked")
+    links = checked.where("linked").select("u", "v")
+    roots = components(links)
+    failed = checked.where("not linked")
+    if failed.take(1):
+        again = found.join(failed, ["u", "v"]).select("token").distinct()
+        open_ = blocks.join(again, "token", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = written(_by_token(open_).mapInArrow(_involved(percent), "token long, node long, n long"), "involved")
+        sets = _sets(open_.select("node").distinct(), docs, place, n)
+        whole = open_.join(sets, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        more = written(_by_token(whole).mapInArrow(_settled(percent), "u long, v long"), "more")
+        if more.take(1):
+            roots = components(links.unionByName(more))
 
     named = place.select("node", F.col("doc_id").alias("component_id"))
-    if roots is not None:
-        of = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        least = of.groupBy("root").agg(F.min("component_id").alias("component_id"))
-        named = written(of.select("node", "root").join(least, "root").select("node", "component_id"), "components")
+    of = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = of.groupBy("root").agg(F.min("component_id").alias("component_id"))
+    named = of.select("node", "root").join(least, "root").select("node", "component_id")
     out = nodes.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))

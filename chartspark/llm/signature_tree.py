@@ -1,7 +1,7 @@
 """Signature trees: nodes hold OR-combined token bitmaps and size ranges.
 
-``may_link`` gives, for the sets of one block, pairs that are enough to connect all that may be
-connected: a dual traversal of the tree with itself drops each pair of nodes whose largest
+``Block.spanning`` gives, for the sets of one block, pairs that are enough to connect all that may
+be connected: a dual traversal of the tree with itself drops each pair of nodes whose largest
 possible overlap is below what the threshold asks of their least sizes, or that lie in one
 component already.
 
@@ -12,12 +12,17 @@ nodes with OR-combined bitmaps and the largest |x| - popcount(bx) below them.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 
 from chartspark.llm.words import U, mix
 
 FAN = 8
-CHUNK = 1 << 17
+#: 64-bit words of bitmaps that one step compares.
+STEP_WORDS = 1 << 21
+#: Bits of a wide bitmap for one of a narrow one.
+WIDE = 16
 
 
 def width_of(n: int) -> int:
@@ -68,12 +73,13 @@ def _possible(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, percent: int) ->
 
 class _Union:
     def __init__(self, labels: np.ndarray) -> None:
-        self.label = labels.copy()
+        self.label, self.joined = labels.copy(), 0
 
     def join(self, i: int, j: int) -> bool:
         a, b = self.label[i], self.label[j]
         if a == b:
             return False
+        self.joined += 1
         self.label[self.label == max(a, b)] = min(a, b)
         return True
 
@@ -87,7 +93,7 @@ def _span(labels: np.ndarray, levels: int) -> list[tuple[np.ndarray, np.ndarray]
     return out
 
 
-def _children(level: tuple, i: np.ndarray, j: np.ndarray, n_a: int, n_b: int) -> tuple[np.ndarray, np.ndarray]:
+def _children(i: np.ndarray, j: np.ndarray, n_a: int, n_b: int) -> tuple[np.ndarray, np.ndarray]:
     k = np.arange(FAN)
     i = np.repeat(i[:, None] * FAN + k, FAN, axis=1).ravel()
     j = np.tile(j[:, None] * FAN + k, (1, FAN)).ravel()
@@ -95,74 +101,90 @@ def _children(level: tuple, i: np.ndarray, j: np.ndarray, n_a: int, n_b: int) ->
     return i[ok], j[ok]
 
 
-def _traverse(ta: Tree, tb: Tree, rows_a: np.ndarray, rows_b: np.ndarray, same: bool, union: _Union, barred: np.ndarray, total: int, percent: int) -> list[tuple[int, int]]:
+def _traverse(ta: Tree, tb: Tree, rows_a: np.ndarray, rows_b: np.ndarray, same: bool, union: _Union, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of leaf pairs that may link, of sets in different components by then."""
     depth = min(len(ta.levels), len(tb.levels)) - 1
+    most = max(1024, STEP_WORDS // ta.levels[0][0].shape[1])
     i, j = (x.ravel() for x in np.meshgrid(np.arange(len(ta.levels[depth][0])), np.arange(len(tb.levels[depth][0])), indexing="ij"))
-    stack, out = [(depth, i, j)], []
+    stack, spans_a, spans_b, seen = [(depth, i, j)], [], [], -1
     while stack:
         level, i, j = stack.pop()
-        if len(i) > CHUNK:
-            stack.append((level, i[CHUNK:], j[CHUNK:]))
-            i, j = i[:CHUNK], j[:CHUNK]
+        if len(i) > most:
+            stack.append((level, i[most:], j[most:]))
+            i, j = i[:most], j[:most]
         if same:
             keep = i <= j if level else i < j
             i, j = i[keep], j[keep]
-        spans_a = _span(union.label[rows_a], level + 1)[level]
-        spans_b = spans_a if same else _span(union.label[rows_b], level + 1)[level]
-        keep = (spans_a[0][i] != spans_a[1][i]) | (spans_b[0][j] != spans_b[1][j]) | (spans_a[0][i] != spans_b[0][j])
+        if seen != union.joined:
+            seen = union.joined
+            spans_a = _span(union.label[rows_a], depth + 1)
+            spans_b = spans_a if same else _span(union.label[rows_b], depth + 1)
+        (low_a, high_a), (low_b, high_b) = spans_a[level], spans_b[level]
+        keep = (low_a[i] != high_a[i]) | (low_b[j] != high_b[j]) | (low_a[i] != low_b[j])
         i, j = i[keep], j[keep]
         keep = _possible(ta.levels[level], tb.levels[level], i, j, percent)
         i, j = i[keep], j[keep]
         if not len(i):
             continue
         if level:
-            stack.append((level - 1, *_children(ta.levels[level], i, j, len(ta.levels[level - 1][0]), len(tb.levels[level - 1][0]))))
-            continue
-        a, b = rows_a[i], rows_b[j]
-        if len(barred):
-            keep = ~np.isin(np.minimum(a, b) * total + np.maximum(a, b), barred)
-            a, b = a[keep], b[keep]
-        while len(a):
-            if union.join(int(a[0]), int(b[0])):
-                out.append((int(a[0]), int(b[0])))
-            keep = union.label[a] != union.label[b]
-            a, b = a[keep], b[keep]
-    return out
-
-
-def may_link(bitmaps: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, barred: np.ndarray, percent: int = 75) -> list[tuple[int, int]]:
-    """Pairs (i, j) that may link and connect what is not connected yet.
-
-    ``labels`` are the components known so far; ``barred`` holds pairs known not to link, as
-    min * len(sizes) + max. Taking every pair of the answer as a link, no other pair that may link
-    joins two components.
-    """
-    total, union, out = len(sizes), _Union(labels), []
-    width = np.array([len(b) for b in bitmaps])
-    order = np.argsort(sizes, kind="stable")
-    trees: dict[int, tuple[Tree, np.ndarray]] = {}
-    for w in np.unique(width):
-        rows = order[width[order] == w]
-        bits = np.stack([bitmaps[r] for r in rows])
-        # A first member of each class against all: it connects most of a group of near copies at once.
-        trees[int(w)] = Tree(bits, sizes[rows]), rows
-        for pivot in (len(rows) // 2, 0):
-            if len(rows) < 4 * FAN:
-                break
-            leaf = trees[int(w)][0].levels[0]
-            j = np.flatnonzero(union.label[rows] != union.label[rows[pivot]])
-            j = j[_possible(leaf, leaf, np.full(len(j), pivot), j, percent)]
-            if len(barred):
-                a = rows[pivot]
-                j = j[~np.isin(np.minimum(rows[j], a) * total + np.maximum(rows[j], a), barred)]
-            while len(j):
-                union.join(int(rows[pivot]), int(rows[j[0]]))
-                out.append((int(rows[pivot]), int(rows[j[0]])))
-                j = j[union.label[rows[j]] != union.label[rows[pivot]]]
-    for w, (tree, rows) in trees.items():
-        out += _traverse(tree, tree, rows, rows, True, union, barred, total, percent)
-        if 2 * w in trees:
-            _, above = trees[2 * w]
-            bits = folded(np.stack([bitmaps[r] for r in above]), w)
-            out += _traverse(tree, Tree(bits, sizes[above]), rows, above, False, union, barred, total, percent)
-    return out
+            stack.append((level - 1, *_children(i, j, len(ta.levels[level - 1][0]), len(tb.levels[level - 1][0]))))
+        else:
+            yield rows_a[i], rows_b[j]
+
+
+class Block:
+    """The sets of one block: bitmaps of any widths, sizes, and the components known so far."""
+
+    def __init__(self, bitmaps: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, percent: int = 75) -> None:
+        self.union, self.percent = _Union(labels), percent
+        width = np.array([len(b) for b in bitmaps])
+        order = np.argsort(sizes, kind="stable")
+        self.trees: dict[int, tuple[Tree, np.ndarray]] = {}
+        self.crossed: list[tuple[Tree, Tree, np.ndarray, np.ndarray]] = []
+        for w in np.unique(width).tolist():
+            rows = order[width[order] == w]
+            self.trees[w] = Tree(np.stack([bitmaps[r] for r in rows]), sizes[rows]), rows
+        for w, (tree, rows) in self.trees.items():
+            if 2 * w in self.trees:
+                wide, above = self.trees[2 * w]
+                self.crossed.append((tree, Tree(folded(wide.levels[0][0], w), sizes[above]), rows, above))
+
+    def _pivots(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """A member of each class against all: in a group of near copies this connects most at once."""
+        for tree, rows in self.trees.values():
+            for pivot in (len(rows) // 2, 0) if len(rows) >= 4 * FAN else ():
+                j = np.flatnonzero(self.union.label[rows] != self.union.label[rows[pivot]])
+                j = j[_possible(tree.levels[0], tree.levels[0], np.full(len(j), pivot), j, self.percent)]
+                yield np.full(len(j), rows[pivot]), rows[j]
+
+    def _all(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for tree, rows in self.trees.values():
+            yield from _traverse(tree, tree, rows, rows, True, self.union, self.percent)
+        for a, b, rows_a, rows_b in self.crossed:
+            yield from _traverse(a, b, rows_a, rows_b, False, self.union, self.percent)
+
+    def spanning(self, check: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+        """Pairs that may link (or do, by ``check``) and connect what is not connected yet.
+
+        Taking all of them as links, no other such pair joins two components.
+        """
+        out = []
+        for pairs in (self._pivots(), self._all()):
+            for a, b in pairs:
+                while len(a):
+                    i, j = int(a[0]), int(b[0])
+                    if check is not None and not check(i, j):
+                        a, b = a[1:], b[1:]
+                        continue
+                    self.union.join(i, j)
+                    out.append((i, j))
+                    keep = self.union.label[a] != self.union.label[b]
+                    a, b = a[keep], b[keep]
+        return out
+
+    def involved(self) -> np.ndarray:
+        """The sets that may link with one of another component."""
+        seen = np.zeros(len(self.union.label), bool)
+        for a, b in self._all():
+            seen[a] = seen[b] = True
+        return np.flatnonzero(seen)
