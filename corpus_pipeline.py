@@ -54,7 +54,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: A fitted model and token ids are beyond SQL; the tests hold run() against a brute-force version.
+#: A fitted model and token ids are beyond SQL; a brute-force version of the whole run is still to be written.
 ORACLE_SQL = None
 
 
