@@ -1,20 +1,26 @@
 """HTML main text by site style trees.
 
-Pages become trees of block elements. An element's style is its tag and class; elements with the
-same chain of styles on pages of one host are merged into one node of the host's style tree. For a
-node on m pages, with contents c each on n_c of them and child styles in variants v each on n_v:
+Pages become trees of block elements. An element's style is its tag, its classes and the noise words
+of its id and role; elements with the same chain of styles on pages of one host are merged into one
+node of the host's style tree. A node on m pages, with own texts c each on n_c of them, has
 
-    content importance       1 - sum(n_c / m * log_m n_c)        (0: the same everywhere, 1: never twice)
-    presentation importance  sum(n_v / m * (1 - log_m n_v))
-    importance               (1 - g**l) * presentation + g**l * content,  g = 0.9, l child styles
+    content importance of c      1 - log_m n_c                  (0: on every page, 1: on this page only)
+    content importance           their mean over the m pages
 
-Branches of low importance on at least MIN_PAGES pages go. Where the markup says what a branch is
-(``nav``, ``footer``, class ``ad`` and the like, or ``article`` and ``main``), it overrides the
-entropies: a menu whose links differ by page is still a menu, and the article of a page that was
-published twice is still an article.
+An inner node is noise only if all that is below it is, so nodes that hold text decide: a branch goes
+where the page's own text in it has an importance below LOW. No ancestor of distinct text can go, and
+distinct text stays under a node that is a template on most pages. A node is judged on MIN_PAGES
+pages.
+
+Markup is a prior. Elements such as ``nav`` and ``footer`` go. A class, id or role with a noise word
+goes unless its node has a content importance of HIGH; such a word neither removes an ``article`` or
+``main`` element nor empties one. Where a page has a main branch, other branches go unless they are
+unmarked and of importance HIGH; branches inside it are judged as all others are, but on MIN_PAGES
+pages, and if all of them repeat the page is a copy and keeps them.
 
 Node statistics are partial sums by (host, path, content); what is joined back to a page is its
-host's list of low nodes, so a host with any share of the pages can be split between tasks.
+host's list of repeated texts (at most m ** LOW a node) and of important marked nodes, so a host with
+any share of the pages can be split between tasks.
 
 Defined results: null html is empty; a page without a URL has the empty host; broken markup is
 read to its end (unclosed elements close with their parents, an unclosed comment, script or style
@@ -35,7 +41,7 @@ from pyspark.sql import functions as F
 from chartspark.llm.scratch import written
 from chartspark.llm.url_filter import host_of
 
-GAMMA, LOW, MIN_PAGES = 0.9, 0.2, 5
+LOW, HIGH, MIN_PAGES = 0.2, 0.8, 5
 #: What HTML says about its elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template textarea title iframe svg math object canvas".split())
@@ -44,6 +50,7 @@ NOISE = frozenset("nav footer aside form head menu select dialog button search o
 MAIN = frozenset(("article", "main"))
 NOISE_WORDS = frozenset("ad ads advert adverts advertisement adverting banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion reactions related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split())
 MAIN_WORDS = frozenset(("article", "content", "entry", "main", "post", "story"))
+PLAIN, INSIDE, OUTSIDE, WORD, PAGE = range(5)
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
@@ -52,18 +59,18 @@ _LETTERS = re.compile(r"[a-z]+")
 
 
 class Block:
-    """Text of one block: ``path`` of its element, and whether markup calls it main or noise."""
+    """Text of one block: ``path`` of its element, and what markup says: ``main`` (2: by element or role), ``word`` and ``noise`` (noise by words, by element)."""
 
-    __slots__ = ("path", "text", "main", "noise")
+    __slots__ = ("path", "text", "main", "word", "noise")
 
-    def __init__(self, path: tuple[str, ...], text: str, main: bool, noise: bool) -> None:
-        self.path, self.text, self.main, self.noise = path, text, main, noise
+    def __init__(self, path: tuple[str, ...], text: str, main: int, word: bool, noise: bool) -> None:
+        self.path, self.text, self.main, self.word, self.noise = path, text, main, word, noise
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page with text, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool, bool]] = [("", (), False, False)]  # tag, path, main, noise
+    stack: list[tuple[str, tuple[str, ...], int, bool, bool]] = [("", (), 0, False, False)]  # tag, path, main, word, noise
     held: list[str] = []
 
     def flush() -> None:
@@ -71,8 +78,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                _, path, main, noise = stack[-1]
-                out.append(Block(path, text, main, noise))
+                out.append(Block(stack[-1][1], text, *stack[-1][2:]))
 
     at = 0
     while at < len(page):
@@ -104,72 +110,105 @@ def blocks(page: str) -> list[Block]:
             stack.pop()
         if tag in VOID:
             continue
-        _, path, main, noise = stack[-1]
+        _, path, main, word, noise = stack[-1]
         names = {k.lower(): a or b or c for k, a, b, c in _CLASS.findall(m[3])}
         words = set(_LETTERS.findall(" ".join(names.values()).lower()))
-        style = tag + "".join(f".{w}" for w in _LETTERS.findall(names.get("class", "").lower()))
-        noise = noise or tag in NOISE or bool(words & NOISE_WORDS) and tag != "body" or tag == "header" and not main
-        main = main or tag in MAIN or "main" in words or bool(words & MAIN_WORDS) and tag in ("div", "section")
-        stack.append((tag, (*path, style), main, noise))
+        listed = words & NOISE_WORDS
+        classes = _LETTERS.findall(names.get("class", "").lower())
+        style = tag + "".join(f".{w}" for w in classes) + "".join(f"#{w}" for w in sorted(listed.difference(classes)))
+        if tag in MAIN or names.get("role", "").lower() == "main":
+            main, word = 2, False
+        elif tag not in ("html", "body"):
+            word = word or bool(listed)
+            main = main or int("main" in words or bool(words & MAIN_WORDS) and tag in ("div", "section"))
+        noise = noise or tag in NOISE or tag == "header" and not main
+        stack.append((tag, (*path, style), main, word, noise))
     flush()
     return out
 
 
+def _signed(s: str) -> int:
+    return xxhash.xxh3_64_intdigest(s.encode()) - 2**63
+
+
+def judged(page: str) -> list[Block]:
+    """The blocks that elements do not call noise. Words count for nothing where all of an ``article`` or ``main`` element has them."""
+    found = [b for b in blocks(page) if not b.noise]
+    if not any(b.main == 2 and not b.word for b in found):
+        for b in found:
+            b.word = b.word and b.main < 2
+    return found
+
+
 def tree(found: list[Block]) -> dict[tuple[str, ...], tuple[int, int, int]]:
-    """For every node of a page's tree: hashes of its content and of its child styles, and their number."""
+    """For every node of a page's tree with own text: hashes of its path and text, and PLAIN, INSIDE (a main branch), OUTSIDE or WORD."""
     text: dict[tuple, list[str]] = {}
-    children: dict[tuple, dict[str, None]] = {}
+    kind: dict[tuple, int] = {}
+    main = any(b.main and not b.word for b in found)
     for b in found:
-        for k in range(1, len(b.path) + 1):
-            text.setdefault(b.path[:k], []).append(b.text)
-            if k < len(b.path):
-                children.setdefault(b.path[:k], {})[b.path[k]] = None
-    signed = lambda s: xxhash.xxh3_64_intdigest(s.encode()) - 2**63
-    return {p: (signed("\n".join(t)), signed(" ".join(children.get(p, {}))), len(children.get(p, {}))) for p, t in text.items()}
+        text.setdefault(b.path, []).append(b.text)
+        kind[b.path] = WORD if b.word else INSIDE if b.main else OUTSIDE if main else PLAIN
+    return {p: (_signed(f"{kind[p]} " + "/".join(p)), _signed("\n".join(t)), kind[p]) for p, t in text.items()}
 
 
-def extract(page: str, low: set[str]) -> str:
-    """The main text of a page; ``low`` has the paths, joined by /, that carry nothing of its own."""
-    found = [b for b in blocks(page) if not b.noise]
-    if any(b.main for b in found):
-        return "\n".join(b.text for b in found if b.main)
-    return "\n".join(b.text for b in found if not any("/".join(b.path[:k]) in low for k in range(1, len(b.path) + 1)))
+def extract(page: str, low: set[tuple[int, int]], high: set[int], few: bool) -> str:
+    """The main text of a page. ``low``: nodes and their texts that repeat; ``high``: marked nodes with texts of their own; ``few``: the host has fewer than MIN_PAGES pages."""
+    found = judged(page)
+    nodes = tree(found)
+    main = any(b.main and not b.word for b in found)
+
+    def stays(b: Block) -> bool:
+        node, content, kind = nodes[b.path]
+        if kind in (WORD, OUTSIDE) and (node not in high or main and not b.main and b.word):
+            return False
+        return (node, content) not in low
+
+    kept = [b for b in found if stays(b)]
+    if main and not any(b.main and not b.word for b in kept):
+        kept = [b for b in found if b.main and not b.word]
+    elif not kept and few:
+        kept = [b for b in found if not b.word]
+    if not kept:  # words alone do not empty a page; repeated text may
+        kept = [b for b in found if b.word and nodes[b.path][:2] not in low] if all(b.word for b in found) else []
+    return "\n".join(b.text for b in kept)
 
 
-def low_nodes(pages: DataFrame) -> DataFrame:
-    """``host, low``: the paths of unimportant nodes of each host that has such. ``pages``: host, html."""
+def host_lists(pages: DataFrame) -> DataFrame:
+    """``host, low, high, few`` of each host, as ``extract`` takes them. ``pages``: host, html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(h, "/".join(p), *v) for h, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True) for p, v in tree(blocks(page or "")).items()]
+            rows = []
+            for h, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
+                own = list(tree(judged(page or "")).values())
+                rows += [(h, *v) for v in own] + [(h, 0, 0, PAGE)] * bool(own)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["host", "path", "content", "child", "l"])
-
-    nodes = written(pages.select("host", "html").mapInArrow(run, "host string, path string, content long, child long, l int"), "nodes")
-
-    def entropy(column: str) -> DataFrame:
-        counts = nodes.groupBy("host", "path", column).agg(F.count(F.lit(1)).alias("n"), F.max("l").alias("l"))
-        return counts.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.max("l").alias("l"))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["host", "node", "content", "kind"])
 
-    both = entropy("content").join(entropy("child").select("host", "path", F.col("s").alias("t")), ["host", "path"]).where(F.col("m") >= MIN_PAGES)
-    size = F.col("m") * F.log("m")
-    share = F.pow(F.lit(GAMMA), "l")
-    importance = (1 - share) * (1 - F.col("t") / size) + share * (1 - F.col("s") / size)
-    return both.where(importance < LOW).groupBy("host").agg(F.collect_list("path").alias("low"))
+    nodes = pages.select("host", "html").mapInArrow(run, "host string, node long, content long, kind int")
+    counts = written(nodes.groupBy("host", "node", "content", "kind").agg(F.count(F.lit(1)).alias("n")), "nodes")
+    size = counts.where(F.col("kind") == PAGE).select("host", F.col("n").alias("pages"))
+    of = counts.where(F.col("kind") != PAGE).groupBy("host", "node", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    of = of.where("m > 1").join(size, "host").withColumn("enough", F.col("m") >= MIN_PAGES)
+    often = counts.where("n > 1").join(of.where("enough").select("host", "node", "m"), ["host", "node"]).where(1 - F.log("n") / F.log("m") < LOW)
+    low = often.groupBy("host").agg(F.collect_list(F.struct("node", "content")).alias("low"))
+    distinct = F.col("kind").isin(WORD, OUTSIDE) & (1 - F.col("s") / (F.col("m") * F.log("m")) >= HIGH)
+    high = of.where(distinct & (F.col("enough") | (F.col("kind") == WORD))).groupBy("host").agg(F.collect_list("node").alias("high"))
+    return size.join(low, "host", "left").join(high, "host", "left").select("host", "low", "high", (F.col("pages") < MIN_PAGES).alias("few"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages`` (page_id, url, html)."""
     kind = dict(pages.dtypes)["page_id"]
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    low = written(low_nodes(rows), "low")
+    lists = written(host_lists(rows), "lists")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                texts = [extract(p or "", set(n or ())) for p, n in zip(part.column("html").to_pylist(), part.column("low").to_pylist(), strict=True)]
+                texts = [extract(p or "", {(x["node"], x["content"]) for x in low or ()}, set(high or ()), bool(few)) for p, low, high, few in zip(*(part.column(c).to_pylist() for c in ("html", "low", "high", "few")), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = rows.join(low, "host", "left").select("page_id", "url", "html", "low")
+    joined = rows.join(lists, "host", "left").select("page_id", "url", "html", "low", "high", "few")
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -160,6 +160,25 @@ def test_main_text(spark):
     assert {got[10 + i][0] for i in range(8)} == {f"Own {i}" for i in range(8)}
 
 
+def texts_of(spark, pages):
+    rows = [(i, url, html) for i, (url, html) in enumerate(pages)]
+    return [r.text for r in style_tree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_main_text_where_entropies_decide(spark):
+    box = [(f"http://box.org/{i}", f"<article><p>Own {i}</p><div class=hint><p>Everywhere</p></div></article>") for i in range(8)]
+    words = [(f"http://w.org/{i}", f"<div id=share-prices><p>Price {i}</p></div><div class=share><p>Send it</p></div>") for i in range(6)]
+    named = [("http://one.org/", "<div class=has-sidebar><article class='post has-sidebar'><p>Whole</p></article></div>"), ("http://two.org/", "<h1>Top</h1><article><div class='x has-sidebar'><p>Text</p></div></article>")]
+    outside = [(f"http://o.org/{i}", f"<article><p>A {i}</p></article><div class=lede><p>L {i}</p></div><div class=ad>Buy {i}</div><div class=hint>Same</div>") for i in range(6)]
+    some = [(f"http://s.org/{i}", f"<article><p>{'Template' if i < 90 else f'Rare {i}'}</p><h1>{i}</h1></article>") for i in range(100)]
+    got = texts_of(spark, box + words + named + outside + some)
+    assert got[:8] == [f"Own {i}" for i in range(8)]
+    assert got[8:14] == [f"Price {i}" for i in range(6)]
+    assert got[14:16] == ["Whole", "Text"]
+    assert got[16:22] == [f"A {i}\nL {i}" for i in range(6)]
+    assert got[22:] == [str(i) if i < 90 else f"Rare {i}\n{i}" for i in range(100)]
+
+
 def test_chat_round_trip():
     rnd = random.Random(2)
     for _ in range(2000):
