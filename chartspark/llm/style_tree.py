@@ -10,7 +10,7 @@ node of the host's style tree. A node on m pages, with own texts c each on n_c o
 An inner node is noise only if all that is below it is, so nodes that hold text decide: a branch goes
 where the page's own text in it has an importance below LOW. No ancestor of distinct text can go, and
 distinct text stays under a node that is a template on most pages. A node is judged on MIN_PAGES
-pages.
+pages, or on all pages of a host that has fewer, where the page keeps something else.
 
 Markup is a prior. Elements such as ``nav`` and ``footer`` go. A class, id or role with a noise word
 goes unless its node has a content importance of HIGH; such a word neither removes an ``article`` or
@@ -189,7 +189,7 @@ def host_lists(pages: DataFrame) -> DataFrame:
     counts = written(nodes.groupBy("host", "node", "content", "kind").agg(F.count(F.lit(1)).alias("n")), "nodes")
     size = counts.where(F.col("kind") == PAGE).select("host", F.col("n").alias("pages"))
     of = counts.where(F.col("kind") != PAGE).groupBy("host", "node", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
-    of = of.where("m > 1").join(size, "host").withColumn("enough", F.col("m") >= MIN_PAGES)
+    of = of.where("m > 1").join(size, "host").withColumn("enough", F.col("m") >= F.when(F.col("kind").isin(INSIDE, OUTSIDE), F.lit(MIN_PAGES)).otherwise(F.least(F.lit(MIN_PAGES), "pages")))
     often = counts.where("n > 1").join(of.where("enough").select("host", "node", "m"), ["host", "node"]).where(1 - F.log("n") / F.log("m") < LOW)
     low = often.groupBy("host").agg(F.collect_list(F.struct("node", "content")).alias("low"))
     distinct = F.col("kind").isin(WORD, OUTSIDE) & (1 - F.col("s") / (F.col("m") * F.log("m")) >= HIGH)

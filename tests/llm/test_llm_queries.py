@@ -179,6 +179,17 @@ def test_main_text_where_entropies_decide(spark):
     assert got[22:] == [str(i) if i < 90 else f"Rare {i}\n{i}" for i in range(100)]
 
 
+def test_main_text_below_rich_nodes_and_on_small_hosts(spark):
+    rich = [(f"http://rich.org/{i}", "<body>" + "".join(f"<div class=c{chr(97 + k)}><p>{i} {k}</p></div>" for k in range(20)) + "<div class=top><p>Menu</p></div></body>") for i in range(6)]
+    few = [(f"http://few.org/{i}", f"<div class=top><p>Menu</p></div><p>Own {i}</p>") for i in range(3)]
+    copies = [("http://copies.org/a", "<div class=x><p>Twice</p></div>"), ("http://copies.org/b", "<div class=x><p>Twice</p></div>")]
+    again = [(f"http://again.org/{i}", "<article><p>Copied</p></article>") for i in range(7)]
+    got = texts_of(spark, rich + few + copies + again)
+    assert got[:6] == ["\n".join(f"{i} {k}" for k in range(20)) for i in range(6)]
+    assert got[6:9] == [f"Own {i}" for i in range(3)]
+    assert got[9:] == ["Twice"] * 2 + ["Copied"] * 7
+
+
 def test_chat_round_trip():
     rnd = random.Random(2)
     for _ in range(2000):
