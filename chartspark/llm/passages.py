@@ -95,8 +95,9 @@ def runs_of(docs: DataFrame, size: int, seed: int = SEED) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, RUNS)
 
 
-def windows_of(docs: DataFrame, size: int) -> DataFrame:
-    """One row for each window of the runs in ``runs`` (an array of anchor, first, last) of each row; others give none."""
+def windows_of(docs: DataFrame, size: int, spans: bool = False) -> DataFrame:
+    """One row for each window of the runs in ``runs`` (an array of anchor, first, last) of each row; others give none.
+    With ``spans``, the runs have a fourth field, ``span``, which their windows carry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -115,12 +116,13 @@ def windows_of(docs: DataFrame, size: int) -> DataFrame:
                 sums, _, inv = _window_hashes(words, size)
                 at = offsets[row[which]] + begin
                 took = pa.array(row[which])
+                span = [pa.array(flat.field(3).to_numpy()[which])] if spans else []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[which]), signed(_stretch(sums, inv, at, at + size)), part.column("doc_id").take(took), part.column("text_hash").take(took), pa.array(begin.astype(np.int32))],
-                    names=["anchor", "window", "doc_id", "text_hash", "first"],
+                    [pa.array(anchor[which]), signed(_stretch(sums, inv, at, at + size)), part.column("doc_id").take(took), part.column("text_hash").take(took), pa.array(begin.astype(np.int32)), *span],
+                    names=["anchor", "window", "doc_id", "text_hash", "first", *["span"] * spans],
                 )
 
-    return docs.mapInArrow(run, WINDOWS)
+    return docs.mapInArrow(run, WINDOWS + ", span long" * spans)
 
 
 def with_list(docs: DataFrame, rows: DataFrame, name: str, columns: list[str]) -> DataFrame:

@@ -116,9 +116,14 @@ def repeats(documents: DataFrame, size: int = 50) -> DataFrame:
     docs = keyed(documents)
     suffixes = _compared(written(runs_of(docs, size), "suffixes"), "span")
     seen = written(suffixes, "compared")
-    by_run = seen.where("doc_id > low").select("doc_id", "text_hash", "first", (F.col("last") + size).alias("end"), "low")
+    by_run = seen.where("doc_id > low").select("anchor", "span", "doc_id", "text_hash", "first", (F.col("last") + size).alias("end"), "low")
     unsure = seen.where("doc_id = low and kinds")
-    windows = written(windows_of(with_list(docs, unsure, "runs", ["anchor", "first", "last"]), size), "windows")
-    by_window = _compared(windows, "window").where("doc_id > low").select("doc_id", "text_hash", "first", (F.col("first") + size).alias("end"), "low")
+    windows = written(windows_of(with_list(docs, unsure, "runs", ["anchor", "first", "last", "span"]), size, spans=True), "windows")
+    found = written(_compared(windows, "window").where("doc_id > low").select("anchor", "span", "doc_id", "text_hash", "first", (F.col("first") + size).alias("end"), "low"), "found")
+    # What the first document of a kind of run found for its windows holds for all others of the kind.
+    least = found.groupBy("anchor", "span").agg(F.min("low").alias("least"))
+    columns = ["doc_id", "text_hash", "first", "end"]
+    by_run = by_run.join(least, ["anchor", "span"], "left").select(*columns, F.least("low", "least").alias("low"))
+    by_window = found.select(*columns, "low")
     spans = by_run.unionByName(by_window).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "end", "low")).alias("spans"))
     return spans.select("doc_id", "spans").mapInArrow(_merged, "doc_id long, start_word long, n_words long, match_doc_id long")

@@ -57,6 +57,46 @@ def test_substring_and_suffix_dedup_on_awkward_rows(spark):
     assert {r.doc_id for r in spans} == {w[0] for w in want if w[2]}
 
 
+def brute_spans(rows, size=50):
+    """Rows of op3: doc_id, start, words, and the least smaller document of any window; ``rows`` with one doc_id are one document."""
+    words = [(d, (t or "").encode().split()) for d, t in rows if d is not None]
+    low = {}
+    for d, w in words:
+        for p in range(len(w) - size + 1):
+            k = tuple(w[p : p + size])
+            low[k] = min(low.get(k, d), d)
+    out = set()
+    for d, w in words:
+        at = None
+        for p in range(len(w) - size + 1):
+            k = low[tuple(w[p : p + size])]
+            if k >= d:
+                continue
+            if at is not None and p <= at[1]:
+                at = [at[0], p + size, min(at[2], k)]
+                continue
+            if at is not None:
+                out.add((d, at[0], at[1] - at[0], at[2]))
+            at = [p, p + size, k]
+        if at is not None:
+            out.add((d, at[0], at[1] - at[0], at[2]))
+    return out
+
+
+def test_suffix_dedup_whole_rows(spark):
+    rnd = random.Random(11)
+    fresh = lambda n: [f"q{rnd.randrange(10**9)}" for _ in range(n)]
+    rows, at = [], 0
+    for n in (50, 51, 53, 55, 57, 60, 64, 80):  # an old short passage, and copies of one text that holds it elsewhere
+        passage = fresh(n)
+        holds = fresh(40) + passage + fresh(40)
+        rows += [(at + 2, " ".join(fresh(30) + passage + fresh(30))), (at + 5, " ".join(holds)), (at + 9, " ".join(holds)), (at + 10, " ".join(holds[10:]))]
+        at += 10
+    for docs in (spark.createDataFrame(rows, "doc_id long, text string"), awkward(spark), awkward(spark, 4)):
+        want = brute_spans([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+        assert {tuple(r) for r in suffix_dedup.repeats(docs).collect()} == want
+
+
 def test_jaccard_on_awkward_rows(spark):
     docs = awkward(spark, 2)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
