@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartspark.llm import signature_tree as st
@@ -91,7 +91,8 @@ def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``doc_id, n_shingles, node``, and once for each node and task ``prefix`` and ``bits``."""
+    """``doc_id, n_shingles, node``, and once for each node and task ``prefix`` and ``bits``; ``text_hash`` too if ``docs`` has it."""
+    keyed = "text_hash" in docs.columns
     last = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,9 +117,9 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     first = s[~o][:m]
                     prefixes.append(np.concatenate([first, s[o][: m - len(first)]]).view(np.int64))
                     bits.append(st.bitmap(s, st.width_of(len(s))).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "node", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary()), *([part.column("text_hash")] if keyed else [])], names=["doc_id", "n_shingles", "node", "prefix", "bits", *["text_hash"] * keyed])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, prefix array<long>, bits binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, prefix array<long>, bits binary" + ", text_hash long" * keyed)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -250,6 +251,32 @@ def linked_components(documents: DataFrame, n: int = 5, percent: int = 75) -> Da
     """``doc_id, n_shingles, component_id`` of every row of ``documents`` (doc_id, text)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     nodes = written(described(docs, n, percent), "nodes")
+    place, roots = _rooted(docs, nodes, n, percent)
+    named = place.select("node", F.col("doc_id").alias("component_id"))
+    of = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = of.groupBy("root").agg(F.min("component_id").alias("component_id"))
+    named = of.select("node", "root").join(least, "root").select("node", "component_id")
+    out = nodes.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def text_key() -> Column:
+    """With doc_id, tells rows of different texts apart."""
+    return F.xxhash64("text")
+
+
+def linked_rows(documents: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """``doc_id, text_hash, root`` of every row that can link; rows have one root if their sets are equal or linked, also where a doc_id repeats."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    nodes = written(described(docs.withColumn("text_hash", text_key()), n, percent), "nodes")
+    _, roots = _rooted(docs, nodes, n, percent)
+    rows = nodes.where("doc_id is not null and node is not null").select("doc_id", "text_hash", "node")
+    return rows.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+
+
+def _rooted(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``node, doc_id`` (the smallest with that set) of all nodes, and ``node, root`` of those that link with another."""
     place = nodes.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     tokens = nodes.where("prefix is not null").select(F.explode("prefix").alias("token"), "node", F.col("n_shingles").cast("int").alias("n"))
     tokens = tokens.repartition("token").sortWithinPartitions("token", "node")
@@ -275,11 +302,4 @@ def linked_components(documents: DataFrame, n: int = 5, percent: int = 75) -> Da
         more = written(_by_token(whole).mapInArrow(_settled(percent), "u long, v long"), "more")
         if more.take(1):
             roots = components(links.unionByName(more))
-
-    named = place.select("node", F.col("doc_id").alias("component_id"))
-    of = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = of.groupBy("root").agg(F.min("component_id").alias("component_id"))
-    named = of.select("node", "root").join(least, "root").select("node", "component_id")
-    out = nodes.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    return place, roots

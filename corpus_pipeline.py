@@ -17,14 +17,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of linked ones; rows without a doc_id stay."""
-    found = written(jaccard_join.linked_components(docs), "linked")
-    kept = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-    again = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    """One row of each group of rows with equal or linked shingle sets: that with the smallest doc_id, then the smallest hash
+    of its text, then the least of its other columns. Rows are judged one by one, also where they share a doc_id; rows
+    without a doc_id or without words stay."""
+    found = written(jaccard_join.linked_rows(docs), "linked")
+    key = F.struct("doc_id", "text_hash")
+    best = found.groupBy("root").agg(F.min(key).alias("best"))
+    keys = found.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    judged = written(keys.join(best, "root").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), (F.col("best") == key).alias("best"), "n"), "judged")
+    same = (F.col("doc_id").cast("long") == F.col("d")) & (jaccard_join.text_key() == F.col("h"))
+    kept = docs.join(judged.where("not best or n > 1"), same, "left_anti")
+    again = judged.where("best and n > 1")
     if not again.take(1):
         return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    copies = docs.join(again, same).groupBy("d", "h").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
+    return kept.unionByName(copies.select("row.*"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

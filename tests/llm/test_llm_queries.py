@@ -297,3 +297,20 @@ def test_pipeline_keeps_what_its_stages_keep(spark):
                 assert hashlib.sha256(b" ".join((r.text or "").encode().split())).hexdigest() == want[r.doc_id]
     pieces = p.run(spark, SMALL).collect()
     assert {r.doc_id for r in pieces} == {r.doc_id for r in kept.collect()}
+
+
+def test_near_duplicates_by_row(spark):
+    import corpus_pipeline as p
+
+    rnd = random.Random(6)
+    a, b, c = (" ".join(f"n{rnd.randrange(10**9)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, a, "x"), (2, b, "x"), (2, a, "x"), (3, c, "z"), (3, c, "y"), (3, c + " more", "a"), (4, None, "x"), (4, None, "x"), (4, b + " end", "x"), (None, a, "x"), (5, "", "x"), (5, c, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = [tuple(r) for r in p.near_duplicates(spark, docs, SMALL).collect()]
+    third = [r for r in got if r[0] == 3]
+    assert len(third) == 1 and third[0] in ((3, c, "y"), (3, c + " more", "a"))
+    want = [(1, a, "x"), (2, b, "x"), (4, None, "x"), (4, None, "x"), (None, a, "x"), (5, "", "x"), third[0]]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sorted(map(tuple, p.near_duplicates(spark, docs.repartition(3, "source"), SMALL).collect()), key=repr) == sorted(got, key=repr)
+    unrelated = spark.createDataFrame([(7, a, "x"), (7, b, "x")], docs.schema)
+    assert p.near_duplicates(spark, unrelated, SMALL).count() == 2
