@@ -314,3 +314,24 @@ def test_near_duplicates_by_row(spark):
     assert sorted(map(tuple, p.near_duplicates(spark, docs.repartition(3, "source"), SMALL).collect()), key=repr) == sorted(got, key=repr)
     unrelated = spark.createDataFrame([(7, a, "x"), (7, b, "x")], docs.schema)
     assert p.near_duplicates(spark, unrelated, SMALL).count() == 2
+
+
+@pytest.mark.parametrize("limits", [(64, 3, 64), (64, 64, 20), (64, 4, 25)])
+def test_packer_where_segments_or_loss_bind(limits):
+    rnd = random.Random(9)
+    loss = lambda start, length: (start + length + 1) // 2 - (start + 1) // 2  # noqa: E731  (each second token)
+    packer = vector_packing.Packer(limits, loss=loss)
+    ids = {k: b"".join(rnd.randrange(2**31).to_bytes(4, "little") for _ in range(rnd.choice([1, 2, 5, 30, 150]))) for k in range(400)}
+    rows = [r for k, i in ids.items() for r in packer.add(k, i)] + list(packer.finish())
+    by_key, by_sequence = {}, {}
+    for key, start, length, crc, total, sequence, offset in rows:
+        by_key.setdefault(key, []).append((start, length))
+        by_sequence.setdefault(sequence, []).append((offset, length, loss(start, length)))
+        assert crc == zlib.crc32(ids[key][4 * start : 4 * (start + length)]) and total == len(ids[key]) // 4
+    for key, parts in by_key.items():
+        ends = [0, *(s + n for s, n in sorted(parts))]
+        assert [s for s, _ in sorted(parts)] == ends[:-1] and ends[-1] == len(ids[key]) // 4
+    assert by_key.keys() == ids.keys()
+    for parts in by_sequence.values():
+        assert all(sum(x) <= most for x, most in zip(([n for _, n, _ in parts], [1] * len(parts), [x for *_, x in parts]), limits, strict=True))
+    assert max(len(p) for p in by_sequence.values()) == limits[1] or max(sum(x for *_, x in p) for p in by_sequence.values()) == limits[2]
