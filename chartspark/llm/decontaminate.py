@@ -1,18 +1,26 @@
 """Benchmark decontamination with a distributed positional inverted index; DataFrame functions only.
 
-Items become windows of 13 consecutive words (an item of fewer is one window). Terms of the
-benchmark are counted over the corpus; each window is looked up by its rarest term, and a window
-with a term that the corpus lacks is dropped. The index stores a posting for each occurrence of
-those terms: document, position, and the words up to twelve places to either side, so that the
-offset-adjusted intersection with all other terms of a window is one comparison of arrays.
-
-The corpus is scanned twice and its text never shuffled; only postings of rare terms leave a task.
-The term lists are broadcast after their bytes were counted (BROADCAST_BYTES); beyond that,
-counting aggregates before it joins, and postings join texts by document.
+The index is a table of postings: one for each occurrence of a benchmark term in the corpus, as
+(row, term, pos), and one end posting for each document, which holds its word count and ids. Texts
+are tokenised once, while it is written, and not read again.
+
+Windows are 13 consecutive words of an item (an item of fewer is one window). Each is looked up by
+its rarest term, as counted over the index; a window with a term that the corpus lacks is dropped.
+A posting of such a term gives an alignment: the offset between places in the document and in the
+item. Its list is intersected, adjusted by that offset, with the list of the second rarest term,
+and for alignments that are left, with the lists of all other terms: a window occurs where all its
+places are left. The same lists, shifted by up to ``slop`` places, give proximity matches.
+
+Shuffles: postings of documents that have an alignment, and what is asked of them; texts never.
+Terms and alignments are joined by size: the planner broadcasts a side only when its written bytes
+are under Spark's threshold; the terms are broadcast also where their bytes, counted, are under
+BROADCAST_BYTES. A term, item or document of any frequency is met in partial aggregates and in
+sort-merge joins that adaptive execution splits.
 
 Defined results: a null text has no words; a null item_id is not listed, but its windows count as
-hits; items of one item_id are one item; rows with one doc_id are judged row by row; an empty
-benchmark leaves every document clean; an empty corpus gives an empty table.
+hits; items of one item_id are one item; rows with one doc_id are judged row by row, equal rows
+alike; other columns are not read; an empty benchmark leaves every document clean; an empty corpus
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,27 +28,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartspark.llm.scratch import written
+from chartspark.llm.scratch import dropped, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Every ASCII character that is neither a letter nor a digit.
+BETWEEN = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 BROADCAST_BYTES = 16 << 20
+END = ""
 
 
 def words(text: Column) -> Column:
     """Words of a text: A-Z lower-cased, runs of 0-9, a-z and all beyond ASCII."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
-
-
-def row_key() -> Column:
-    """Tells rows apart, also those that share a doc_id; equal rows have equal keys."""
-    return F.xxhash64(F.col("doc_id").cast("string"), F.lit("/"), F.coalesce("text", F.lit("")))
+    plain = F.translate(F.coalesce(text, F.lit("")), UPPER + BETWEEN, LOWER + " " * len(BETWEEN))
+    return F.array_remove(F.split(plain, " "), "")
 
 
-def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
-    items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
-    return items.select("item_id", "w", F.explode(starts).alias("at")).select("item_id", F.expr(f"slice(w, at, {size})").alias("window")).distinct()
+def text_key() -> Column:
+    """With doc_id, tells rows of different texts apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _fits(df: DataFrame, column: str) -> bool:
@@ -48,55 +53,83 @@ def _fits(df: DataFrame, column: str) -> bool:
     return (df.agg(F.sum(F.octet_length(column) + 64)).first()[0] or 0) <= BROADCAST_BYTES
 
 
-def rarest(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """``item_id, window, term, offset``: the rarest term of each window, where the corpus has them all."""
-    terms = written(windows.select(F.explode("window").alias("term")).distinct(), "terms")
-    seen = docs.select(F.explode(words(F.col("text"))).alias("term"))
-    if _fits(terms, "term"):
-        counts = seen.join(F.broadcast(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    else:
-        counts = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(terms, "term")
-    parts = windows.select("item_id", "window", F.posexplode("window").alias("offset", "term")).join(written(counts, "counts"), "term", "left")
-    best = parts.groupBy("item_id", "window").agg(F.min(F.struct("n", "term", "offset")).alias("best"), F.count("n").alias("found"))
-    return best.where(F.col("found") == F.size("window")).select("item_id", "window", F.col("best.term").alias("term"), F.col("best.offset").alias("offset"))
-
-
-def postings(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
-    """The index: ``term, key, pos, near, lead`` for each occurrence of a term; near holds the words around, lead how many stand before."""
-    begin = F.greatest(F.col("pos") - reach, F.lit(0))
-    near = F.slice("w", begin + 1, F.col("pos") + reach + 1 - begin)
-    rows = docs.select(row_key().alias("key"), words(F.col("text")).alias("w"))
-    if _fits(terms, "term"):
-        found = rows.select("key", "w", F.posexplode("w").alias("pos", "term")).join(F.broadcast(terms), "term")
-    else:
-        found = rows.select("key", F.posexplode("w").alias("pos", "term")).join(terms, "term").join(rows, "key").distinct()
-    return found.select("term", "key", "pos", near.alias("near"), (F.col("pos") - begin).alias("lead"))
-
-
-def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
-    """``key, item_id, start, size``: exact occurrences of ``windows`` (item_id, window, term, offset)."""
-    met = index.join(windows, "term").where("lead >= offset and slice(near, lead - offset + 1, size(window)) = window")
-    return met.select("key", "item_id", (F.col("pos") - F.col("offset")).alias("start"), F.size("window").alias("size"))
-
-
-def proximity_matches(index: DataFrame, windows: DataFrame, slop: int) -> DataFrame:
-    """As ``phrase_matches``, but each word may stand up to ``slop`` places from where the phrase has it (the rarest term is in place)."""
-    near = f"forall(transform(window, (w, i) -> exists(slice(near, greatest(lead - offset + i + 1 - {slop}, 1), {slop} + 1 + least({slop}, greatest(lead - offset + i, 0))), x -> x = w)), y -> y)"
-    met = index.join(windows, "term").where(near)
-    return met.select("key", "item_id", (F.col("pos") - F.col("offset")).alias("start"), F.size("window").alias("size"))
-
-
-def contamination(documents: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items, key`` and the verdict ``contaminated``: hit words are at least 1/share of all."""
-    docs = documents.select("doc_id", "text")
-    windows = written(rarest(docs, item_windows(benchmark, size)), "rarest")
-    terms = windows.select("term").distinct()
-    matches = phrase_matches(postings(docs, terms, size - 1), windows)
-    spans = F.collect_set(F.struct("start", "size"))
-    hits = matches.groupBy("key").agg(spans.alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    places = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1)))
-    hits = hits.select("key", F.size(F.array_distinct(places)).cast("long").alias("hit"), "items")
-    out = docs.select("doc_id", row_key().alias("key"), F.size(words(F.col("text"))).cast("long").alias("n_words")).join(hits, "key", "left")
-    hit = F.coalesce("hit", F.lit(0).cast("long"))
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), "key").withColumn("contaminated", F.expr(f"n_hit > 0 and {share} * n_hit >= n_words"))
+def item_places(benchmark: DataFrame) -> DataFrame:
+    """``item, item_id, place, term, size``: the words of every item text; ``item`` numbers distinct texts of an item_id."""
+    items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
+    items = items.select(F.xxhash64(F.col("item_id").cast("string"), F.col("item_id").isNull(), "w").alias("item"), "item_id", "w")
+    return items.select("item", "item_id", F.size("w").alias("size"), F.posexplode("w").alias("place", "term"))
+
+
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The index: ``row, pos, term`` of each occurrence of ``terms``, and an END posting for each row, at its word count,
+    with ``doc_id`` and ``text_hash``. Rows are numbered as they are written; write the index before using it twice."""
+    asked = terms.select("term").unionByName(docs.sparkSession.range(1).select(F.lit(END).alias("term"))).distinct()
+    asked = F.broadcast(asked) if _fits(terms, "term") else asked
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_key().alias("text_hash"), F.concat(words(F.col("text")), F.array(F.lit(END))).alias("w"))
+    found = rows.select("row", "doc_id", "text_hash", F.posexplode("w").alias("pos", "term")).join(asked, "term")
+    end = F.col("term") == END
+    return found.select("row", "pos", "term", F.when(end, F.col("doc_id")).alias("doc_id"), F.when(end, F.col("text_hash")).alias("text_hash"))
+
+
+def rarest(index: DataFrame, places: DataFrame, size: int) -> DataFrame:
+    """``item, at, width, of, term, of2, term2``: for each window (by its first place ``at``), places and terms of its two
+    rarest words (of a window of one word, the second is null); only where the corpus has all its terms."""
+    counts = index.where(F.col("term") != END).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counted = places.join(counts, "term", "left")
+    first, last = F.greatest(F.col("place") - size + 1, F.lit(0)), F.least("place", F.greatest(F.col("size") - size, F.lit(0)))
+    parts = counted.select("item", "size", "place", "term", "n", F.explode(F.sequence(first, last)).alias("at"))
+    ranked = parts.groupBy("item", "at").agg(F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("n", "term", "place")))).alias("by"), F.least(F.first("size"), F.lit(size)).alias("width"))
+    one = lambda i, what: F.get("by", F.lit(i))[what]
+    return ranked.where(F.size("by") == F.col("width")).select("item", "at", "width", one(0, "place").alias("of"), one(0, "term").alias("term"), one(1, "place").alias("of2"), one(1, "term").alias("term2"))
+
+
+def _shifted(slop: int) -> Column:
+    return F.explode(F.sequence(F.lit(-slop), F.lit(slop)))
+
+
+def alignments(index: DataFrame, windows: DataFrame, slop: int) -> DataFrame:
+    """``row, item, shift, low, high``: where the lists of the two rarest terms of a window meet, and the places in the item of all such windows."""
+    looked = windows.select("term", "item", "at", "width", "of", "of2", "term2")
+    first = index.join(looked, "term").select("row", "item", "at", "width", "of2", "term2", (F.col("pos") - F.col("of")).alias("shift"))
+    second = index.join(windows.where("term2 is not null").select(F.col("term2").alias("term")).distinct(), "term").select("row", F.col("term").alias("term2"), "pos")
+    asked = first.where("term2 is not null").withColumn("off", _shifted(slop))
+    asked = asked.withColumn("pos", F.col("shift") + F.col("of2") + F.col("off"))
+    met = asked.join(second, ["row", "term2", "pos"], "left_semi").select("row", "item", "shift", "at", "width")
+    both = met.unionByName(first.where("term2 is null").select("row", "item", "shift", "at", "width"))
+    return both.groupBy("row", "item", "shift").agg(F.min("at").alias("low"), F.max(F.col("at") + F.col("width")).alias("high"))
+
+
+def matches(index: DataFrame, places: DataFrame, size: int = 13, slop: int = 0) -> DataFrame:
+    """``row, item, shift, at, width, exact``: windows of items that occur in a row, the first word at ``shift + at``.
+    ``exact`` is false for those of which words stand up to ``slop`` places off (the rarest is in place). ``index`` and ``places`` as written tables."""
+    windows = written(rarest(index, places, size), "windows")
+    aligned = written(alignments(index, windows, slop), "aligned")
+    near = index.where(F.col("term") != END).join(aligned.select("row").distinct(), "row", "left_semi").select("row", "pos", "term")
+    asked = aligned.join(places.select("item", "place", "term"), "item").where("place >= low and place < high").withColumn("off", _shifted(slop))
+    asked = asked.select("row", "item", "shift", "term", "place", "off", (F.col("shift") + F.col("place") + F.col("off")).alias("pos"))
+    left = asked.join(near, ["row", "term", "pos"])
+    there = left.groupBy("row", "item", "shift").agg(F.collect_set(F.when(F.col("off") == 0, F.col("place"))).alias("same"), F.collect_set("place").alias("around"))
+    listed = windows.groupBy("item").agg(F.collect_list(F.struct("at", "width", "of")).alias("windows"))
+    spread = there.join(listed, "item").select("row", "item", "shift", "same", "around", F.inline("windows"))
+    held = lambda c: F.size(F.array_intersect(c, F.sequence(F.col("at"), F.col("at") + F.col("width") - 1))) == F.col("width")
+    found = spread.where(F.array_contains("same", F.col("of")) & held(F.col("around")))
+    return found.select("row", "item", "shift", "at", "width", held(F.col("same")).alias("exact"))
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, slop: int = 2) -> DataFrame:
+    """``doc_id, text_hash, n_words, n_hit, n_items, items, n_near`` and the verdict ``contaminated``: words in exact
+    matches are at least 1/share of all. ``n_near`` counts the items of which a window occurs with words up to ``slop`` places off, exact ones included."""
+    places = written(item_places(benchmark), "places")
+    index = written(postings(documents.select("doc_id", "text"), places.select("term").distinct()), "index")
+    found = written(matches(index, places, size, slop), "matches")
+    exact = found.where("exact")
+    covered = exact.select("row", F.explode(F.sequence(F.col("shift") + F.col("at"), F.col("shift") + F.col("at") + F.col("width") - 1)).alias("pos"))
+    hit = covered.groupBy("row").agg(F.count_distinct("pos").alias("hit"))
+    names = places.select("item", F.col("item_id").cast("string").alias("id")).distinct()
+    named = exact.select("row", "item").distinct().join(names, "item").groupBy("row").agg(F.array_sort(F.collect_set("id")).alias("items"))
+    near = found.select("row", "item").distinct().join(names, "item").groupBy("row").agg(F.count_distinct("id").alias("near"))
+    ends = index.where(F.col("term") == END).select("row", "doc_id", "text_hash", F.col("pos").cast("long").alias("n_words"))
+    out = ends.join(hit, "row", "left").join(named, "row", "left").join(near, "row", "left")
+    items, zero = F.coalesce("items", F.array().cast("array<string>")), F.lit(0).cast("long")
+    out = out.select("doc_id", "text_hash", "n_words", F.coalesce("hit", zero).alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), F.coalesce("near", zero).alias("n_near"))
+    return out.withColumn("contaminated", F.expr(f"n_hit > 0 and {share} * n_hit >= n_words"))

@@ -52,7 +52,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
-    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated", "n_near")
 
 
 def op9_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,10 +132,20 @@ sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)),
 m AS (SELECT DISTINCT doc_id, s, dw.n, item_id FROM dw JOIN bw ON bw.n = dw.n AND bw.g = dw.g),
 hit AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS i FROM m) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM m) GROUP BY doc_id)
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM m) GROUP BY doc_id),
+tx AS (SELECT row_number() OVER (ORDER BY item_id, w) AS item, item_id, w FROM (SELECT DISTINCT item_id, w FROM b WHERE len(w) > 0)),
+bp AS (SELECT item, len(w) AS size, unnest(range(len(w))) AS place, unnest(w) AS term FROM tx),
+dp AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS term FROM d),
+tc AS (SELECT term, count(*) AS n FROM dp SEMI JOIN bp USING (term) GROUP BY term),
+wp AS (SELECT item, least(size, 13) AS width, place, term, n, unnest(range(greatest(place - 12, 0), least(place, greatest(size - 13, 0)) + 1)) AS a0 FROM bp LEFT JOIN tc USING (term)),
+wr AS (SELECT item, a0, width, min({'n': n, 'term': term, 'place': place}) AS r FROM wp GROUP BY item, a0, width HAVING count(n) = width),
+al AS (SELECT DISTINCT doc_id, item, a0, width, pos - r.place AS shift FROM wr JOIN dp ON dp.term = r.term),
+nm AS (SELECT DISTINCT al.doc_id, al.item, al.a0, al.width, al.shift, bp.place FROM al JOIN bp ON bp.item = al.item AND bp.place >= al.a0 AND bp.place < al.a0 + al.width
+  JOIN dp ON dp.doc_id = al.doc_id AND dp.term = bp.term AND abs(dp.pos - al.shift - bp.place) <= 2),
+nr AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (SELECT doc_id, item FROM nm GROUP BY doc_id, item, a0, width, shift HAVING count(*) = width) JOIN tx USING (item) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nr USING (doc_id)""",
     "op2_url_filter": """
 WITH u AS (
   SELECT page_id,

@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,29 +24,44 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def written(df: DataFrame, name: str, *consumed: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back; then drop the written tables ``consumed``.
 
-    Cuts the lineage (a lost executor costs one read, not the whole job), gives the planner
-    real sizes, and lets Spark drop the shuffle files of everything before.
+    Cuts the lineage (a lost executor costs one read, not the whole job) and gives the planner
+    real sizes. Spark frees the shuffle files of a plan when the driver has collected it, so the
+    driver collects its garbage here: else they would pile up for as long as its heap has room.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    _written.append((spark, path))
+    _written[path] = spark
     del df
+    dropped(*consumed)
     gc.collect()
     spark._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        for file in t.inputFiles()[:1]:
+            path = next((p for p in _written if file.split("://")[-1].split(":", 1)[-1].lstrip("/").startswith(p.split("://")[-1].lstrip("/") + "/")), None)
+            if path:
+                _delete(path)
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _clean() -> None:
-    for spark, path in _written:
+    for path in list(_written):
         try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(path)
         except Exception:  # the session may be gone already; the folder belongs to the cluster
             return
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import pytest
@@ -182,9 +183,53 @@ def test_decontamination_awkward(spark):
     bench = spark.createDataFrame([(7, " ".join(words)), (8, "Key-phrase"), (None, "só"), (9, None), (9, "")], "item_id long, text string")
     got = {(r.doc_id, r.n_words): (r.n_hit, tuple(r["items"]), r.contaminated) for r in decontaminate.contamination(docs, bench).collect()}
     assert got == {(1, 15): (13, ("7",), True), (2, 0): (0, (), False), (None, 14): (14, ("7",), True), (3, 12): (0, (), False), (4, 2): (2, (), True), (5, 602): (2, ("8",), False)}
-    windows = decontaminate.rarest(docs, decontaminate.item_windows(bench, 13))
-    index = decontaminate.postings(docs, windows.select("term").distinct(), 12)
-    assert decontaminate.phrase_matches(index, windows).count() <= decontaminate.proximity_matches(index, windows, 1).count()
+
+
+def brute_contamination(docs, bench, size=13, share=20):
+    """(doc_id, n_words, n_hit, items, contaminated) of each row, by scanning every window at every place."""
+    find = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
+    low = lambda t: find((t or "").translate(str.maketrans(decontaminate.UPPER, decontaminate.LOWER)))
+    windows = {}
+    for item, text in bench:
+        w = low(text)
+        for at in range(max(1, len(w) - size + 1) if w else 0):
+            windows.setdefault(tuple(w[at : at + size]), set()).add(None if item is None else str(item))
+    out = []
+    for doc, text in docs:
+        w, hit, items = low(text), set(), set()
+        for n in {len(x) for x in windows}:
+            for at in range(len(w) - n + 1):
+                if tuple(w[at : at + n]) in windows:
+                    hit |= set(range(at, at + n))
+                    items |= windows[tuple(w[at : at + n])] - {None}
+        out.append((doc, len(w), len(hit), tuple(sorted(items)), bool(hit) and share * len(hit) >= len(w)))
+    return sorted(out, key=repr)
+
+
+def contamination_rows(docs, bench):
+    return sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in decontaminate.contamination(docs, bench).collect()), key=repr)
+
+
+@pytest.mark.parametrize("broadcast", [16 << 20, 0])
+def test_decontamination_against_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", broadcast)
+    rnd = random.Random(8)
+    word = lambda: f"b{rnd.randrange(30)}"
+    bench = [(i % 9 if i else None, " ".join(word() for _ in range(rnd.choice([0, 1, 2, 12, 13, 14, 30])))) for i in range(14)] + [(3, None)]
+    docs = [(i, " ".join(word() for _ in range(20)) + " " + (rnd.choice(bench)[1] or "") + " " + word()) for i in range(60)]
+    docs += [(None, bench[5][1]), (1, docs[1][1]), (1, docs[1][1]), (2, ""), (3, None), (99, " ".join(word() for _ in range(30_000)))]
+    rows = spark.createDataFrame([(d, t, 1, "x") for d, t in docs], "doc_id long, text string, pos int, term string").repartition(3)
+    assert contamination_rows(rows, spark.createDataFrame(bench, "item_id long, text string")) == brute_contamination(docs, bench)
+
+
+def test_proximity_matches(spark):
+    words = [f"p{i}" for i in range(13)]
+    moved = words[:5] + ["x"] + words[5:]  # from the sixth on, one place late
+    far = words[:5] + ["x"] * 3 + words[5:]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((words, moved, far, words[:5] + words[6:], moved[::-1]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: (r.n_items, r.n_near) for r in decontaminate.contamination(docs, bench, slop=2).collect()}
+    assert got == {0: (1, 1), 1: (0, 1), 2: (0, 0), 3: (0, 0), 4: (0, 0)}
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><nav><a>n</a></nav><div class="ad">buy</div>
