@@ -44,8 +44,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark does not contaminate."""
-    bad = written(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("key").distinct(), "contaminated")
-    return docs.join(bad, decontaminate.row_key() == bad["key"], "left_anti")
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
+    bad = written(found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct(), "contaminated")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("d")) & (decontaminate.text_key() == F.col("h")), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
