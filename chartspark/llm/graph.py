@@ -27,9 +27,10 @@ def _small_star(e: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` of every node of ``links`` (columns u, v) but the roots; the root is the least node."""
     e = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    before = None
+    before, last = None, ()
     while True:
-        e = written(_small_star(_large_star(e)), "stars")
+        e = written(_small_star(_large_star(e)), "stars", *last)
+        last = (e,)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

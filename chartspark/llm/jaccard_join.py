@@ -4,16 +4,21 @@
    is one node from here on.
 2. Blocks: of two sets that link, each holds a shingle of the other among its first
    |x| - ceil(percent * |x|) + 1 shingles, in any order common to all sets. The order puts shingles
-   that are frequent in the corpus last (heavy hitters, counted over all documents; at most
-   1 / FREQUENT times the mean set size of them, so they can be broadcast), which keeps blocks
-   small. Blocks with equal members count once.
+   last that are frequent in some part of the corpus and in all of it (at most 1 / FREQUENT times
+   the mean set size of them, so they can be broadcast), which keeps blocks small and changes no
+   result. Blocks are found over ranges of equal size of the sorted (shingle, set) rows, so a
+   shingle of any frequency lies in as many ranges as it fills. Blocks with equal members count once.
 3. In each block a signature tree gives pairs that may link, enough to connect all that could be
-   connected (``signature_tree``).
-4. These pairs are checked exactly, on whole sets. Blocks with a pair that failed are taken again,
-   with the links found so far as components: members that may still link across components are
-   compared there on whole sets. Then every pair that links is connected through checked links.
+   connected (``signature_tree``). Their components are closed: no link leads out of one.
+4. Each set of such a component is sent once, to its component, where a signature tree with wide
+   bitmaps, and comparison of whole sets, gives links that connect all that link.
 5. Components by large-star and small-star; the smallest doc_id of each names it.
 
+A block or component of more than HELD members or HELD_SHINGLES shingles is dealt out in parts
+(``_spanned``): first each part with one member common to all parts, then members outside of the
+largest component found by then, against all parts. A group of near copies of any size is
+connected in the first step, so the second has the few that are left.
+
 Defined results: a text without words, or null, has an empty set and links with nothing; a text
 of fewer words than a shingle has one shingle, all of them; a null doc_id takes no part and has no
 component; rows with one doc_id are judged row by row; an empty table gives an empty table; other
@@ -26,18 +31,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartspark.llm import signature_tree as st
 from chartspark.llm.graph import components
-from chartspark.llm.scratch import written
+from chartspark.llm.scratch import dropped, written
 from chartspark.llm.words import BASE, U, Hasher, grams, mix, rows_of, signed, slices
 
 #: A shingle in this share of all documents is put last in the order of shingles.
 FREQUENT = 1 / 500
 #: The most of them that are used; more only makes blocks larger, never the result different.
 FREQUENT_MOST = 250_000
+#: The most members, and shingles of them, that one task compares at once; more are dealt out in parts.
+HELD, HELD_SHINGLES = 8192, 4 << 20
 
 
 def shingle_sets(column: pa.Array, hasher: Hasher, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +81,7 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
-    """Shingles in at least FREQUENT of all documents, sorted: those that are so in some part of a task, with their counts there."""
+    """Shingles in at least FREQUENT of all documents by their counts in the parts of tasks where they are as frequent, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(fold=True)
@@ -141,74 +149,101 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of the blocks with at least two, and a hash of all members."""
-    for t in _groups(batches, "token"):
-        token, node, size = (t.column(c).to_numpy() for c in ("token", "node", "n"))
-        once = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of blocks with at least two, from rows sorted by token and node, one batch at a time. The first row of a
+    block has sums over its members in this batch; where a batch ends inside a block, several rows have a part of them."""
+    before = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        token, node, size = (b.column(c).to_numpy() for c in ("token", "node", "n"))
+        once = np.r_[before != (token[0], node[0]), (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
+        before = token[-1], node[-1]
         token, node, size = token[once], node[once], size[once]
+        if not len(token):
+            continue
         begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         count = np.diff(np.r_[begin, len(token)])
-        members = mix(np.add.reduceat(mix(node.view(U), 31), begin) + count.astype(U), 32)
-        many = np.repeat(count > 1, count)
-        if many.any():
-            yield pa.RecordBatch.from_arrays([signed(np.repeat(members, count)[many]), pa.array(token[many]), pa.array(node[many]), pa.array(size[many])], names=["members", "token", "node", "n"])
-
-
-def _per_block(batches: Iterator[pa.RecordBatch], rows_of_block, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows of integers from each block of rows sorted by token."""
-    for t in _groups(batches, "token"):
-        token = t.column("token").to_numpy()
-        begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        many = count > 1
+        many[[0, -1]] = True
+        keep = np.repeat(many, count)
+        first = np.zeros(len(token), bool)
+        first[begin] = True
+        sums = [np.repeat(x, count) for x in (*(np.bitwise_xor.reduceat(mix(node.view(U), k), begin).view(np.int64) for k in (31, 32)), count, np.add.reduceat(size.astype(np.int64), begin))]
+        none = pa.array(~first[keep])
+        yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(node[keep]), pa.array(size[keep]), *(pc.if_else(none, None, pa.array(x[keep])) for x in sums)], names=["token", "node", "n", "h1", "h2", "members", "load"])
+
+
+def _per_unit(batches: Iterator[pa.RecordBatch], links_of) -> Iterator[pa.RecordBatch]:
+    """``u, v`` from each unit of rows sorted by unit, n and node; a node counts once."""
+    for t in _groups(batches, "unit"):
+        unit, node = t.column("unit").to_numpy(), t.column("node").to_numpy()
+        new = np.r_[True, unit[1:] != unit[:-1]]
+        once = new | np.r_[True, node[1:] != node[:-1]]
+        t, unit = t.filter(pa.array(once)), unit[once]
+        begin = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
         out: list[tuple] = []
-        for at, end in zip(begin, np.r_[begin[1:], len(token)], strict=True):
-            g = t.slice(at, end - at)
-            out += rows_of_block(int(token[at]), g.column("node").to_numpy(), g.column("n").to_numpy().astype(np.int64), g)
+        for at, end in zip(begin, np.r_[begin[1:], len(unit)], strict=True):
+            if end - at > 1:
+                g = t.slice(at, end - at)
+                node = g.column("node").to_numpy()
+                label = np.unique(g.column("root").to_numpy(), return_inverse=True)[1]
+                out += [(int(node[i]), int(node[j])) for i, j in links_of(node, g.column("n").to_numpy().astype(np.int64), label, g.column("data").to_pylist())]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
-
-
-def _labels(g: pa.Table) -> np.ndarray:
-    return np.unique(g.column("root").to_numpy(), return_inverse=True)[1]
-
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
 
-def _narrow(g: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(x, U) for x in g.column("bits").to_pylist()]
 
-
-def _candidates(percent: int):
+def _may_link(percent: int):
     """Pairs that may link by their bitmaps, and connect all that may be connected."""
+    return lambda node, size, label, data: st.Block([np.frombuffer(x, U) for x in data], size, label, percent, node).spanning()
 
-    def block(token, node, size, g):
-        found = st.Block(_narrow(g), size, np.arange(len(node)), percent).spanning()
-        return [(token, *sorted((int(node[i]), int(node[j])))) for i, j in found]
-
-    return lambda it: _per_block(it, block, ["token", "u", "v"])
 
+def _do_link(percent: int):
+    """Links, by whole sets, that connect all that link; wide bitmaps spare most comparisons."""
 
-def _involved(percent: int):
-    """Members that may link with a member of another component."""
+    def links(node, size, label, data):
+        sets = [np.frombuffer(x, U) for x in data]
+        bits = [st.bitmap(s, st.WIDE * st.width_of(len(s))) for s in sets]
 
-    def block(token, node, size, g):
-        return [(token, int(node[i]), int(size[i])) for i in st.Block(_narrow(g), size, _labels(g), percent).involved()]
+        def check(i: int, j: int) -> bool:
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            return 100 * both >= percent * (size[i] + size[j] - both)
 
-    return lambda it: _per_block(it, block, ["token", "node", "n"])
+        return st.Block(bits, size, label, percent, node).spanning(check)
 
+    return links
 
-def _settled(percent: int):
-    """Links between components, by whole sets; wide bitmaps spare most comparisons."""
 
-    def block(token, node, size, g):
-        sets = [np.frombuffer(x, U) for x in g.column("set").to_pylist()]
-        bits = [st.bitmap(s, st.WIDE * st.width_of(len(s))) for s in sets]
+def _spanned(rows: DataFrame, links_of, name: str) -> DataFrame:
+    """``u, v``: pairs of one group, by ``links_of``, that connect all that such pairs of a group connect.
+    ``rows``, a written table: group, node, n, data, and of the whole group ``members`` and ``load`` (shingles)."""
 
-        def check(i: int, j: int) -> bool:
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            return 100 * both >= percent * (size[i] + size[j] - both)
+    def units(df: DataFrame, *key: str) -> DataFrame:
+        unit = df.select(F.xxhash64(*key).alias("unit"), "node", F.col("n").cast("int").alias("n"), "root", "data")
+        return unit.repartition("unit").sortWithinPartitions("unit", "n", "node").mapInArrow(lambda it: _per_unit(it, links_of), "u long, v long")
 
-        return [(int(node[i]), int(node[j])) for i, j in st.Block(bits, size, _labels(g), percent).spanning(check)]
+    def each(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long") - 1))
 
-    return lambda it: _per_block(it, block, ["u", "v"])
+    parts = F.greatest(F.ceil(F.col("members") / HELD), F.ceil(F.col("load") / HELD_SHINGLES)).cast("int")
+    dealt = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("root", F.col("node"))
+    big = dealt.where("parts > 1")
+    pivot = big.groupBy("group", "parts").agg(F.min(F.struct(F.xxhash64("node").alias("by"), "node", "n", "data")).alias("p"))
+    pivot = pivot.select("group", "p.node", "p.n", "p.data", each("parts").alias("part"), F.col("p.node").alias("root"))
+    columns = ["group", "part", "node", "n", "root", "data"]
+    links = written(units(dealt.select(*columns).unionByName(pivot.select(*columns)), "group", "part"), name)
+    if not big.take(1):
+        return links
+    found = big.drop("root").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    counts = found.groupBy("group", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
+    most = counts.groupBy("group").agg(F.max_by("root", F.struct("k", "root")).alias("major"))
+    left = counts.join(most, "group").where("root <> major").groupBy("group").agg(F.greatest(F.ceil(F.sum("k") / HELD), F.ceil(F.sum("s") / HELD_SHINGLES)).cast("int").alias("lefts"))
+    open_ = found.join(most.join(left, "group"), "group")
+    all_ = open_.withColumn("other", each("lefts"))
+    few = open_.where("root <> major").withColumn("other", F.pmod(F.xxhash64("node", F.lit(1)), F.col("lefts"))).drop("part").withColumn("part", each("parts"))
+    columns.append("other")
+    more = units(all_.select(*columns).unionByName(few.select(*columns)), "group", "part", "other")
+    return written(links.unionByName(more), name, links)
 
 
 def _sets(wanted: DataFrame, docs: DataFrame, place: DataFrame, n: int) -> DataFrame:
@@ -227,26 +262,6 @@ def _sets(wanted: DataFrame, docs: DataFrame, place: DataFrame, n: int) -> DataF
     return written(texts.mapInArrow(run, "node long, set binary").dropDuplicates(["node"]), "sets")
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``u, v, linked`` of distinct ``pairs``, on whole sets."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            linked = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(linked, pa.bool_())], names=["u", "v", "linked"])
-
-    x, y = (sets.select(F.col("node").alias(k), F.col("set").alias(s)) for k, s in (("u", "x"), ("v", "y")))
-    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(compare, "u long, v long, linked boolean")
-
-
-def _by_token(rows: DataFrame) -> DataFrame:
-    return rows.repartition("token").sortWithinPartitions("token", "n", "node")
-
-
 def linked_components(documents: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``documents`` (doc_id, text)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -279,27 +294,22 @@ def _rooted(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> tuple[Da
     """``node, doc_id`` (the smallest with that set) of all nodes, and ``node, root`` of those that link with another."""
     place = nodes.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     tokens = nodes.where("prefix is not null").select(F.explode("prefix").alias("token"), "node", F.col("n_shingles").cast("int").alias("n"))
-    tokens = tokens.repartition("token").sortWithinPartitions("token", "node")
-    members = written(tokens.mapInArrow(_blocks, "members long, token long, node long, n int"), "members")
-    first = members.groupBy("members").agg(F.min("token").alias("token"))
+    tokens = tokens.repartitionByRange("token", "node").sortWithinPartitions("token", "node")
+    seen = written(tokens.mapInArrow(_members, "token long, node long, n int, h1 long, h2 long, members long, load long"), "members")
+    sums = seen.where("members is not null").groupBy("token").agg(F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"), F.sum("members").alias("members"), F.sum("load").alias("load"))
+    kept = sums.where("members > 1").groupBy("h1", "h2", "members", "load").agg(F.min("token").alias("token")).select("token", "members", "load")
     bits = nodes.where("bits is not null").select("node", "bits").dropDuplicates(["node"])
-    blocks = members.join(first, ["members", "token"]).select("token", "node", "n")
-    blocks = written(blocks.join(bits, "node").select("token", "node", "n", "bits"), "blocks")
-
-    found = written(_by_token(blocks).mapInArrow(_candidates(percent), "token long, u long, v long"), "pairs")
-    pairs = found.select("u", "v").distinct()
-    sets = _sets(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), docs, place, n)
-    checked = written(_checked(pairs, sets, percent), "checked")
-    links = checked.where("linked").select("u", "v")
-    roots = components(links)
-    failed = checked.where("not linked")
-    if failed.take(1):
-        again = found.join(failed, ["u", "v"]).select("token").distinct()
-        open_ = blocks.join(again, "token", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = written(_by_token(open_).mapInArrow(_involved(percent), "token long, node long, n long"), "involved")
-        sets = _sets(open_.select("node").distinct(), docs, place, n)
-        whole = open_.join(sets, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        more = written(_by_token(whole).mapInArrow(_settled(percent), "u long, v long"), "more")
-        if more.take(1):
-            roots = components(links.unionByName(more))
-    return place, roots
+    blocks = seen.select("token", "node", "n").join(kept, "token").join(bits, "node")
+    blocks = written(blocks.select(F.col("token").alias("group"), "node", "n", F.col("bits").alias("data"), "members", "load"), "blocks", seen)
+    pairs = _spanned(blocks, _may_link(percent), "pairs")
+    dropped(blocks)
+    roots = components(pairs)
+    near = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
+    sets = _sets(near.select("node"), docs, place, n)
+    size = F.octet_length("set") / 8
+    of = sets.select("node", size.cast("long").alias("n"), "set").join(near, "node")
+    sums = of.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("load"))
+    whole = written(of.join(sums, "root").select(F.col("root").alias("group"), "node", "n", F.col("set").alias("data"), "members", "load"), "whole", sets)
+    links = _spanned(whole, _do_link(percent), "links")
+    dropped(whole, pairs)
+    return place, components(links)

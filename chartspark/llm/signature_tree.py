@@ -21,6 +21,7 @@ from chartspark.llm.words import U, mix
 FAN = 8
 #: 64-bit words of bitmaps that one step compares.
 STEP_WORDS = 1 << 21
+PIVOTS = 3
 #: Bits of a wide bitmap for one of a narrow one.
 WIDE = 16
 
@@ -83,6 +84,12 @@ class _Union:
         self.label[self.label == max(a, b)] = min(a, b)
         return True
 
+    def gather(self, i: int, labels: np.ndarray) -> None:
+        """Join the components ``labels`` with that of ``i``."""
+        every = np.append(labels, self.label[i])
+        self.joined += 1
+        self.label[np.isin(self.label, every)] = every.min()
+
 
 def _span(labels: np.ndarray, levels: int) -> list[tuple[np.ndarray, np.ndarray]]:
     out = [(labels, labels)]
@@ -133,10 +140,11 @@ def _traverse(ta: Tree, tb: Tree, rows_a: np.ndarray, rows_b: np.ndarray, same:
 
 
 class Block:
-    """The sets of one block: bitmaps of any widths, sizes, and the components known so far."""
+    """The sets of one block: bitmaps of any widths, sizes, and the components known so far. ``names`` (integers) choose pivots."""
 
-    def __init__(self, bitmaps: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, percent: int = 75) -> None:
+    def __init__(self, bitmaps: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, percent: int = 75, names: np.ndarray | None = None) -> None:
         self.union, self.percent = _Union(labels), percent
+        self.rank = mix((np.arange(len(sizes)) if names is None else names).astype(np.int64).view(U), 95)
         width = np.array([len(b) for b in bitmaps])
         order = np.argsort(sizes, kind="stable")
         self.trees: dict[int, tuple[Tree, np.ndarray]] = {}
@@ -150,9 +158,10 @@ class Block:
                 self.crossed.append((tree, Tree(folded(wide.levels[0][0], w), sizes[above]), rows, above))
 
     def _pivots(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """A member of each class against all: in a group of near copies this connects most at once."""
+        """The members of least rank against all: in a group of near copies this connects most at once, and blocks of
+        one group have the same pivots, so together they give about as many pairs as the group has members."""
         for tree, rows in self.trees.values():
-            for pivot in (len(rows) // 2, 0) if len(rows) >= 4 * FAN else ():
+            for pivot in np.argsort(self.rank[rows])[:PIVOTS].tolist():
                 j = np.flatnonzero(self.union.label[rows] != self.union.label[rows[pivot]])
                 j = j[_possible(tree.levels[0], tree.levels[0], np.full(len(j), pivot), j, self.percent)]
                 yield np.full(len(j), rows[pivot]), rows[j]
@@ -169,22 +178,16 @@ class Block:
         Taking all of them as links, no other such pair joins two components.
         """
         out = []
+        label, join = self.union.label, self.union.join
         for pairs in (self._pivots(), self._all()):
             for a, b in pairs:
-                while len(a):
-                    i, j = int(a[0]), int(b[0])
-                    if check is not None and not check(i, j):
-                        a, b = a[1:], b[1:]
-                        continue
-                    self.union.join(i, j)
-                    out.append((i, j))
-                    keep = self.union.label[a] != self.union.label[b]
-                    a, b = a[keep], b[keep]
+                if check is None and len(a) and (a == a[0]).all():
+                    _, first = np.unique(label[b], return_index=True)
+                    out += [(int(a[0]), int(j)) for j in b[first]]
+                    self.union.gather(int(a[0]), label[b[first]])
+                    continue
+                for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                    if label[i] != label[j] and (check is None or check(i, j)):
+                        join(i, j)
+                        out.append((i, j))
         return out
-
-    def involved(self) -> np.ndarray:
-        """The sets that may link with one of another component."""
-        seen = np.zeros(len(self.union.label), bool)
-        for a, b in self._all():
-            seen[a] = seen[b] = True
-        return np.flatnonzero(seen)

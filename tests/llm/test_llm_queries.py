@@ -98,7 +98,10 @@ def test_suffix_dedup_whole_rows(spark):
         assert {tuple(r) for r in suffix_dedup.repeats(docs).collect()} == want
 
 
-def test_jaccard_on_awkward_rows(spark):
+@pytest.mark.parametrize(("held", "shingles"), [(8192, 4 << 20), (3, 4 << 20), (8192, 300)])
+def test_jaccard_on_awkward_rows(spark, monkeypatch, held, shingles):
+    monkeypatch.setattr(jaccard_join, "HELD", held)
+    monkeypatch.setattr(jaccard_join, "HELD_SHINGLES", shingles)
     docs = awkward(spark, 2)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     sets = []
