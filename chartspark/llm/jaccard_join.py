@@ -10,7 +10,7 @@
    shingle of any frequency lies in as many ranges as it fills. Blocks with equal members count once.
 3. In each block a signature tree gives pairs that may link, enough to connect all that could be
    connected (``signature_tree``). Their components are closed: no link leads out of one.
-4. Each set of such a component is sent once, to its component, where a signature tree with wide
+4. Each set of such a component is sent once more, to its component, where a signature tree with wide
    bitmaps, and comparison of whole sets, gives links that connect all that link.
 5. Components by large-star and small-star; the smallest doc_id of each names it.
 
@@ -46,6 +46,8 @@ FREQUENT = 1 / 500
 FREQUENT_MOST = 250_000
 #: The most members, and shingles of them, that one task compares at once; more are dealt out in parts.
 HELD, HELD_SHINGLES = 8192, 4 << 20
+#: Bits of the map that passes texts of wanted documents; fewer than ids only means that more texts are read in vain.
+SLOTS = 1 << 22
 
 
 def shingle_sets(column: pa.Array, hasher: Hasher, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -246,20 +248,27 @@ def _spanned(rows: DataFrame, links_of, name: str) -> DataFrame:
     return written(links.unionByName(more), name, links)
 
 
-def _sets(wanted: DataFrame, docs: DataFrame, place: DataFrame, n: int) -> DataFrame:
-    """``node, set`` of the nodes of ``wanted``, from their texts. ``place``: node, doc_id."""
+def _sets(wanted: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """``wanted`` (doc_id, node and more) with ``data``, the set of the node, from the text of that doc_id; equal rows give
+    equal rows. Texts are not shuffled: a bitmap of hashed ids, of SLOTS bits whatever their number, passes the texts that
+    may be wanted and few others, and their sets are joined."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int")
+    slots = np.zeros(SLOTS, bool)
+    slots[wanted.select(at.alias("slot")).distinct().toArrow().column(0).to_numpy()] = True  # at most SLOTS numbers
+    passed = docs.sparkSession.sparkContext.broadcast(np.packbits(slots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(fold=True)
+        hasher, open_ = Hasher(fold=True), np.unpackbits(passed.value).astype(bool)
         for batch in batches:
+            batch = batch.filter(pa.array(open_[batch.column("slot").to_numpy()]))
             for part in slices(batch, "text"):
                 hashes, offsets = shingle_sets(part.column("text"), hasher, n)
                 own = [hashes[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                keep = [i for i, (s, node) in enumerate(zip(own, part.column("node").to_pylist(), strict=True)) if len(s) and node_of(s) == node]
-                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(keep, pa.int64())), pa.array([own[i].tobytes() for i in keep], pa.binary())], names=["node", "set"])
+                keep = [i for i, s in enumerate(own) if len(s)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(keep, pa.int64())), pa.array([node_of(own[i]) for i in keep], pa.int64()), pa.array([own[i].tobytes() for i in keep], pa.binary())], names=["doc_id", "node", "data"])
 
-    texts = docs.join(written(wanted.join(place, "node"), "wanted"), "doc_id").select("node", "text")
-    return written(texts.mapInArrow(run, "node long, set binary").dropDuplicates(["node"]), "sets")
+    rows = docs.where("doc_id is not null").select("doc_id", "text", at.alias("slot"))
+    return rows.mapInArrow(run, "doc_id long, node long, data binary").join(wanted, ["doc_id", "node"])
 
 
 def linked_components(documents: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
@@ -292,7 +301,7 @@ def linked_rows(documents: DataFrame, n: int = 5, percent: int = 75) -> DataFram
 
 def _rooted(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """``node, doc_id`` (the smallest with that set) of all nodes, and ``node, root`` of those that link with another."""
-    place = nodes.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    place = nodes.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
     tokens = nodes.where("prefix is not null").select(F.explode("prefix").alias("token"), "node", F.col("n_shingles").cast("int").alias("n"))
     tokens = tokens.repartitionByRange("token", "node").sortWithinPartitions("token", "node")
     seen = written(tokens.mapInArrow(_members, "token long, node long, n int, h1 long, h2 long, members long, load long"), "members")
@@ -304,12 +313,10 @@ def _rooted(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> tuple[Da
     pairs = _spanned(blocks, _may_link(percent), "pairs")
     dropped(blocks)
     roots = components(pairs)
-    near = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
-    sets = _sets(near.select("node"), docs, place, n)
-    size = F.octet_length("set") / 8
-    of = sets.select("node", size.cast("long").alias("n"), "set").join(near, "node")
-    sums = of.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("load"))
-    whole = written(of.join(sums, "root").select(F.col("root").alias("group"), "node", "n", F.col("set").alias("data"), "members", "load"), "whole", sets)
+    near = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct().join(place, "node")
+    sums = near.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("load"))
+    wanted = written(near.join(sums, "root").select("doc_id", "node", F.col("root").alias("group"), "n", "members", "load"), "wanted", pairs)
+    whole = written(_sets(wanted, docs, n).select("group", "node", "n", "data", "members", "load"), "whole")
     links = _spanned(whole, _do_link(percent), "links")
-    dropped(whole, pairs)
+    dropped(whole, wanted)
     return place, components(links)
