@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from chartspark.llm.words import BASE, U, Hasher, grams, mix, powers, rows_of, signed, slices
 
 SEED = 16
-RUNS = "anchor long, span long, doc_id long, text_hash int, first int, last int"
-WINDOWS = "anchor long, window long, doc_id long, text_hash int, first int"
+RUNS = "anchor long, span long, doc_id long, text_hash long, first int, last int"
+WINDOWS = "anchor long, window long, doc_id long, text_hash long, first int"
 
 
 def keyed_columns() -> list[Column]:
     """doc_id, text and a hash of the text, which tells rows with one doc_id apart."""
-    return [F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("text_hash"), F.col("text")]
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text")]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -125,9 +125,12 @@ def windows_of(docs: DataFrame, size: int, spans: bool = False) -> DataFrame:
     return docs.mapInArrow(run, WINDOWS + ", span long" * spans)
 
 
-def with_list(docs: DataFrame, rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
-    """``docs`` and, for each row, the list of ``rows`` that have its key (null where there is none)."""
-    lists = rows.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(*columns)).alias(name))
-    return docs.join(lists, ["doc_id", "text_hash"], "left")
+def listed(rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """``doc_id, text_hash`` and the list of what ``rows`` have for them; equal rows count once, so equal documents do not multiply."""
+    return rows.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct(*columns)).alias(name))
 
 
+def texts_with(docs: DataFrame, rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """One row of ``docs`` for each key that ``rows`` have, and their list. Keys that have no rows are not read further."""
+    found = docs.join(listed(rows, name, columns), ["doc_id", "text_hash"])
+    return found.dropDuplicates(["doc_id", "text_hash"])
