@@ -2,25 +2,25 @@
 
 Pages become trees of block elements. An element's style is its tag, its classes and the noise words
 of its id and role; elements with the same chain of styles on pages of one host are merged into one
-node of the host's style tree. A node on m pages, with own texts c each on n_c of them, has
+node of the host's style tree. What a block holds are its features: its sentences, weighted by their
+words, and its links, weighted by the words in them. A feature on n of the m pages with its node has
 
-    content importance of c      1 - log_m n_c                  (0: on every page, 1: on this page only)
-    content importance           their mean over the m pages
+    entropy      log n / log (m + 1), near 1 on a template and 0 where it is on one page only
 
-An inner node is noise only if all that is below it is, so nodes that hold text decide: a branch goes
-where the page's own text in it has an importance below LOW. No ancestor of distinct text can go, and
-distinct text stays under a node that is a template on most pages. A node is judged on MIN_PAGES
-pages, or on all pages of a host that has fewer, where the page keeps something else.
+and one on fewer than a square root of the pages counts as the page's own, with 0. Markup is a
+feature too: ``article`` and its like is one of entropy 0, ``nav``, words such as ``comments`` in a
+class, and a place outside of the page's main branch are ones of entropy 1, as every site has them
+(``MARKS`` has their weights, in words of the block). The importance of a block is
 
-Markup is a prior. Elements such as ``nav`` and ``footer`` go. A class, id or role with a noise word
-goes unless its node has a content importance of HIGH; such a word neither removes an ``article`` or
-``main`` element nor empties one. Where a page has a main branch, other branches go unless they are
-unmarked and of importance HIGH; branches inside it are judged as all others are, but on MIN_PAGES
-pages, and if all of them repeat the page is a copy and keeps them.
+    1 - the weighted mean entropy of its features
 
-Node statistics are partial sums by (host, path, content); what is joined back to a page is its
-host's list of repeated texts (at most m ** LOW a node) and of important marked nodes, so a host with
-any share of the pages can be split between tasks.
+and blocks below KEPT go, so no kind of feature decides alone: repeated text goes from inside an
+``article`` too, a class word removes text that is nowhere else only with a second sign, and a menu
+goes by its links where no element names it. A page of which nothing would be left keeps the blocks of
+its main branch, or those whose text is not on nearly all pages.
+
+Feature statistics are partial sums by (host, node, feature); what is joined back to a page is its
+host's list of repeated features, at most a square root of its pages for each feature of a page.
 
 Defined results: null html is empty; a page without a URL has the empty host; broken markup is
 read to its end (unclosed elements close with their parents, an unclosed comment, script or style
@@ -41,7 +41,13 @@ from pyspark.sql import functions as F
 from chartspark.llm.scratch import written
 from chartspark.llm.url_filter import host_of
 
-LOW, HIGH, MIN_PAGES = 0.2, 0.8, 5
+KEPT, LEAST, OWN = 0.55, 0.5, 0.1
+#: Hosts whose lists a task keeps at hand.
+HOSTS = 64
+#: Weights of markup, in words of the block: a main branch, an element for other things, words for such things inside a
+#: main branch and elsewhere (``STRONG`` words first), a place outside of the main branch of a page that has one (by 1 + 1/m
+#: on a host of m pages: where nothing can be compared, such a place counts more).
+MARKS = {"main": 1.0, "element": 2.0, "strong": (2.0, 1.0), "word": (1.5, 0.7), "outside": 0.6}
 #: What HTML says about its elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template textarea title iframe svg math object canvas".split())
@@ -49,36 +55,41 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 NOISE = frozenset("nav footer aside form head menu select dialog button search option fieldset".split())
 MAIN = frozenset(("article", "main"))
 NOISE_WORDS = frozenset("ad ads advert adverts advertisement adverting banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion reactions related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split())
+STRONG = frozenset("ad ads advert adverts advertisement adverting comment comments cookie cookies consent disqus newsletter promo promoted reactions replies reply respond sponsored".split())
 MAIN_WORDS = frozenset(("article", "content", "entry", "main", "post", "story"))
-PLAIN, INSIDE, OUTSIDE, WORD, PAGE = range(5)
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
 _CLASS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _LETTERS = re.compile(r"[a-z]+")
+_SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
 
 
 class Block:
-    """Text of one block: ``path`` of its element, and what markup says: ``main`` (2: by element or role), ``word`` and ``noise`` (noise by words, by element)."""
+    """Text of one block: ``path`` of its element, words in links, and what markup says: ``main`` (2: by element or role),
+    ``word`` (2: strong) and ``noise`` (noise by words, by element)."""
 
-    __slots__ = ("path", "text", "main", "word", "noise")
+    __slots__ = ("path", "text", "linked", "main", "word", "noise")
 
-    def __init__(self, path: tuple[str, ...], text: str, main: int, word: bool, noise: bool) -> None:
-        self.path, self.text, self.main, self.word, self.noise = path, text, main, word, noise
+    def __init__(self, path: tuple[str, ...], text: str, linked: int, main: int, word: int, noise: bool) -> None:
+        self.path, self.text, self.linked, self.main, self.word, self.noise = path, text, linked, main, word, noise
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page with text, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], int, bool, bool]] = [("", (), 0, False, False)]  # tag, path, main, word, noise
+    stack: list[tuple[str, tuple[str, ...], int, int, bool]] = [("", (), 0, 0, False)]  # tag, path, main, word, noise
     held: list[str] = []
+    linked, in_link = 0, False
 
     def flush() -> None:
+        nonlocal linked
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append(Block(stack[-1][1], text, *stack[-1][2:]))
+                out.append(Block(stack[-1][1], text, linked, *stack[-1][2:]))
+        linked = 0
 
     at = 0
     while at < len(page):
@@ -87,8 +98,12 @@ def blocks(page: str) -> list[Block]:
             held.append(page[at:])
             break
         held.append(page[at : m.start()])
+        if in_link:
+            linked += len(held[-1].split())
         at = m.end()
         tag = (m[2] or "").lower()
+        if tag == "a":
+            in_link = not m[1]
         if not tag:
             continue
         if tag in HIDDEN and not m[1]:
@@ -117,9 +132,9 @@ def blocks(page: str) -> list[Block]:
         classes = _LETTERS.findall(names.get("class", "").lower())
         style = tag + "".join(f".{w}" for w in classes) + "".join(f"#{w}" for w in sorted(listed.difference(classes)))
         if tag in MAIN or names.get("role", "").lower() == "main":
-            main, word = 2, False
+            main, word = 2, 0
         elif tag not in ("html", "body"):
-            word = word or bool(listed)
+            word = max(word, 2 if listed & STRONG else int(bool(listed)))
             main = main or int("main" in words or bool(words & MAIN_WORDS) and tag in ("div", "section"))
         noise = noise or tag in NOISE or tag == "header" and not main
         stack.append((tag, (*path, style), main, word, noise))
@@ -132,69 +147,72 @@ def _signed(s: str) -> int:
 
 
 def judged(page: str) -> list[Block]:
-    """The blocks that elements do not call noise. Words count for nothing where all of an ``article`` or ``main`` element has them."""
-    found = [b for b in blocks(page) if not b.noise]
-    if not any(b.main == 2 and not b.word for b in found):
-        for b in found:
-            b.word = b.word and b.main < 2
+    """The blocks of a page. Words count for nothing where all of an ``article`` or ``main`` element has them."""
+    found = blocks(page)
+    inside = [b for b in found if b.main == 2 and not b.noise]
+    if inside and all(b.word for b in inside):
+        for b in inside:
+            b.word = 0
     return found
 
 
-def tree(found: list[Block]) -> dict[tuple[str, ...], tuple[int, int, int]]:
-    """For every node of a page's tree with own text: hashes of its path and text, and PLAIN, INSIDE (a main branch), OUTSIDE or WORD."""
-    text: dict[tuple, list[str]] = {}
-    kind: dict[tuple, int] = {}
-    main = any(b.main and not b.word for b in found)
-    for b in found:
-        text.setdefault(b.path, []).append(b.text)
-        kind[b.path] = WORD if b.word else INSIDE if b.main else OUTSIDE if main else PLAIN
-    return {p: (_signed(f"{kind[p]} " + "/".join(p)), _signed("\n".join(t)), kind[p]) for p, t in text.items()}
+LINK = _signed("a")
+
+
+def features(b: Block) -> list[tuple[int, int]]:
+    """(feature, weight) of a block: its sentences, and its links."""
+    out = [(_signed(s), len(s.split())) for s in _SENTENCE.split(b.text)]
+    return [*out, (LINK, b.linked)] if b.linked else out
 
 
-def extract(page: str, low: set[tuple[int, int]], high: set[int], few: bool) -> str:
-    """The main text of a page. ``low``: nodes and their texts that repeat; ``high``: marked nodes with texts of their own; ``few``: the host has fewer than MIN_PAGES pages."""
+def importance(b: Block, entropy: dict[tuple[int, int], float], main: bool, pages: int) -> float:
+    node = _signed("/".join(b.path))
+    own = features(b)
+    words = sum(w for f, w in own if f != LINK)
+    inside = bool(b.main)
+    marks = MARKS["element"] if b.noise else 0.0
+    if b.word:
+        marks += MARKS["strong" if b.word > 1 else "word"][0 if inside else 1]
+    if main and not inside:
+        marks += MARKS["outside"] * (1 + 1 / pages)
+    plain = MARKS["main"] if inside else 0.0
+    kept = sum(w * (1 - entropy.get((node, f), 0.0)) for f, w in own) + plain * words
+    return kept / (sum(w for _, w in own) + (plain + marks) * words)
+
+
+def extract(page: str, entropy: dict[tuple[int, int], float], pages: int = 1) -> str:
+    """The main text of a page. ``entropy`` has that of the (node, feature) of its host that repeat, ``pages`` is the host's number."""
     found = judged(page)
-    nodes = tree(found)
-    main = any(b.main and not b.word for b in found)
-
-    def stays(b: Block) -> bool:
-        node, content, kind = nodes[b.path]
-        if kind in (WORD, OUTSIDE) and (node not in high or main and not b.main and b.word):
-            return False
-        return (node, content) not in low
-
-    kept = [b for b in found if stays(b)]
-    if main and not any(b.main and not b.word for b in kept):
-        kept = [b for b in found if b.main and not b.word]
-    elif not kept and few:
-        kept = [b for b in found if not b.word]
-    if not kept:  # words alone do not empty a page; repeated text may
-        kept = [b for b in found if b.word and nodes[b.path][:2] not in low] if all(b.word for b in found) else []
+    main = any(b.main and not b.word and not b.noise for b in found)
+    kept = [b for b in found if importance(b, entropy, main, pages) >= KEPT]
+    if main and not any(b.main for b in kept):
+        kept = [b for b in found if b.main and not b.word and not b.noise]
+    elif not kept:
+        plain = [b for b in found if not b.word and not b.noise]
+        kept = [b for b in plain if importance(b, entropy, False, pages) >= OWN]
     return "\n".join(b.text for b in kept)
 
 
 def host_lists(pages: DataFrame) -> DataFrame:
-    """``host, low, high, few`` of each host, as ``extract`` takes them. ``pages``: host, html."""
+    """``host, pages, entropies`` (node, feature, entropy; of the repeated features) of each host. ``pages``: host, html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for h, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                own = list(tree(judged(page or "")).values())
-                rows += [(h, *v) for v in own] + [(h, 0, 0, PAGE)] * bool(own)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["host", "node", "content", "kind"])
-
-    nodes = pages.select("host", "html").mapInArrow(run, "host string, node long, content long, kind int")
-    counts = written(nodes.groupBy("host", "node", "content", "kind").agg(F.count(F.lit(1)).alias("n")), "nodes")
-    size = counts.where(F.col("kind") == PAGE).select("host", F.col("n").alias("pages"))
-    of = counts.where(F.col("kind") != PAGE).groupBy("host", "node", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
-    of = of.where("m > 1").join(size, "host").withColumn("enough", F.col("m") >= F.when(F.col("kind").isin(INSIDE, OUTSIDE), F.lit(MIN_PAGES)).otherwise(F.least(F.lit(MIN_PAGES), "pages")))
-    often = counts.where("n > 1").join(of.where("enough").select("host", "node", "m"), ["host", "node"]).where(1 - F.log("n") / F.log("m") < LOW)
-    low = often.groupBy("host").agg(F.collect_list(F.struct("node", "content")).alias("low"))
-    distinct = F.col("kind").isin(WORD, OUTSIDE) & (1 - F.col("s") / (F.col("m") * F.log("m")) >= HIGH)
-    high = of.where(distinct & (F.col("enough") | (F.col("kind") == WORD))).groupBy("host").agg(F.collect_list("node").alias("high"))
-    return size.join(low, "host", "left").join(high, "host", "left").select("host", "low", "high", (F.col("pages") < MIN_PAGES).alias("few"))
+            for at in range(0, b.num_rows, 256):
+                part, rows = b.slice(at, 256), []
+                for h, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
+                    own = {(_signed("/".join(x.path)), f) for x in judged(page or "") for f, _ in features(x)}
+                    rows += [(h, node, f, False) for node, f in own] + [(h, node, 0, True) for node in {n for n, _ in own}] + [(h, 0, 0, True)] * bool(own)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["host", "node", "feature", "whole"])
+
+    seen = pages.select("host", "html").mapInArrow(run, "host string, node long, feature long, whole boolean")
+    counts = written(seen.groupBy("host", "node", "feature", "whole").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or node = 0"), "features")
+    of = counts.where("whole").select("host", "node", F.col("n").alias("m"))
+    entropy = F.log("n") / F.log(F.col("m") + 1)
+    often = counts.where("not whole").join(of, ["host", "node"]).select("host", "node", "feature", entropy.cast("float").alias("entropy")).where(F.col("entropy") >= LEAST)
+    lists = often.groupBy("host").agg(F.collect_list(F.struct("node", "feature", "entropy")).alias("entropies"))
+    return counts.where("node = 0").select("host", F.col("n").cast("int").alias("pages")).join(lists, "host", "left")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -204,11 +222,18 @@ def main_text(pages: DataFrame) -> DataFrame:
     lists = written(host_lists(rows), "lists")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[dict, int]] = {}
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                texts = [extract(p or "", {(x["node"], x["content"]) for x in low or ()}, set(high or ()), bool(few)) for p, low, high, few in zip(*(part.column(c).to_pylist() for c in ("html", "low", "high", "few")), strict=True)]
+                part, texts = b.slice(at, 256), []
+                column = part.column("entropies")
+                for i, (h, page) in enumerate(zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True)):
+                    if h not in known:
+                        if len(known) >= HOSTS:
+                            known.clear()
+                        known[h] = {(x["node"], x["feature"]): x["entropy"] for x in column[i].as_py() or ()}, part.column("pages")[i].as_py() or 1
+                    texts.append(extract(page or "", *known[h]))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = rows.join(lists, "host", "left").select("page_id", "url", "html", "low", "high", "few")
+    joined = rows.join(lists, "host", "left").select("page_id", "url", "html", "host", "pages", "entropies")
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
