@@ -12,7 +12,9 @@ model is a few thousand numbers in the task's closure; scoring needs no shuffle.
 
 Defined results: a null text is an empty text; rows without a label in {0, 1} are not learnt from;
 a document with several labels is learnt from with each; without labels of both kinds the score is
-the share of label 1, or 0.5 without any; rows with one doc_id are scored row by row.
+the share of label 1, or 0.5 without any; rows with one doc_id are scored row by row, and each of
+them is learnt from with the labels of the doc_id, up to ``SAMPLE`` rows in all; equal rows have
+equal scores; an empty table of documents gives an empty table; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -74,7 +76,7 @@ def features(column: pa.Array, hasher: Hasher) -> np.ndarray:
     again = np.bincount(row[1:][(words[1:] == words[:-1]) & (row[1:] == row[:-1])], minlength=n)
     # Lines: a hash of each from prefix sums of a byte hash.
     ends = np.flatnonzero(base == 10)
-    stops = np.unique(np.concatenate([ends, at[1:] - 1])) if len(base) else np.zeros(0, np.int64)
+    stops = np.unique(np.concatenate([ends, at[1:][size > 0] - 1])) if len(base) else np.zeros(0, np.int64)
     starts = np.r_[0, stops[:-1] + 1] if len(stops) else stops
     sums = np.concatenate([[0], np.cumsum(mix(base.astype(np.uint64), 1) >> np.uint64(20), dtype=np.uint64)])
     line = (sums[stops + 1] - sums[starts]) if len(stops) else np.zeros(0, np.uint64)
@@ -93,7 +95,8 @@ def features(column: pa.Array, hasher: Hasher) -> np.ndarray:
         np.log1p(size), share(count["upper"], count["upper"] + count["lower"]), *(count[k] / text for k in ("digit", "punctuation", "exclaim", "bar", "symbol", "stop", "comma", "newline", "beyond_ascii")),
         share(size, n_words), share(distinct, n_words) * np.log1p(n_words), share(top, n_words), share(again, n_words), share(distinct_lines, lines), share(marked, n_words),
     ]
-    return np.column_stack(cols).astype(float)
+    # Rounded, as the last bit of a logarithm may depend on the place of a row in its batch.
+    return np.column_stack(cols).astype(float).round(9)
 
 
 class Gam:
@@ -217,8 +220,10 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", sampl
 
     # At most ``sample`` rows of two numbers: a bounded broadcast.
     rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    got = rows.mapInArrow(run, "doc_id long, y double, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
-    got = got.sort_values(["doc_id", "y", *FEATURES])
+    found = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, y double, " + ", ".join(f"{f} double" for f in FEATURES))
+    # A repeated doc_id gives more rows than were picked; the driver gets ``sample`` rows of numbers at most.
+    order = ["doc_id", "y", *FEATURES]
+    got = found.orderBy(F.xxhash64("doc_id"), *order).limit(sample).toPandas().sort_values(order)
     return Gam().fit(got[list(FEATURES)].to_numpy(), got["y"].to_numpy())
 
 
