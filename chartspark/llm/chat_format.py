@@ -16,8 +16,9 @@ backslashes; unescaping drops one backslash before any character.
 
 Defined results: a null text or role is empty; rows with one turn number are taken in the order
 of role, then text; a null turn comes first; a null conv_id is a conversation of its own; an
-empty table gives no conversation. Reading back streams over sorted rows, so a conversation of any
-length needs the memory of one batch.
+empty table gives no conversation; other columns are not read. Reading back streams over rows sorted
+by conversation: one task reads a conversation, as its digests run over all its turns in order, and
+holds the turns of one batch.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 CONTROL = ("<<SYS>>", "<</SYS>>", "<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]")
 _MARKS = re.compile("|".join(map(re.escape, (*CONTROL, "\\"))))
@@ -149,7 +151,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         types = [id_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    id_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+    id_type = to_arrow_type(formatted.schema["conv_id"].dataType)
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "formatted")
     return ordered.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 

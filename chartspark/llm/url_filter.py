@@ -6,7 +6,7 @@ advances one byte at a time in numpy, so the cost is (bytes x mask words), whate
 rules in a word. No shuffle and no join: the masks are a few hundred bytes in the task's closure.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and matches no
-rule; bytes above 0x7F match only ``*``; repeated rows are judged alike; other columns are kept;
+rule; bytes above 0x7F match only ``*``; repeated rows are judged alike; other columns are not read;
 an empty table gives an empty table; a URL of any length is read to its end.
 """
 

@@ -11,7 +11,8 @@ is the task's partition number times 2**32 plus a count, so a task that runs aga
 rows.
 
 Defined results: a null text is empty; an empty text is the end id alone; rows with one doc_id are
-packed row by row; a text of any length is cut; an empty table gives no rows.
+packed row by row, equal ones too; a text of any length is cut; a doc_id of any simple type, or
+null, is returned as it is; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 WAITING = 128
 FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -104,7 +106,7 @@ class Packer:
 
 def pack(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list[bytes]]], limits: tuple[int, int, int], end_id: int = 0) -> DataFrame:
     """Pieces of the texts of ``docs`` (doc_id, text), as FIELDS. ``encoder`` makes, in each task, a function from texts to ids (little-endian unsigned 32-bit)."""
-    kind = dict(docs.dtypes)["doc_id"]
+    kind, arrow = dict(docs.dtypes)["doc_id"], to_arrow_type(docs.schema["doc_id"].dataType)
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +125,6 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list[bytes
             yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        key = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
-        return pa.RecordBatch.from_arrays([pa.array(c, key if i == 0 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))], names=list(FIELDS))
+        return pa.RecordBatch.from_arrays([pa.array(c, arrow if i == 0 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))], names=list(FIELDS))
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{f} long" for f in FIELDS[1:]))
