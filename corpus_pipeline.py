@@ -1,4 +1,11 @@
-"""A training-corpus pipeline over ``documents``: each stage is written as Parquet and read again as the next one's input."""
+"""A training-corpus pipeline over ``documents``: each stage is written as Parquet and read again as the next one's input.
+
+Stages judge rows, not ids: rows that share a doc_id are scored, linked, cut and removed one by one.
+A null text has no words, so it is no near duplicate, repeats nothing and is not contaminated; it
+stays where the quality model keeps the empty text. A row without a doc_id is scored, is no near
+duplicate, keeps its passages, and is decontaminated and packed as others are. An empty table gives
+no rows. Every stage but the last returns the columns of its input, whatever they are called.
+"""
 
 from __future__ import annotations
 
@@ -27,11 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     judged = written(keys.join(best, "root").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), (F.col("best") == key).alias("best"), "n"), "judged")
     same = (F.col("doc_id").cast("long") == F.col("d")) & (jaccard_join.text_key() == F.col("h"))
     kept = docs.join(judged.where("not best or n > 1"), same, "left_anti")
-    again = judged.where("best and n > 1")
-    if not again.take(1):
-        return kept
-    copies = docs.join(again, same).groupBy("d", "h").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
-    return kept.unionByName(copies.select("row.*"))
+    copies = docs.join(judged.where("best and n > 1"), same).groupBy("d", "h")
+    least = copies.agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
+    return kept.unionByName(least.select("row.*"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +67,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: A fitted model and token ids are beyond SQL; a brute-force version of the whole run is still to be written.
+#: A fitted model and token ids are beyond SQL; the tests hold the run against a plain Python version of its stages.
 ORACLE_SQL = None
 
 
