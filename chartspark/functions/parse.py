@@ -50,3 +50,28 @@ def award_level(desc: Column) -> Column:
     n = F.coalesce(_int(F.nullif(F.regexp_extract(part, r"(\d+)x platinum", 1), F.lit("")), "int"), F.lit(1))
     kind = F.when(part.contains("diamond"), "diamond").when(part.contains("gold"), "gold").when(part.contains("platinum"), "platinum").otherwise("")
     return F.struct(kind.alias("level"), F.when(kind == "platinum", n).alias("units"))
+
+
+def any_date(c: Column) -> Column:
+    """A date as written out ("January 5, 2024"), in ISO form, or with slashes; null for anything else."""
+    return F.coalesce(F.try_to_date(c, "MMMM d, yyyy"), F.try_to_date(c, "MMM d, yyyy"), F.try_to_date(c, "yyyy-MM-dd"), F.try_to_date(c, "M/d/yyyy"))
+
+
+#: Hours that the source adds for the zones it names.
+ZONES = {"EDT": -4, "EST": -5, "UTC": 0, "GMT": 0, "BST": 1, "CET": 1, "CEST": 2}
+
+
+def page_time(hhmm: Column, zone: Column, day: Column) -> Column:
+    """The time of a page header on ``day`` with the zone's hours added (the source adds them, where a conversion to UTC would
+    subtract); null for other zones."""
+    hours = F.coalesce(*[F.when(zone == z, F.lit(h)) for z, h in ZONES.items()])
+    minute = _int(F.split_part(hhmm, F.lit(":"), F.lit(1))) * 60 + _int(F.split_part(hhmm, F.lit(":"), F.lit(2))) + hours * 60
+    return F.timestamp_seconds(F.unix_date(day).cast("long") * 86400 + minute * 60)
+
+
+def header_meta(heading: Column, day: Column) -> Column:
+    """struct(page_time, chart_date) of a chart page's heading."""
+    at = F.nullif(F.regexp_extract(heading, r"\|\s*([0-9]{2}:[0-9]{2})\s+([A-Z]{3})", 1), F.lit(""))
+    zone = F.regexp_extract(heading, r"\|\s*([0-9]{2}:[0-9]{2})\s+([A-Z]{3})", 2)
+    date = F.try_to_date(F.regexp_extract(heading, r"(\d{4}-\d{2}-\d{2})", 1))
+    return F.struct(page_time(at, zone, day).alias("page_time"), date.alias("chart_date"))

@@ -10,10 +10,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 SPACE = r"(?U)\s+"
-#: Markers and separators of credits.
-FEATURE_BLOCK = r"(?i)\(\s*(?:feat\.?|ft\.?|featuring|with|w/|w\.)\s+[^)]*\)"
-FEATURE_MARK = r"(?i)^\s*(?:feat\.?|ft\.?|featuring|with|w/|w\.)\s+"
-SPLIT = r"(?i)\s*,\s*|\s+(?:&|and|x|×|\+)\s+"
+#: Markers and separators of credits, brackets and quotes of chart pages. ASCII word edges, as the source has them.
+EDGE_L, EDGE_R = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+MARKERS = (EDGE_L + r"feat\.?", EDGE_L + r"ft\.?", EDGE_L + "featuring", EDGE_L + "with", EDGE_L + "w/", EDGE_L + r"w\.")
+FEATURE_BLOCK = (
+    rf"(?i)\(([^)]*?(?:{EDGE_L}feat(?:\.(?=[A-Za-z0-9_])|{EDGE_R})|{EDGE_L}ft(?:\.(?=[A-Za-z0-9_])|{EDGE_R})"
+    rf"|{EDGE_L}featuring{EDGE_R}|{EDGE_L}with{EDGE_R}|w/|w\.)[^)]*)\)"
+)
+FEATURE_TAIL = (
+    rf"(?i){EDGE_L}(?:feat(?:\.(?=[A-Za-z0-9_])|{EDGE_R})|ft(?:\.(?=[A-Za-z0-9_])|{EDGE_R})|featuring{EDGE_R}|with{EDGE_R}"
+    r"|w/(?=[A-Za-z0-9_])|w\.(?=[A-Za-z0-9_])).*$"
+)
+SPLIT = rf"(?i)\s*(?:,|&| and |{EDGE_L}x{EDGE_R}|×|\+)\s*"
+OPENING, CLOSING = "［【〔｛『«", "］】〕｝』»"
+SINGLE_QUOTES, DOUBLE_QUOTES = "‚‛", "„‟«»‹›"
+#: What stands between the artists of a weekly-chart credit.
+CREDIT_WORDS, CREDIT_SIGNS = ("featuring", r"feat\.?", r"ft\.?", "with", "x", "&"), (r",\s+",)
 
 
 @F.pandas_udf(StringType())
@@ -79,19 +91,67 @@ def dedupe_order(a: Column) -> Column:
 
 
 def _parts(c: Column, pattern: str) -> Column:
-    return F.filter(F.transform(F.split(c, pattern), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, pattern), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def normalize_all(c: Column) -> Column:
+    """Without format characters and no-break spaces, wide brackets as round ones, white space collapsed."""
+    plain = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\p{Cf}\x{FEFF}\x{00A0}]", "")
+    return collapse(F.translate(plain, OPENING + CLOSING, "(" * len(OPENING) + ")" * len(CLOSING)))
+
+
+def ascii_quotes(c: Column) -> Column:
+    return F.translate(c, SINGLE_QUOTES + DOUBLE_QUOTES, "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES))
+
+
+def normalize_basic(c: Column) -> Column:
+    return collapse(nfkc(ascii_quotes(F.coalesce(c, F.lit("")))))
+
+
+def norm_key(c: Column) -> Column:
+    return F.lower(normalize_basic(c))
+
+
+def track_key(artist: Column, title: Column) -> Column:
+    """One key for what different pages write differently; one pass of the Unicode form over both parts."""
+    both = norm_key(F.concat(F.coalesce(artist, F.lit("")), F.lit("\u0001"), F.coalesce(title, F.lit(""))))
+    return F.concat_ws("::", F.trim(F.split_part(both, F.lit("\u0001"), F.lit(1))), F.trim(F.split_part(both, F.lit("\u0001"), F.lit(2))))
+
+
+def ordered_union(*lists: Column) -> Column:
+    """The names of all lists in order, each once without regard to case."""
+    return dedupe_order(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists]))
 
 
 def extract_features(c: Column) -> Column:
-    """struct(title, featured): bracketed credits taken out of a title."""
-    c = F.translate(collapse(c), "[]", "()")
-    found = F.regexp_extract_all(c, F.lit(FEATURE_BLOCK), F.lit(0))
-    names = F.flatten(F.transform(found, lambda b: _parts(F.regexp_replace(F.regexp_replace(b, r"^\(|\)$", ""), FEATURE_MARK, ""), SPLIT)))
-    return F.struct(collapse(F.regexp_replace(c, FEATURE_BLOCK, "")).alias("title"), dedupe_order(names).alias("featured"))
+    """struct(title, featured): bracketed credits taken out of a title.
+
+    The marker may stand anywhere in the bracket; of each kind of marker the first goes, in the order of ``MARKERS``, so
+    the short forms also eat the start of the long one ("featuring X" gives "uring X"), as the source data has it.
+    """
+    c = F.translate(normalize_all(c), "[]", "()")
+    found = F.regexp_extract_all(c, F.lit(FEATURE_BLOCK), F.lit(1))
+
+    def names(block: Column) -> Column:
+        for marker in MARKERS:
+            block = F.regexp_replace(block, rf"(?is)^(.*?){marker}\s*", "$1")
+        return _parts(F.trim(block), SPLIT)
+
+    listed = F.flatten(F.transform(found, names))
+    title = F.when(F.size(found) > 0, collapse(F.regexp_replace(c, FEATURE_BLOCK, ""))).otherwise(c)
+    return F.struct(title.alias("title"), dedupe_order(listed).alias("featured"))
+
+
+def split_artists(c: Column) -> Column:
+    """struct(lead, others) of an artist field; what follows a feature marker is left out."""
+    cleaned = F.trim(F.regexp_replace(normalize_all(c), FEATURE_TAIL, ""))
+    parts = _parts(cleaned, SPLIT)
+    others = F.when(F.size(parts) > 1, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    return F.struct(F.coalesce(F.get(parts, F.lit(0)), cleaned).alias("lead"), others.alias("others"))
 
 
 def split_credit(c: Column, slash: bool = False) -> Column:
     """array of the artists of a weekly-chart credit, parts of one character left out; the credit itself if none is left."""
-    pattern = r"(?i)\s+(?:featuring|feat\.?|ft\.?|with)\s+|\s+x\s+|\s+&\s+|,\s+" + ("|/" if slash else "")
-    parts = F.filter(F.transform(F.split(c, pattern), F.trim), lambda x: F.length(x) > 1)
+    between = [rf"\s+{w}\s+" for w in CREDIT_WORDS] + list(CREDIT_SIGNS) + ["/"] * slash
+    parts = F.filter(F.transform(F.split(c, "(?i)" + "|".join(between)), lambda x: F.trim(x)), lambda x: F.length(x) > 1)
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.trim(c)))

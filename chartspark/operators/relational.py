@@ -40,42 +40,6 @@ def points(rank: Column, max_rank: int) -> Column:
     return F.when(rank.between(1, max_rank), max_rank + 1 - rank).otherwise(0)
 
 
-def best_rank(rows: DataFrame, keys: Sequence[str], rank: str, seq: str) -> DataFrame:
-    """One row a key: the least rank, first seen on a tie."""
-    return latest_by(rows, keys, [F.col(rank), F.col(seq)])
-
-
-def fuse_two(a: DataFrame, b: DataFrame, key: str, max_rank: int = 100, cap: int = 100, weights: tuple[int, int] = (1, 1)) -> DataFrame:
-    """Two ranked lists (key, title, rank) in one: weighted points, then best rank, title and key."""
-    a = a.select(key, F.col("title").alias("title_a"), F.col("rank").alias("a_rank"))
-    b = b.select(key, F.col("title").alias("title_b"), F.col("rank").alias("b_rank"))
-    f = a.join(b, key, "full").select(key, F.coalesce("title_a", "title_b").alias("title"), "a_rank", "b_rank")
-    f = f.withColumn("score", weights[0] * points(F.col("a_rank"), max_rank) + weights[1] * points(F.col("b_rank"), max_rank))
-    best = F.least(F.coalesce("a_rank", F.lit(999999)), F.coalesce("b_rank", F.lit(999999)))
-    order = [F.col("score").desc(), best, F.collate("title", "UNICODE_CI"), F.col(key)]
-    top = f.orderBy(*order).limit(cap)
-    return top.withColumn("rnk", F.row_number().over(Window.orderBy(*order)).cast("long")).select("rnk", key, "title", "score", "a_rank", "b_rank")
-
-
-def fuse_many(rows: DataFrame, key: str, max_rank: int, cap: int) -> DataFrame:
-    """Ranked lists (key, title, rank, weight, seq) in one, duplicates within a list added up."""
-    w = rows.where(F.col("rank") <= max_rank).groupBy(key).agg(F.sum(F.col("weight") * points(F.col("rank"), max_rank)).alias("score"), F.min("rank").alias("best_rank"), F.min_by("title", "seq").alias("title"))
-    order = [F.col("score").desc(), F.col("best_rank"), F.collate("title", "UNICODE_CI"), F.col(key)]
-    return w.orderBy(*order).limit(cap).withColumn("rnk", F.row_number().over(Window.orderBy(*order)).cast("long")).select("rnk", key, "title", "score", "best_rank")
-
-
-def merge_discovered(rows: DataFrame) -> DataFrame:
-    """Discovered profiles (sid, nm, seq, appeared, ml) by id: counts add up, name first seen, listeners of the first row that has them."""
-    return rows.groupBy("sid").agg(F.min_by("nm", "seq").alias("nm"), F.min("seq").alias("seq"), F.sum(F.greatest("appeared", F.lit(1))).alias("cnt"), F.min_by("ml", F.when(F.col("ml").isNotNull(), F.col("seq"))).alias("ml"))
-
-
-def collapse_names(merged: DataFrame, losers: bool = False) -> DataFrame:
-    """Of profiles with one name, the one with the greatest count, first seen on a tie; or those that lose."""
-    w = Window.partitionBy("nm")
-    out = merged.withColumn("rn", F.row_number().over(w.orderBy(F.col("cnt").desc(), "seq"))).withColumn("grp", F.count(F.lit(1)).over(w))
-    return out.where("rn > 1" if losers else "rn = 1").select("sid", "nm", "cnt", "ml", "grp")
-
-
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], update: Sequence[str], seq: str | None = None) -> DataFrame:
     """``target`` after INSERT ... ON CONFLICT (keys) DO UPDATE of the columns ``update``.
 

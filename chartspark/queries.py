@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chartspark.chart_queries import QUERIES as CHART_QUERIES
+from chartspark.chart_queries import SQL as CHART_SQL
 from chartspark.functions import parse, text
+from chartspark.job_queries import QUERIES as JOB_QUERIES
+from chartspark.job_queries import SQL as JOB_SQL
 from chartspark.operators import relational as rel
 from chartspark.plans import views
 from chartspark.plans.fixtures import Tables, with_fixtures
+from chartspark.store_queries import QUERIES as STORE_QUERIES
+from chartspark.store_queries import SQL as STORE_SQL
 
 AS_OF = date(2001, 11, 4)
 #: The day of the leaderboards by day: within the events table.
@@ -25,12 +31,49 @@ def _view(name: str) -> Query:
     return lambda spark, d: views.VIEWS[name](Tables(spark, d))
 
 
-def _top(view: str, order: Callable[[], list], columns: list[str], where: str | None = None, k: int = 20) -> Query:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = _view(view)(spark, d)
-        return (rows.where(where) if where else rows).orderBy(*order()).limit(k).select(*columns)
-
-    return run
+def _order(by: str) -> Column:
+    column, *words = by.split(" ")
+    c = F.col(column)
+    return (c.desc_nulls_last() if "NULLS" in words else c.desc()) if "DESC" in words else c.asc()
+
+
+def _top(view: str, order: str, columns: str, where: str = "true", k: int = 20) -> Query:
+    """The first ``k`` rows of a read model that meet a condition."""
+    return lambda spark, d: _view(view)(spark, d).where(where).orderBy(*map(_order, order.split(", "))).limit(k).select(*columns.split(", "))
+
+
+#: name -> (view, order, columns, condition, rows); conditions and orders are read by Spark and by DuckDB alike.
+LEADERBOARDS: dict[str, tuple[str, str, str, str, int]] = {
+    "top_songs_weeks_at_1": ("song_chart_summary", "weeks_at_number_1 DESC, song_id, chart_name, chart_territory", "song_id, chart_name, chart_territory, weeks_at_number_1", "true", 20),
+    "chart_songs": ("song_chart_summary", "song_id", "song_id, artist_id, peak_position, total_chart_weeks", "chart_territory = 'ASIA' AND chart_name = '2-HIGH'", 100000),
+    "top_songs_peak": ("song_chart_summary", "peak_position, song_id", "song_id, peak_position", "chart_territory = 'GLOBAL' AND chart_name = '1-URGENT'", 50),
+    "top_songs_weeks": ("song_chart_summary", "max_weeks_on_chart DESC, song_id", "song_id, max_weeks_on_chart", "chart_territory = 'EUROPE' AND chart_name = '3-MEDIUM'", 50),
+    "songs_of_artist": ("song_chart_summary", "song_id, chart_name, chart_territory", "song_id, chart_name, chart_territory, peak_position", "artist_id = 3", 100000),
+    "flagged_chart_songs": ("song_chart_summary", "song_id", "song_id, artist_id", "artist_is_afrobeats AND chart_territory = 'AFRICA' AND chart_name = '1-URGENT'", 100000),
+    "top_artists_streams": ("artist_stream_summary", "total_streams DESC NULLS LAST, artist_id", "artist_id, artist_name, total_streams", "true", 20),
+    "top_artists_daily": ("artist_stream_summary", "daily_streams DESC NULLS LAST, artist_id", "artist_id, daily_streams, total_streams_as_lead", "true", 20),
+    "top_flagged_artists": ("artist_stream_summary", "total_streams DESC NULLS LAST, artist_id", "artist_id, total_streams", "is_afrobeats", 20),
+    "current_chart": ("chart_latest_leaderboard", "position, chart_week DESC, song_id", "position, song_id, chart_week, trend", "chart_name = '1-URGENT' AND chart_territory = 'ASIA'", 100),
+    "current_chart_flagged": ("chart_latest_leaderboard", "position, chart_week DESC, song_id", "position, song_id, artist_id", "is_afrobeats AND chart_name = '1-URGENT' AND chart_territory = 'AFRICA'", 100),
+    "current_chart_of_artist": ("chart_latest_leaderboard", "entry_id", "entry_id, position, peak_position, delta", "artist_id = 4", 100000),
+    "top_certified": ("artist_certification_summary", "total_platinum_units DESC, total_certifications DESC, artist_id", "artist_id, total_platinum_units, total_certifications", "territory = '1-URGENT' AND body = 'RIAA'", 20),
+    "top_certified_flagged": ("artist_certification_summary", "total_certifications DESC, artist_id", "artist_id, total_certifications, gold_count", "is_afrobeats AND territory = '2-HIGH' AND body = 'BPI'", 20),
+    "top_momentum_on_date": ("artist_trending_summary", "momentum_score DESC, artist_id", "artist_id, snapshot_date, momentum_score", "snapshot_date = DATE '2024-01-15'", 20),
+    "top_artist_growth_on_date": ("artist_growth_summary", "daily_growth DESC NULLS LAST, artist_id", "artist_id, daily_growth, growth_7d", "snapshot_date = DATE '2024-01-15'", 20),
+    "top_artist_week_on_date": ("artist_growth_summary", "growth_7d DESC NULLS LAST, artist_id", "artist_id, growth_7d", "is_afrobeats AND snapshot_date = DATE '2024-01-15'", 20),
+    "top_song_growth_on_date": ("song_growth_summary", "daily_growth DESC NULLS LAST, song_id", "song_id, daily_growth, growth_7d", "snapshot_date = DATE '2024-01-15'", 20),
+    "top_song_momentum_on_date": ("song_trending_summary", "momentum_score DESC, song_id", "song_id, momentum_score", "snapshot_date = DATE '2024-01-15'", 20),
+    "top_listeners": ("artist_monthly_listener_summary", "monthly_listeners DESC, artist_id", "artist_id, monthly_listeners, daily_change", "true", 20),
+    "top_listener_change": ("artist_monthly_listener_summary", "daily_change DESC NULLS LAST, artist_id", "artist_id, daily_change, origin_country", "true", 20),
+    "top_song_streams": ("song_stream_summary", "total_spotify_streams DESC NULLS LAST, song_id", "song_id, song_title, total_spotify_streams", "song_is_afrobeats", 20),
+    "top_song_daily": ("song_stream_summary", "daily_streams DESC NULLS LAST, song_id", "song_id, daily_streams", "true", 20),
+    "newest_songs": ("song_stream_summary", "release_date DESC NULLS LAST, song_id", "song_id, release_date", "true", 20),
+    "songs_of_artist_by_streams": ("song_stream_summary", "total_spotify_streams DESC NULLS LAST, song_id", "song_id, total_spotify_streams", "artist_id = 5", 20),
+    "top_chart_artists": ("artist_chart_summary", "total_chart_weeks DESC, best_peak_position, artist_id, chart_name", "artist_id, chart_name, total_chart_weeks, best_peak_position", "role = 'primary' AND chart_territory = 'GLOBAL'", 20),
+    "top_featured_artists": ("artist_chart_summary", "weeks_at_number_1 DESC, artist_id, chart_name", "artist_id, chart_name, weeks_at_number_1, distinct_songs_charted", "role = 'feature' AND chart_territory = 'ASIA'", 20),
+    "top_recent_artists": ("artist_recent_chart_summary", "top_10s DESC, artist_id, chart_name, chart_territory", "artist_id, chart_name, chart_territory, top_10s", "true", 20),
+    "best_recent_artists": ("artist_recent_chart_summary", "best_peak, artist_id, chart_name", "artist_id, chart_name, best_peak", "chart_territory = 'EUROPE'", 20),
+}
 
 
 def _chart_trend(spark: SparkSession, d: str) -> DataFrame:
@@ -56,35 +99,6 @@ def _fastest(spark: SparkSession, d: str) -> DataFrame:
     return s.select("song_id", "title", F.datediff("reached", "release_date").cast("long").alias("days")).orderBy("days", "song_id").limit(20)
 
 
-def _platforms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    t = Tables(spark, d)
-    e = t["chart_entries"].where("chart_territory = 'ASIA' and chart_week = date'1998-03-01'").join(t["songs"].select(F.col("id").alias("song_id"), "title"), "song_id")
-    e = e.select("chart_name", (F.col("song_id") % 60).alias("k"), F.col("position").alias("rank"), "title")
-    return e.where("chart_name = '1-URGENT' and rank <= 20"), e.where("chart_name = '2-HIGH'")
-
-
-def _combined(spark: SparkSession, d: str) -> DataFrame:
-    a, b = (rel.best_rank(x, ["k"], "rank", "title").where("rank <= 100") for x in _platforms(spark, d))
-    return rel.fuse_two(a, b, "k")
-
-
-def _regional(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _platforms(spark, d)
-    rows = a.withColumn("weight", F.lit(2)).unionByName(b.withColumn("weight", F.lit(1)))
-    return rel.fuse_many(rows.withColumn("seq", F.struct("rank", "chart_name", "title")), "k", 100, 50)
-
-
-def _dedupe_top(spark: SparkSession, d: str) -> DataFrame:
-    _, b = _platforms(spark, d)
-    return rel.best_rank(b, ["k"], "rank", "title").orderBy("rank", "k").limit(50).select("rank", "k", "title")
-
-
-def _discovered(spark: SparkSession, d: str) -> DataFrame:
-    e = Tables(spark, d)["events"]
-    rows = e.select(F.col("user_id").alias("sid"), F.concat(F.lit("user"), (F.col("user_id") % 40).cast("string")).alias("nm"), F.col("event_id").alias("seq"), F.lit(1).alias("appeared"), F.when(F.col("event_type") == "view", F.round(F.col("value") * 100).cast("long")).alias("ml"))
-    return rel.merge_discovered(rows)
-
-
 def _words(column: str, source: str, form: Callable, out: str) -> Query:
     return lambda spark, d: spark.read.parquet(f"{d}/{source}.parquet").select(F.col(column).alias("raw"), form(F.col(column)).alias(out))
 
@@ -130,11 +144,6 @@ def _ignore(spark: SparkSession, d: str) -> DataFrame:
     return rel.insert_ignore(old, new, ["artist_id", "snapshot_date"], seq="event_id")
 
 
-def _greedy(spark: SparkSession, d: str) -> DataFrame:
-    e = Tables(spark, d)["chart_entries"]
-    return rel.greedy_insert(e.select("chart_name", "chart_territory", "chart_week", (F.col("song_id") % 500).alias("song_id"), (F.col("position") % 60).alias("position"), F.col("id").alias("seq")))
-
-
 def _links(spark: SparkSession, d: str) -> DataFrame:
     found = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
     return found.groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_at"))
@@ -143,23 +152,10 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     **{name: _view(name) for name in views.VIEWS},
     "chart_trend": _chart_trend,
-    "top_songs_weeks_at_1": _top("song_chart_summary", lambda: [F.col("weeks_at_number_1").desc(), F.col("song_id"), F.col("chart_name"), F.col("chart_territory")], ["song_id", "chart_name", "chart_territory", "weeks_at_number_1"]),
-    "top_artists_streams": _top("artist_stream_summary", lambda: [F.col("total_streams").desc_nulls_last(), F.col("artist_id")], ["artist_id", "artist_name", "total_streams"]),
-    "current_chart": _top("chart_latest_leaderboard", lambda: [F.col("position"), F.col("chart_week").desc(), F.col("song_id")], ["position", "song_id", "chart_week", "trend"], "chart_name = '1-URGENT' and chart_territory = 'ASIA'", 100),
-    "top_certified": _top("artist_certification_summary", lambda: [F.col("total_platinum_units").desc(), F.col("total_certifications").desc(), F.col("artist_id")], ["artist_id", "total_platinum_units", "total_certifications"], "territory = '1-URGENT' and body = 'RIAA'"),
-    "top_momentum_on_date": _top("artist_trending_summary", lambda: [F.col("momentum_score").desc(), F.col("artist_id")], ["artist_id", "snapshot_date", "momentum_score"], "snapshot_date = date'2024-01-15'"),
-    "top_song_growth_on_date": _top("song_growth_summary", lambda: [F.col("daily_growth").desc_nulls_last(), F.col("song_id")], ["song_id", "daily_growth", "growth_7d"], "snapshot_date = date'2024-01-15'"),
-    "top_listeners": _top("artist_monthly_listener_summary", lambda: [F.col("monthly_listeners").desc(), F.col("artist_id")], ["artist_id", "monthly_listeners", "daily_change"]),
-    "top_song_streams": _top("song_stream_summary", lambda: [F.col("total_spotify_streams").desc_nulls_last(), F.col("song_id")], ["song_id", "song_title", "total_spotify_streams"], "song_is_afrobeats"),
-    "top_chart_artists": _top("artist_chart_summary", lambda: [F.col("total_chart_weeks").desc(), F.col("best_peak_position"), F.col("artist_id"), F.col("chart_name")], ["artist_id", "chart_name", "total_chart_weeks", "best_peak_position"], "role = 'primary' and chart_territory = 'GLOBAL'"),
+    **{name: _top(*spec) for name, spec in LEADERBOARDS.items()},
     "top_artists_by_country": _by_country,
     "artist_career_card": _career,
     "fastest_to_n": _fastest,
-    "combined_top_100": _combined,
-    "regional_top_50": _regional,
-    "dedupe_top_k": _dedupe_top,
-    "discovery_merge": lambda spark, d: rel.collapse_names(_discovered(spark, d)),
-    "discovery_duplicates": lambda spark, d: rel.collapse_names(_discovered(spark, d), losers=True),
     "normalize_name_c": _words("p_name", "part", text.name_c, "name"),
     "normalize_name_a": _words("text", "documents", text.name_a, "name"),
     "normalize_name_b": _words("text", "documents", text.name_b, "name"),
@@ -173,42 +169,37 @@ QUERIES: dict[str, Query] = {
     "keyset_page": _page,
     "upsert_snapshot": _upsert,
     "insert_ignore": _ignore,
-    "chart_greedy_insert": _greedy,
     "page_links": _links,
+    **STORE_QUERIES,
+    **CHART_QUERIES,
+    **JOB_QUERIES,
 }
 
 _A = "a.id AS artist_id, a.name AS artist_name, a.slug AS artist_slug, a.image_url AS artist_image_url"
 _G = "coalesce(chart_territory,'GLOBAL')"
-_GROWTH = """SELECT {cols}, x.snapshot_date, x.daily_streams, x.{total} AS total_streams, x.{total} - y.{total} AS daily_growth, x.{total} - z.{total} AS growth_7d
+_GROWTH = """SELECT {cols}, x.snapshot_date, x.daily_streams, x.{total} AS total_streams, x.daily_streams - y.daily_streams AS daily_growth, x.{total} - z.{total} AS growth_7d
 FROM {tab} x {dims} LEFT JOIN {tab} y ON y.{id} = x.{id} AND y.snapshot_date = x.snapshot_date - 1 LEFT JOIN {tab} z ON z.{id} = x.{id} AND z.snapshot_date = x.snapshot_date - 7"""
 _AG = _GROWTH.format(cols="a.id AS artist_id, a.name AS artist_name, a.slug AS artist_slug, a.image_url, a.is_afrobeats, a.origin_country", total="total_streams", tab="artist_stats_snapshots", id="artist_id", dims="JOIN artists a ON a.id = x.artist_id")
 _SG = _GROWTH.format(cols="s.id AS song_id, s.title AS song_title, s.slug AS song_slug, a.id AS artist_id, a.name AS artist_name, a.slug AS artist_slug", total="spotify_streams", tab="song_stats_snapshots", id="song_id", dims="JOIN songs s ON s.id = x.song_id JOIN artists a ON a.id = s.artist_id")
 _MOM = "SELECT *, CAST(coalesce(daily_growth, 0) * {d} + coalesce(growth_7d, 0) * {w} AS DOUBLE) AS momentum_score FROM ({v})"
 _LATEST = "(SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY snapshot_date DESC) AS rn FROM {t})"
-_PLAT = """SELECT CASE WHEN chart_name='1-URGENT' THEN 'a' ELSE 'b' END AS platform, chart_name, song_id % 60 AS k, position AS rnk, s.title
- FROM chart_entries ce JOIN songs s ON ce.song_id=s.id
- WHERE chart_name IN ('1-URGENT','2-HIGH') AND chart_territory='ASIA' AND chart_week=DATE '1998-03-01' AND (chart_name='2-HIGH' OR position<=20)"""
-_DISC = """WITH d AS (SELECT user_id AS sid, concat('user',CAST(user_id%40 AS VARCHAR)) AS nm, event_id AS seq, CASE WHEN event_type='view' THEN CAST(round(value*100) AS BIGINT) END AS ml FROM events),
-m AS (SELECT sid, min(nm) AS nm, min(seq) AS seq, count(*) AS cnt, min_by(ml, CASE WHEN ml IS NOT NULL THEN seq END) AS ml FROM d GROUP BY sid),
-r AS (SELECT m.*, row_number() OVER (PARTITION BY nm ORDER BY cnt DESC, seq) AS rn, count(*) OVER (PARTITION BY nm) AS grp FROM m)
-SELECT sid, nm, cnt, ml, grp FROM r WHERE rn """
 _BATCH = """WITH e AS (SELECT user_id AS artist_id, CAST(ts AS DATE) AS snapshot_date, CAST(round(value*100) AS BIGINT) AS daily_streams, event_id FROM events),
 o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY artist_id, snapshot_date ORDER BY event_id DESC) AS rn FROM e WHERE event_id % 3 <> 0) WHERE rn = 1),
 n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY artist_id, snapshot_date ORDER BY event_id {dir}) AS rn FROM e WHERE event_id % 3 = 0) WHERE rn = 1)
 SELECT coalesce(o.artist_id, n.artist_id) AS artist_id, coalesce(o.snapshot_date, n.snapshot_date) AS snapshot_date, coalesce({first}.daily_streams, {then}.daily_streams) AS daily_streams,
  CASE WHEN o.artist_id IS NULL THEN 'again' ELSE 'load' END AS source FROM o FULL JOIN n ON o.artist_id = n.artist_id AND o.snapshot_date = n.snapshot_date"""
-_CHARTS = """SELECT {a}, a.is_afrobeats, a.origin_country, chart_name, {g} AS chart_territory, count(DISTINCT chart_week) AS total_chart_weeks, count(DISTINCT c.song_id) AS distinct_songs_charted, min(peak_position) AS best_peak_position,
+_CHARTS = """SELECT {a}, a.is_afrobeats, a.origin_country, chart_name, {g} AS chart_territory, count(DISTINCT chart_week) AS total_chart_weeks, count(DISTINCT c.song_id) AS distinct_songs_charted, min(position) AS best_peak_position,
  count(*) FILTER (WHERE position = 1) AS weeks_at_number_1, count(*) FILTER (WHERE position <= 10) AS weeks_in_top_10, min(chart_week) AS first_chart_appearance, max(chart_week) AS latest_chart_appearance, '{role}' AS role
  FROM {f} GROUP BY ALL"""
 
 _VIEW_SQL: dict[str, str] = {
     "song_chart_summary": f"""SELECT s.id AS song_id, s.title AS song_title, s.slug AS song_slug, s.spotify_track_id, s.is_afrobeats AS song_is_afrobeats, s.release_date, {_A}, a.is_afrobeats AS artist_is_afrobeats, a.origin_country, chart_name, {_G} AS chart_territory,
- min(peak_position) AS peak_position, max(weeks_on_chart) AS max_weeks_on_chart, count(*) AS total_chart_weeks, count(*) FILTER (WHERE position = 1) AS weeks_at_number_1, count(*) FILTER (WHERE position <= 10) AS weeks_in_top_10, count(*) FILTER (WHERE position <= 40) AS weeks_in_top_40, min(chart_week) AS first_charted, max(chart_week) AS last_charted
+ min(position) AS peak_position, max(weeks_on_chart) AS max_weeks_on_chart, count(*) AS total_chart_weeks, count(*) FILTER (WHERE position = 1) AS weeks_at_number_1, count(*) FILTER (WHERE position <= 10) AS weeks_in_top_10, count(*) FILTER (WHERE position <= 40) AS weeks_in_top_40, min(chart_week) AS first_charted, max(chart_week) AS last_charted
  FROM chart_entries c JOIN songs s ON s.id = c.song_id JOIN artists a ON a.id = c.artist_id GROUP BY ALL""",
     "chart_latest_leaderboard": f"""SELECT c.id AS entry_id, s.id AS song_id, chart_name, territory AS chart_territory, position, peak_position, weeks_on_chart, chart_week, prev_rank, delta, trend, s.title AS song_title, s.slug AS song_slug, s.spotify_track_id, s.image_url AS song_image_url, {_A}, a.is_afrobeats
  FROM (SELECT *, {_G} AS territory, row_number() OVER (PARTITION BY chart_name, {_G}, song_id ORDER BY chart_week DESC, id) AS rn FROM chart_entries) c
  JOIN songs s ON s.id = c.song_id JOIN artists a ON a.id = c.artist_id LEFT JOIN chart_entry_snapshots t ON t.entry_id = c.id WHERE rn = 1""",
-    "artist_stream_summary": f"SELECT {_A}, total_streams, daily_streams, track_count, snapshot_date, a.is_afrobeats, a.origin_country, a.spotify_id, a.popularity FROM {_LATEST.format(k='artist_id', t='artist_stats_snapshots')} x JOIN artists a ON a.id = x.artist_id WHERE rn = 1",
+    "artist_stream_summary": f"SELECT {_A}, total_streams, total_streams_as_lead, total_streams_as_feature, daily_streams, track_count, snapshot_date, a.is_afrobeats, a.origin_country, a.spotify_id, a.popularity FROM {_LATEST.format(k='artist_id', t='artist_stats_snapshots')} x JOIN artists a ON a.id = x.artist_id WHERE rn = 1",
     "song_stream_summary": f"SELECT s.id AS song_id, spotify_streams AS total_spotify_streams, daily_streams, snapshot_date, s.title AS song_title, s.slug AS song_slug, s.spotify_track_id, s.release_date, s.is_afrobeats AS song_is_afrobeats, s.image_url AS song_image_url, {_A}, a.is_afrobeats AS artist_is_afrobeats, a.origin_country FROM {_LATEST.format(k='song_id', t='song_stats_snapshots')} x JOIN songs s ON s.id = x.song_id JOIN artists a ON a.id = s.artist_id WHERE rn = 1",
     "artist_certification_summary": f"""SELECT {_A}, a.is_afrobeats, a.origin_country, territory, body, count(*) AS total_certifications, count(*) FILTER (WHERE level='diamond') AS diamond_count, count(*) FILTER (WHERE level='platinum') AS platinum_count, count(*) FILTER (WHERE level='gold') AS gold_count, count(*) FILTER (WHERE level='silver') AS silver_count,
  CAST(coalesce(sum(units), 0) AS BIGINT) AS total_platinum_units, max(certified_at) AS latest_certification, min(certified_at) AS earliest_certification FROM certifications c JOIN artists a ON a.id = c.artist_id GROUP BY ALL""",
@@ -218,7 +209,7 @@ _VIEW_SQL: dict[str, str] = {
     "song_growth_summary": _SG,
     "song_trending_summary": _MOM.format(d="0.7", w="0.3", v=_SG),
     "artist_country_summary": f"SELECT a.origin_country, a.id AS artist_id, a.name AS artist_name, a.slug AS artist_slug, a.image_url, a.is_afrobeats, total_streams, daily_streams FROM {_LATEST.format(k='artist_id', t='artist_stats_snapshots')} x JOIN artists a ON a.id = x.artist_id WHERE rn = 1",
-    "artist_recent_chart_summary": f"SELECT a.id AS artist_id, a.name AS artist_name, a.slug AS artist_slug, a.image_url, a.is_afrobeats, chart_name, {_G} AS chart_territory, count(*) AS chart_entries, count(*) FILTER (WHERE position <= 10) AS top_10s, count(*) FILTER (WHERE position = 1) AS number_1s, min(peak_position) AS best_peak, min(chart_week) AS first_recent_entry, max(chart_week) AS latest_recent_entry FROM chart_entries c JOIN artists a ON a.id = c.artist_id WHERE chart_week >= DATE '2001-11-04' - 90 GROUP BY ALL",
+    "artist_recent_chart_summary": f"SELECT a.id AS artist_id, a.name AS artist_name, a.slug AS artist_slug, a.image_url, a.is_afrobeats, chart_name, {_G} AS chart_territory, count(*) AS chart_entries, count(*) FILTER (WHERE position <= 10) AS top_10s, count(*) FILTER (WHERE position = 1) AS number_1s, min(position) AS best_peak, min(chart_week) AS first_recent_entry, max(chart_week) AS latest_recent_entry FROM chart_entries c JOIN artists a ON a.id = c.artist_id WHERE chart_week >= DATE '2001-11-04' - 90 GROUP BY ALL",
     "artist_monthly_listener_summary": f"SELECT {_A}, x.spotify_id, snapshot_date, monthly_listeners, daily_change, peak_rank, peak_listeners, a.is_afrobeats, a.origin_country FROM {_LATEST.format(k='artist_id', t='artist_monthly_listener_snapshots')} x JOIN artists a ON a.id = x.artist_id WHERE rn = 1",
 }
 
@@ -229,15 +220,7 @@ def _topped(view: str, columns: str, order: str, where: str = "true", k: int = 2
 
 _OTHER_SQL: dict[str, str] = {
     "chart_trend": "SELECT * FROM chart_entry_snapshots",
-    "top_songs_weeks_at_1": _topped("song_chart_summary", "song_id, chart_name, chart_territory, weeks_at_number_1", "weeks_at_number_1 DESC, song_id, chart_name, chart_territory"),
-    "top_artists_streams": _topped("artist_stream_summary", "artist_id, artist_name, total_streams", "total_streams DESC NULLS LAST, artist_id"),
-    "current_chart": _topped("chart_latest_leaderboard", "position, song_id, chart_week, trend", "position, chart_week DESC, song_id", "chart_name = '1-URGENT' AND chart_territory = 'ASIA'", 100),
-    "top_certified": _topped("artist_certification_summary", "artist_id, total_platinum_units, total_certifications", "total_platinum_units DESC, total_certifications DESC, artist_id", "territory = '1-URGENT' AND body = 'RIAA'"),
-    "top_momentum_on_date": _topped("artist_trending_summary", "artist_id, snapshot_date, momentum_score", "momentum_score DESC, artist_id", "snapshot_date = DATE '2024-01-15'"),
-    "top_song_growth_on_date": _topped("song_growth_summary", "song_id, daily_growth, growth_7d", "daily_growth DESC NULLS LAST, song_id", "snapshot_date = DATE '2024-01-15'"),
-    "top_listeners": _topped("artist_monthly_listener_summary", "artist_id, monthly_listeners, daily_change", "monthly_listeners DESC, artist_id"),
-    "top_song_streams": _topped("song_stream_summary", "song_id, song_title, total_spotify_streams", "total_spotify_streams DESC NULLS LAST, song_id", "song_is_afrobeats"),
-    "top_chart_artists": _topped("artist_chart_summary", "artist_id, chart_name, total_chart_weeks, best_peak_position", "total_chart_weeks DESC, best_peak_position, artist_id, chart_name", "role = 'primary' AND chart_territory = 'GLOBAL'"),
+    **{name: _topped(view, columns, order, where, k) for name, (view, order, columns, where, k) in LEADERBOARDS.items()},
     "top_artists_by_country": f"SELECT origin_country, CAST(r AS INTEGER) AS rank, artist_id, total_streams FROM (SELECT *, row_number() OVER (PARTITION BY origin_country ORDER BY total_streams DESC NULLS LAST, artist_id) AS r FROM ({_VIEW_SQL['artist_country_summary']})) WHERE r <= 3",
     "artist_career_card": f"""SELECT a.id AS artist_id, a.name, s.total_streams, c.chart_weeks, c.best_peak, c.weeks_at_number_1, k.certifications, l.monthly_listeners FROM artists a
  LEFT JOIN ({_VIEW_SQL['artist_stream_summary']}) s ON s.artist_id = a.id
@@ -245,16 +228,10 @@ _OTHER_SQL: dict[str, str] = {
  LEFT JOIN (SELECT artist_id, CAST(sum(total_certifications) AS BIGINT) AS certifications FROM ({_VIEW_SQL['artist_certification_summary']}) GROUP BY 1) k ON k.artist_id = a.id
  LEFT JOIN ({_VIEW_SQL['artist_monthly_listener_summary']}) l ON l.artist_id = a.id""",
     "fastest_to_n": "SELECT song_id, title, date_diff('day', s.release_date, reached) AS days FROM (SELECT song_id, min(snapshot_date) AS reached FROM song_stats_snapshots WHERE spotify_streams >= 100000 GROUP BY 1) r JOIN songs s ON s.id = r.song_id WHERE s.release_date IS NOT NULL ORDER BY days, song_id LIMIT 20",
-    "combined_top_100": f"""WITH src AS ({_PLAT}), best AS (SELECT * FROM (SELECT src.*, row_number() OVER (PARTITION BY platform, k ORDER BY rnk, title) AS rn FROM src) z WHERE rn=1 AND rnk<=100),
-f AS (SELECT coalesce(a.k,b.k) AS k, coalesce(a.title,b.title) AS title, a.rnk AS a_rank, b.rnk AS b_rank, CASE WHEN a.rnk BETWEEN 1 AND 100 THEN 101-a.rnk ELSE 0 END + CASE WHEN b.rnk BETWEEN 1 AND 100 THEN 101-b.rnk ELSE 0 END AS score
-  FROM (SELECT * FROM best WHERE platform='a') a FULL OUTER JOIN (SELECT * FROM best WHERE platform='b') b ON a.k=b.k)
-SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY score DESC, least(coalesce(a_rank,999999),coalesce(b_rank,999999)), lower(title), k) AS BIGINT) AS rnk, k, title, score, a_rank, b_rank FROM f) q WHERE rnk<=100""",
-    "regional_top_50": f"""WITH src AS ({_PLAT}), f AS (SELECT k, CAST(sum((101 - rnk) * CASE platform WHEN 'a' THEN 2 ELSE 1 END) AS BIGINT) AS score, min(rnk) AS best_rank, min_by(title, (rnk, chart_name, title)) AS title FROM src WHERE rnk <= 100 GROUP BY k)
-SELECT * FROM (SELECT row_number() OVER (ORDER BY score DESC, best_rank, lower(title), k) AS rnk, k, title, score, best_rank FROM f) WHERE rnk <= 50""",
-    "dedupe_top_k": f"SELECT rnk AS rank, k, title FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY rnk, title) AS rn FROM ({_PLAT}) WHERE platform = 'b') WHERE rn = 1 ORDER BY rnk, k LIMIT 50",
-    "discovery_merge": _DISC + "= 1",
-    "discovery_duplicates": _DISC + "> 1",
     "normalize_name_c": "SELECT p_name AS raw, regexp_replace(trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g')), '[^a-z0-9 ]', '', 'g') AS name FROM part",
+    "normalize_name_a": r"""SELECT text AS raw, trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(text), '&', ' and '), '\bfeat\b\.?', 'featuring', 'g'), '[^\p{L}\p{N} \t\n\r]', '', 'g'), '\s+', ' ', 'g')) AS name FROM documents""",
+    "normalize_name_b": r"""SELECT text AS raw, trim(regexp_replace(regexp_replace(regexp_replace(replace(strip_accents(lower(text)), '&', 'and'), '[''"`’‘]', '', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM documents""",
+    "normalize_title": r"""SELECT text AS raw, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\(feat[^)]*\)|\(ft[^)]*\)|\[feat[^\]]*\]', '', 'g'), '[^\p{L}\p{N} \t\n\r]', '', 'g'), '\s+', ' ', 'g')) AS title FROM documents""",
     "album_slug": "SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(lower(trim(concat(p_name, '''s & ', p_type))), '''', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '-' || left(sha256(CAST(p_partkey AS VARCHAR)), 8) AS slug FROM part",
     "parse_values": "SELECT p_partkey, CAST(p_size AS BIGINT) AS units, -CAST(round_even(p_retailprice, 0) AS BIGINT) AS signed, CAST(coalesce(nullif(regexp_replace(p_brand, '[^0-9]', '', 'g'), ''), '0') AS BIGINT) AS plain, CASE WHEN lower(p_type) LIKE '%diamond%' THEN 'diamond' WHEN lower(p_type) LIKE '%platinum%' THEN 'platinum' WHEN lower(p_type) LIKE '%gold%' THEN 'gold' WHEN lower(p_type) LIKE '%silver%' THEN 'silver' ELSE lower(p_type) END AS level FROM part",
     "friday_align": "SELECT o_orderkey, CAST(o_orderdate AS DATE) - CAST((dayofweek(o_orderdate) + 2) % 7 AS INTEGER) AS friday, CAST(o_orderdate AS DATE) AS day FROM orders",
@@ -266,4 +243,4 @@ SELECT * FROM (SELECT row_number() OVER (ORDER BY score DESC, best_rank, lower(t
     "insert_ignore": _BATCH.format(dir="ASC", first="o", then="n"),
     "page_links": "SELECT page_id, href, count(*) AS n, CAST(min(pos) AS INTEGER) AS first_at FROM (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS h FROM pages)) GROUP BY page_id, href",
 }
-SQL: dict[str, str] = {k: with_fixtures(v) for k, v in (_VIEW_SQL | _OTHER_SQL).items()}
+SQL: dict[str, str] = {k: with_fixtures(v) for k, v in (_VIEW_SQL | _OTHER_SQL).items()} | STORE_SQL | CHART_SQL | JOB_SQL

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,27 +13,37 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from chartspark.operators import relational as rel
 
 
-def upsert_days(batch: DataFrame, path: str, keys: list[str], day: str, seq: str) -> None:
+def _there(spark: SparkSession, path: str, delete: bool = False) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.delete(hadoop, True) if delete else files.exists(hadoop)
+
+
+def upsert_days(batch: DataFrame, path: str, keys: list[str], day: str, seq: str, batch_id: int = 0) -> None:
     """Upsert ``batch`` into the table at ``path``, partitioned by ``day``; the last row of a key (by ``seq``) counts.
 
-    Only the days of the batch are read and rewritten, so the cost follows the batch and not the history. A batch that
-    is delivered again gives the same table.
+    Only the days of the batch are read and rewritten, so the cost follows the batch and not the history. The new days
+    are written beside the table first; a batch that failed while they replaced the old ones is finished from there when
+    it is delivered again, and one that is delivered twice gives the same table.
     """
     spark = batch.sparkSession
-    fresh = rel.latest_by(batch, [*keys, day], [F.col(seq).desc()]).drop(seq)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    if there:
-        days = fresh.select(day).distinct()
-        old = spark.read.schema(fresh.schema).parquet(path).join(F.broadcast(days), day, "left_semi")
-        kept = old.join(fresh.select(*keys, day), [*keys, day], "left_anti").select(fresh.columns)
-        fresh = fresh.unionByName(kept).checkpoint()
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    staged = f"{path.rstrip('/')}-staged/{batch_id}"
+    if not _there(spark, f"{staged}/_SUCCESS"):
+        fresh = rel.latest_by(batch, [*keys, day], [F.col(seq).desc()]).drop(seq)
+        if _there(spark, path):
+            days = fresh.select(day).distinct()
+            old = spark.read.schema(fresh.schema).parquet(path).join(days, day, "left_semi")
+            kept = old.join(fresh.select(*keys, day), [*keys, day], "left_anti").select(fresh.columns)
+            fresh = fresh.unionByName(kept)
+        fresh.write.mode("overwrite").parquet(staged)
+    merged = spark.read.parquet(staged)
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    _there(spark, staged, delete=True)
 
 
 def snapshot_sink(stream: DataFrame, path: str, keys: list[str], day: str, seq: str, checkpoint: str) -> DataStreamWriter:
     """A writer that upserts each micro-batch; ``checkpoint`` is the query's own folder."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda b, _: upsert_days(b, path, keys, day, seq))
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda b, i: upsert_days(b, path, keys, day, seq, i))
 
 
 TREND = "song_id string, chart_name string, chart_territory string, chart_week date, position int, prev_rank int, trend string"
