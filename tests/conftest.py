@@ -32,12 +32,25 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="session")
+def model(spark, tmp_path_factory):
+    """A folder with the base tables and the music model, stored once for all queries."""
+    from chartspark.plans.fixtures import RECIPES, Tables
+
+    folder, made = str(tmp_path_factory.mktemp("model")), Tables(spark, SMALL)
+    for name in os.listdir(SMALL):
+        os.symlink(f"{SMALL}/{name}", f"{folder}/{name}")
+    for name in RECIPES:
+        made[name].coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
 @pytest.fixture(scope="session")
 def same(spark, duck):
     """Whether a query's rows are those of its SQL."""
 
-    def check(query, sql):
-        got = query(spark, SMALL).toArrow()
+    def check(query, sql, folder=SMALL):
+        got = query(spark, folder).toArrow()
         want = duck.execute(sql)
         names = [c[0] for c in want.description]
         assert sorted(names) == sorted(got.column_names)

@@ -41,3 +41,27 @@ def test_greedy_insert_and_upsert(spark):
     new = spark.createDataFrame([(1, "x", 9, 0), (1, "y", 9, 1), (None, "z", 9, 2)], "k int, v string, w int, seq int")
     assert sorted(map(repr, map(tuple, rel.upsert(old, new, ["k"], ["v"], "seq").collect()))) == ["(1, 'y', 1)", "(None, 'b', 1)", "(None, 'z', 9)"]
     assert sorted(map(repr, map(tuple, rel.insert_ignore(old, new, ["k"], "seq").collect()))) == ["(1, 'a', 1)", "(None, 'b', 1)", "(None, 'z', 9)"]
+
+
+def test_chart_credits(spark):
+    assert tuple(one(spark, "Song (Remix feat. A & B) [w/ C]", text.extract_features)) == ("Song", ["Remix A", "B", "C"])
+    assert tuple(one(spark, "Love (with D+E x F)", text.extract_features)) == ("Love", ["D", "E", "F"])
+    assert tuple(one(spark, "(featherweight) Go", text.extract_features)) == ("(featherweight) Go", [])
+    assert tuple(one(spark, "Up (featuring Drake)", text.extract_features)) == ("Up", ["uring Drake"])
+    assert tuple(one(spark, "A&B, C feat. D", text.split_artists)) == ("A", ["B", "C"])
+    assert tuple(one(spark, "Wizkid ft. Tems", text.split_artists)) == ("Wizkid", [])
+    assert tuple(one(spark, "", text.split_artists)) == ("", [])
+    assert one(spark, " «A​»  【b】 ", text.normalize_all) == "(A) (b)"
+    assert one(spark, "‚a‛ „b‟ «c» ‘d’", text.ascii_quotes) == "'a' \"b\" \"c\" ‘d’"
+    assert one(spark, "ＡＢ  ﬁ", text.norm_key) == "ab fi"
+    assert one(spark, "Ü １", lambda c: text.track_key(c, F.lit(" X Y "))) == "ü 1::x y"
+
+
+def test_fused_charts_follow_language_order(spark):
+    from chartspark.operators import charts
+
+    rows = [("ng", "spotify", 1, 5, "B", "Éa", None), ("ng", "spotify", 2, 5, "B", "ez", None), ("ng", "apple", 3, 5, "a", "EZ", ["X"]), ("ng", "apple", 4, 5, "A & b", "ez", ["x", "Y"]), ("ng", "apple", 5, 9, "A", "ez", None), ("ng", "apple", 6, 999, "Z", "z", None)]
+    df = spark.createDataFrame(rows, "country string, platform string, seq int, rank int, artist string, title string, featured array<string>")
+    out = charts.combined(df, ["country"], {"spotify": 1, "apple": 2}, max_rank=10).orderBy("rank").collect()
+    assert [(r.rank, r.artist, r.title, r.score, r.apple_rank) for r in out] == [(1, "a", "EZ", 12, 5), (2, "B", "Éa", 6, None), (3, "B", "ez", 6, None)]
+    assert out[0].featured == ["X"]
