@@ -78,7 +78,7 @@ def features(column: pa.Array, hasher: Hasher) -> np.ndarray:
     ends = np.flatnonzero(base == 10)
     stops = np.unique(np.concatenate([ends, at[1:][size > 0] - 1])) if len(base) else np.zeros(0, np.int64)
     starts = np.r_[0, stops[:-1] + 1] if len(stops) else stops
-    sums = np.concatenate([[0], np.cumsum(mix(base.astype(np.uint64), 1) >> np.uint64(20), dtype=np.uint64)])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(base.astype(np.uint64), 1) >> np.uint64(20), dtype=np.uint64)])
     line = (sums[stops + 1] - sums[starts]) if len(stops) else np.zeros(0, np.uint64)
     line_row = np.searchsorted(at, starts, "right") - 1
     order = np.lexsort((line, line_row))
