@@ -46,10 +46,9 @@ def written(df: DataFrame, name: str, *consumed: DataFrame) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for t in tables:
-        for file in t.inputFiles()[:1]:
-            path = next((p for p in _written if file.split("://")[-1].split(":", 1)[-1].lstrip("/").startswith(p.split("://")[-1].lstrip("/") + "/")), None)
-            if path:
-                _delete(path)
+        folders = {file.rsplit("/", 2)[-2] for file in t.inputFiles()}  # their names are unique
+        for path in [p for p in _written if p.rsplit("/", 1)[-1] in folders]:
+            _delete(path)
 
 
 def _delete(path: str) -> None:
