@@ -155,3 +155,15 @@ def split_credit(c: Column, slash: bool = False) -> Column:
     between = [rf"\s+{w}\s+" for w in CREDIT_WORDS] + list(CREDIT_SIGNS) + ["/"] * slash
     parts = F.filter(F.transform(F.split(c, "(?i)" + "|".join(between)), lambda x: F.trim(x)), lambda x: F.length(x) > 1)
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.trim(c)))
+
+
+def component(c: Column) -> Column:
+    """Percent-encoded as in a URL's query, with ``! ' ( ) * ~`` and spaces as browsers write them."""
+    out = F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    for code, plain in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(plain))
+    return out
+
+
+def weekly_chart_url(base: Column, day: Column, path: Column, chart: Column) -> Column:
+    return F.concat_ws("/", base, F.lit("charts"), path, F.date_format(day, "yyyyMMdd"), chart, F.lit(""))

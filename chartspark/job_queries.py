@@ -17,7 +17,7 @@ DAY = "2024-03-01"
 
 #: Batches as the sources land them. Names of profiles repeat in other casing; some ids are unknown.
 BATCHES: dict[str, str] = {
-    "found": """SELECT event_id AS seq, concat('sp', user_id) AS spotify_id, CASE WHEN user_id % 2 = 0 THEN concat('Supplier#', lpad(CAST(user_id % 40 AS VARCHAR(20)), 9, '0')) ELSE concat('SUPPLIER  ', lpad(CAST(user_id % 40 AS VARCHAR(20)), 9, '0')) END AS name, CAST(user_id % 3 AS INT) AS appeared,
+    "found": """SELECT event_id AS seq, concat('sp', user_id) AS spotify_id, CASE WHEN user_id % 2 = 0 THEN concat('Supplier#', lpad(CAST(CASE WHEN user_id % 3 = 0 THEN user_id % 40 ELSE user_id % 130 END AS VARCHAR(20)), 9, '0')) ELSE concat('SUPPLIER  ', lpad(CAST(CASE WHEN user_id % 3 = 0 THEN user_id % 40 ELSE user_id % 130 END AS VARCHAR(20)), 9, '0')) END AS name, CAST(user_id % 3 AS INT) AS appeared,
  CASE WHEN event_type = 'view' THEN CAST(round(value * 100) AS BIGINT) END AS monthly_listeners, CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 50 AS BIGINT) END AS daily_change, CAST(event_id % 90 AS INT) AS peak_rank, CAST(event_id AS BIGINT) AS peak_listeners FROM events""",
     "totals": "SELECT concat('sp', CAST(id AS VARCHAR(20))) AS spotify_id, CASE WHEN id % 6 = 1 THEN 404 WHEN id % 6 = 2 THEN 500 ELSE 200 END AS status, id * 1000 AS total_streams, id * 10 AS daily_streams, CAST(id % 30 AS INT) AS track_count, CASE WHEN id % 5 = 0 THEN '2024/02/29' ELSE 'soon' END AS updated FROM artists WHERE id % 7 <> 6",
     "song_pages": "SELECT s.id AS seq, concat('sp', CAST(s.artist_id AS VARCHAR(20))) AS spotify_id, CASE WHEN s.id % 2 = 0 THEN concat('trk', CAST(s.id AS VARCHAR(20))) ELSE concat('new', CAST(s.id AS VARCHAR(20))) END AS track_id, upper(s.title) AS title, s.id * 5 AS streams, s.id AS daily FROM songs s",

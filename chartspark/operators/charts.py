@@ -87,6 +87,13 @@ def flat(rows: DataFrame, by: Sequence[str], max_rank: int = 200, cap: int = 50,
     return best.withColumn("_at", at).where(F.col("_at") <= cap).drop("_at", "seq")
 
 
+def weekly_rows(rows: DataFrame, slash: bool = False) -> DataFrame:
+    """Rows of a weekly chart (with ``artist`` as its credit) with the first artist alone and the others ``featured``."""
+    credit = rows.withColumn("_all", text.split_credit(text.collapse(F.col("artist")), slash))
+    others = F.filter("_all", lambda x, i: i > 0)
+    return credit.withColumns({"artist": F.get("_all", F.lit(0)), "featured": text.dedupe_order(others), "title": text.collapse(F.col("title"))}).drop("_all")
+
+
 def persisted(rows: DataFrame, artists: DataFrame, songs: DataFrame, entries: DataFrame, features: DataFrame, provisional: bool = False) -> dict[str, DataFrame]:
     """What a batch of canonical chart rows adds: ``mentions`` (artists resolved or created), ``songs``, ``features`` and
     ``entries`` with ``prev_rank, delta, trend``.

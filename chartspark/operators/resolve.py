@@ -74,21 +74,27 @@ def resolve_artists(mentions: DataFrame, artists: DataFrame, aliases: DataFrame
     return rows.join(of, F.col("name").eqNullSafe(F.col("n")) & F.col("spotify_id").eqNullSafe(F.col("s")), "left").drop("n", "s")
 
 
-def resolve_songs(mentions: DataFrame, songs: DataFrame, aliases: DataFrame | None = None, create: bool = True, provisional: bool = False) -> DataFrame:
+def resolve_songs(
+    mentions: DataFrame, songs: DataFrame, aliases: DataFrame | None = None, create: bool = True, provisional: bool = False, external: DataFrame | None = None
+) -> DataFrame:
     """``seq, artist_id, artist_slug, title, spotify_track_id, entity_id, matched_by, entity_status`` of every mention.
 
-    Order: track id, normal form of the title within the artist, slug, alias within the artist. Without an artist: null.
+    ``aliases``: song_id, artist_id, alias; ``external``: song_id, source, external_id. Order: track id, external id, normal
+    form of the title within the artist, slug, alias within the artist. Without an artist: null.
     """
     whole, artist = F.lit(""), F.col("artist_id")
     lookup = keys_of(songs.withColumn("id", F.col("id").cast("string")), {"track": (whole, F.col("spotify_track_id")), "title": (artist, text.title_form(F.col("title"))), "slug": (whole, F.col("slug"))})
     if aliases is not None:
         lookup = lookup.unionByName(keys_of(aliases.select(F.col("song_id").cast("string").alias("id"), "artist_id", "alias"), {"alias": (artist, text.title_form(F.col("alias")))}))
     columns = ["artist_id", "artist_slug", "title", "spotify_track_id"]
+    if external is not None:
+        ids = external.where("source = 'spotify'").select(F.col("song_id").cast("string").alias("id"), "external_id")
+        lookup = lookup.unionByName(keys_of(ids, {"external": (whole, F.col("external_id"))}))
     rows = mentions.select("seq", *columns)
     once = rows.groupBy(*columns).agg(F.min("seq").alias("seq")).withColumn("normal", text.title_form(F.col("title")))
     once = once.withColumn("slug", F.when(artist.isNotNull(), text.slug(F.concat_ws("-", "artist_slug", text.collapse(F.col("title")))))).withColumn("mention_id", F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]))
     track = F.col("spotify_track_id")
-    once = once.withColumn("keys", F.array(_key("track", whole, track), _key("title", artist, F.col("normal")), _key("slug", whole, F.col("slug")), _key("alias", artist, F.col("normal"))))
+    once = once.withColumn("keys", F.array(_key("track", whole, track), _key("external", whole, track), _key("title", artist, F.col("normal")), _key("slug", whole, F.col("slug")), _key("alias", artist, F.col("normal"))))
     found = matched(once, lookup)
     found = _created(found, ["artist_id"], "normal", "slug", provisional) if create else found.withColumn("entity_status", F.when(F.col("entity_id").isNotNull(), "canonical"))
     of = found.select(*[F.col(c).alias(f"k_{c}") for c in columns], "entity_id", "matched_by", "entity_status")
@@ -96,6 +102,16 @@ def resolve_songs(mentions: DataFrame, songs: DataFrame, aliases: DataFrame | No
     return rows.join(of, on, "left").select("seq", *columns, "entity_id", "matched_by", "entity_status")
 
 
+def write_back(resolved: DataFrame, source: str, name: str = "name", external: str = "spotify_id", form=text.name_a) -> tuple[DataFrame, DataFrame]:
+    """Batches of alias and external-id rows (``entity_id, normalized_alias, alias, source, seq`` and ``entity_id, source,
+    external_id, seq``) of what was resolved or created, for ``store.attach``."""
+    found = resolved.where("entity_id is not null")
+    shown = text.collapse(F.col(name))
+    aliases = found.select("entity_id", form(shown).alias("normalized_alias"), shown.alias("alias"), F.lit(source).alias("source"), "seq")
+    ids = found.where(F.col(external) != "").select("entity_id", F.lit("spotify").alias("source"), F.col(external).alias("external_id"), "seq")
+    return aliases, ids
+
+
 def route_discovered(found: DataFrame, artists: DataFrame) -> DataFrame:
     """``found`` (seq, spotify_id, name, monthly_listeners) and ``route, artist_id``: ``known`` by spotify id, ``link``
     (the slug or name of an artist without one), ``drop`` (of an artist with another one), ``create``."""

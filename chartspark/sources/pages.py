@@ -49,8 +49,9 @@ def _cells(row: Node, tags: str = "td") -> list[Node]:
 
 
 def _digits(s: str) -> int:
+    """The digits of a rank cell as a number; 0, which is no rank, without digits or beyond 32 bits."""
     got = re.sub(r"[^0-9]", "", s)
-    return min(int(got), 2**31 - 1) if got else 0
+    return int(got) if got and int(got) < 2**31 else 0
 
 
 def _daily_chart(page: Node) -> list[tuple]:
@@ -200,8 +201,9 @@ ARTIST = _has("artist", "chart-artist", "artist-name", tags=("p",))
 
 
 def _number(s: str) -> int | None:
+    """The first number; None without one or beyond 32 bits."""
     m = re.search(r"[0-9]+", s.replace(",", ""))
-    return min(int(m[0]), 2**31 - 1) if m else None
+    return int(m[0]) if m and int(m[0]) < 2**31 else None
 
 
 def _weekly(page: Node) -> list[tuple]:
@@ -233,3 +235,14 @@ def _weekly(page: Node) -> list[tuple]:
 def weekly_chart(pages: DataFrame) -> DataFrame:
     """Positions 1 to 100 of a weekly chart page, the first complete row of each position."""
     return read_pages(pages, _weekly, WEEKLY)
+
+
+def discover_all(chart_pages: DataFrame, listener_pages: DataFrame) -> DataFrame:
+    """Rows for ``jobs.merge_discovered`` from all chart pages, then all listener pages: an appearance for each chart page, none
+    for a listener page. Pages count in the order of their URLs."""
+    charts = discovered_on_charts(chart_pages).select("url", "seq", "spotify_id", "name", F.lit(1).alias("appeared"))
+    heard = listener_page(listener_pages).withColumn("appeared", F.lit(0))
+    kinds = dict(heard.dtypes)
+    missing = {c: F.lit(None).cast(kinds[c]) for c in ("monthly_listeners", "daily_change", "peak_rank", "peak_listeners")}
+    both = charts.withColumns(missing).withColumn("part", F.lit(0)).unionByName(heard.withColumn("part", F.lit(1)))
+    return both.withColumn("seq", F.struct("part", "url", "seq")).drop("part", "url")

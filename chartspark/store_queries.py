@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartspark.operators import store
+from chartspark.operators.relational import latest_by
 from chartspark.plans.fixtures import Tables, with_fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,7 +188,19 @@ MERGES: dict[str, tuple[str, ...]] = {
     "merge_trends": ("trends", "trend_rows", "trend_batch", "entry_id", "prev_rank,delta,trend", "", ""),
 }
 
+def _holders(spark: SparkSession, d: str) -> DataFrame:
+    rows = Tables(spark, d)["records"].where("is_active")
+    return latest_by(rows, ["scope", "record_type"], [F.col("numeric_value").desc_nulls_last(), F.col("id")]).select("scope", "record_type", "artist_id", "numeric_value", "record_value")
+
+
+def _awards(spark: SparkSession, d: str) -> DataFrame:
+    rows = Tables(spark, d)["award_records"].where("artist_id is not null")
+    return rows.groupBy("artist_id", "award_body", "year", "result").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES: dict[str, Query] = {
+    "record_holders": _holders,
+    "award_counts": _awards,
     **{name: _merge(*m[:3]) for name, m in MERGES.items()},
     **{name: _lookup(*k[:3]) for name, k in LOOKUPS.items()},
     "patch_artists": _patch,
@@ -201,6 +214,8 @@ QUERIES: dict[str, Query] = {
 
 _FIRST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY seq) AS rn FROM {b} WHERE {w}) b WHERE rn = 1"
 _SQL: dict[str, str] = {
+    "record_holders": "SELECT scope, record_type, artist_id, numeric_value, record_value FROM (SELECT *, row_number() OVER (PARTITION BY scope, record_type ORDER BY numeric_value DESC NULLS LAST, id) AS n FROM records WHERE is_active) WHERE n = 1",
+    "award_counts": "SELECT artist_id, award_body, year, result, count(*) AS n FROM award_records WHERE artist_id IS NOT NULL GROUP BY ALL",
     **{name: _merge_sql(*m[1:]) for name, m in MERGES.items() if m[4]},
     **{name: f"SELECT {k[2]} FROM ({ROWS[k[0]]}) rows_ {k[3]}" for name, k in LOOKUPS.items()},
     "songs_in_chunks": f"SELECT id, (row_number() OVER (ORDER BY id) - 1) // 50 AS chunk FROM (SELECT id FROM ({ROWS['song_rows']}) WHERE id > 10 ORDER BY id LIMIT 120)",

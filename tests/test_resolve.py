@@ -43,3 +43,14 @@ def test_streamed_trends_and_snapshots(spark, tmp_path):
         assert q.awaitTermination(60)
     assert sorted((r.chart_week, r.position) for r in spark.read.parquet(table).collect()) == [(d(5), 3), (d(12), 1)]
     assert sorted((r.chart_week, r.prev_rank, r.trend) for r in spark.read.parquet(str(tmp_path / "trend")).where("position = 1").collect()) == [(d(12), 3, "UP")]
+
+
+def test_external_ids_of_songs_and_write_back(spark):
+    known = spark.createDataFrame([(1, 7, "Joro", "joro", None)], "id int, artist_id int, title string, slug string, spotify_track_id string")
+    external = spark.createDataFrame([(1, "spotify", "t9"), (1, "other", "t8")], "song_id int, source string, external_id string")
+    ask = spark.createDataFrame([(0, 7, "wiz", "Other", "t9"), (1, 7, "wiz", "Else", "t8")], "seq int, artist_id int, artist_slug string, title string, spotify_track_id string")
+    out = resolve.resolve_songs(ask, known, external=external, create=False).orderBy("seq")
+    assert [(r.entity_id, r.matched_by) for r in out.collect()] == [("1", "external"), (None, None)]
+    aliases, ids = resolve.write_back(out, "chart", name="title", external="spotify_track_id")
+    assert [tuple(r) for r in aliases.collect()] == [("1", "other", "Other", "chart", 0)]
+    assert [tuple(r) for r in ids.collect()] == [("1", "spotify", "t9", 0)]

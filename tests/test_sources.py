@@ -66,3 +66,20 @@ def test_documents(spark):
     assert rows(documents.weekly_entries(w), "chart_week", "song", "this_week") == [("2020-01-01", "s", 1)]
     s = spark.createDataFrame([("Ann", '{"artists":[{"name":"Bob","score":90,"country":"US"},{"name":"ann","score":"94","area":{"iso-3166-1-codes":["ng"]},"country":"US"}]}'), ("Low", '{"artists":[{"name":"x","score":50,"country":"US"}]}'), ("None", "{}"), ("Null", None)], "name string, body string")
     assert sorted(rows(documents.origin_country(s), "name", "origin_country")) == [("Ann", "NG"), ("Low", None), ("None", None), ("Null", None)]
+
+
+def test_discovery_from_pages_to_unique_artists(spark):
+    from chartspark.operators import jobs
+
+    link = lambda *who: "".join(f'<a href="/artist/{i}.html">{n}</a>' for i, n in who)
+    row = lambda i, n, heard: f'<tr><td>1<td><a href="artist/{i}.html">{n}</a><td>{heard}<td>1<td>9</tr>'
+    charts = spark.createDataFrame([("c1", link(("a", "Ann"), ("b", "Bob"))), ("c2", link(("a", "ANN x"), ("d", "ann")))], "url string, html string")
+    heard = spark.createDataFrame([("l1", "<table>" + row("a", "Ann", "1,000") + row("d", "ann", "7") + "</table>")], "url string, html string")
+    merged = jobs.merge_discovered(pages.discover_all(charts, heard))
+    assert sorted(tuple(r) for r in jobs.unique_discovered(merged).select("spotify_id", "name", "appeared", "monthly_listeners").collect()) == [("a", "Ann", 3, 1000), ("b", "Bob", 1, None)]
+    assert [(r.normalized, r.kept_id, [x.spotify_id for x in r.rejected]) for r in jobs.duplicate_report(merged).collect()] == [("ann", "a", ["d"])]
+
+
+def test_ranks_beyond_32_bits_are_no_ranks():
+    assert pages._digits("99999999999") == 0 and pages._digits("#1,2") == 12
+    assert pages._number("99999999999") is None and pages._number("No. 1,234") == 1234
