@@ -52,18 +52,6 @@ def _persisted(part: str) -> Query:
     return run
 
 
-def _weekly(part: str) -> Query:
-    """The batch as a weekly chart writes it: featured artists inside of the credit."""
-
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        t = Tables(spark, d)
-        credit = F.concat_ws(" Featuring ", "artist", "guest")
-        rows = charts.weekly_rows(t.sql(BATCH).withColumn("artist", credit).drop("guest"))
-        return charts.persisted(rows, t["artists"], t["songs"], t["chart_entries"], t["song_features"])[part]
-
-    return run
-
-
 def _encoded(spark: SparkSession, d: str) -> DataFrame:
     p = spark.read.parquet(f"{d}/part.parquet")
     raw = F.concat("p_name", F.lit(" & é! ("), "p_brand", F.lit(")*'~"))
@@ -93,8 +81,6 @@ QUERIES: dict[str, Query] = {
     "chart_greedy_insert": _greedy,
     "persist_entries": lambda spark, d: _persisted("entries")(spark, d).drop("seq"),
     "persist_features": _persisted("features"),
-    "weekly_backfill": lambda spark, d: _weekly("entries")(spark, d).drop("seq"),
-    "weekly_features": _weekly("features"),
     "url_components": _encoded,
 }
 
@@ -157,8 +143,6 @@ SELECT chart_name, chart_territory, chart_week, song_id, position, artist_id, CA
 SELECT * FROM f ANTI JOIN (SELECT CAST(song_id AS VARCHAR) AS song_id, CAST(featured_artist_id AS VARCHAR) AS featured_artist_id FROM song_features) USING (song_id, featured_artist_id)""",
 }
 _SQL |= {
-    "weekly_backfill": _SQL["persist_entries"],
-    "weekly_features": _SQL["persist_features"],
     "url_components": """SELECT p_partkey, replace(replace(replace(replace(replace(url_encode(p_name || ' & é! (' || p_brand || ')*' || chr(39) || '~'), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*') AS encoded,
  'https://x.com/charts/singles/' || strftime(DATE '2024-01-05' + CAST(p_size AS INTEGER), '%Y%m%d') || '/' || p_partkey || '/' AS url FROM part""",
 }
