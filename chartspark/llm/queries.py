@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspark.llm import chat_format, decontaminate, jaccard_join, quality_gam, style_tree, substring_dedup, suffix_dedup, tokens, topk_search, url_filter, vector_packing
+from chartspark.llm import chat_format, decontaminate, jaccard_join, quality_gam, quality_rules, style_tree, substring_dedup, suffix_dedup, tokens, topk_search, url_filter, vector_packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +73,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(rows))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judged(table(spark, sf_dir, "documents"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop", "n_marks", "n_ellipsis", "n_bullet", "base_failed", "kept")
+    return found.select("carried.doc_id", *names, F.array_join("failed", ",").alias("failed"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_gam": op1_quality_gam,
     "op2_url_filter": op2_url_filter,
@@ -84,8 +90,17 @@ QUERIES: dict[str, Query] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_style_tree": op9_style_tree,
     "op10_chat_format": op10_chat_format,
+    "op11_quality_rules": op11_quality_rules,
 }
 
+_FORMS = ", ".join(f"'{w}'" for w in quality_rules.stop_forms())
+_FAILED = " || ',' || ".join(
+    "CASE WHEN {whole} > 0 AND ({low} OR {high}) THEN '{name}' ELSE '' END".format(
+        whole=r.whole, name=r.name,
+        low=f"100 * {r.part} < {r.least} * {r.whole}" if r.least is not None else "false",
+        high=f"100 * {r.part} > {r.most} * {r.whole}" if r.most is not None else "false")
+    for r in quality_rules.RULES)
+
 _WINDOWS = r"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d WHERE len(w) >= 50),
@@ -190,4 +205,21 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
   CAST(sum(chars + extra) AS BIGINT) AS formatted_chars
 FROM n GROUP BY conv_id""",
+    "op11_quality_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (
+  SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, length(t) - length(translate(t, '!?', '')) AS n_marks,
+    len(list_filter(regexp_extract_all(t, '[^\x20\x09-\x0D.,;:!?]+'), lambda x: x IN ({_FORMS}))) AS n_stop FROM d),
+p AS (SELECT row_number() OVER () AS r, * FROM m),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM p WHERE len(w) >= 3)),
+c AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM g WHERE n > 1) GROUP BY r),
+s AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines, CAST(n_stop AS BIGINT) AS n_stop, n_marks,
+    CAST(len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS BIGINT) AS n_ellipsis,
+    CAST(len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS BIGINT) AS n_bullet
+  FROM p LEFT JOIN c USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, array_to_string(list_filter(string_split({_FAILED}, ','), lambda x: x <> ''), ',') AS failed FROM s)
+SELECT *, NOT base_failed AND failed = '' AS kept FROM f""",
 }
