@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspark.llm import chat_format, decontaminate, jaccard_join, quality_gam, quality_rules, style_tree, substring_dedup, suffix_dedup, tokens, topk_search, url_filter, vector_packing
+from chartspark.llm import chat_format, decontaminate, importance_resampling, jaccard_join, quality_gam, quality_rules, style_tree, substring_dedup, suffix_dedup, tokens, topk_search, url_filter, vector_packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +79,11 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("carried.doc_id", *names, F.array_join("failed", ",").alias("failed"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, seed="2024", percent=10, min_words=20)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_gam": op1_quality_gam,
     "op2_url_filter": op2_url_filter,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op9_style_tree": op9_style_tree,
     "op10_chat_format": op10_chat_format,
     "op11_quality_rules": op11_quality_rules,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 _FORMS = ", ".join(f"'{w}'" for w in quality_rules.stop_forms())
@@ -222,4 +228,27 @@ s AS (
   FROM p LEFT JOIN c USING (r)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, array_to_string(list_filter(string_split({_FAILED}, ','), lambda x: x <> ''), ',') AS failed FROM s)
 SELECT *, NOT base_failed AND failed = '' AS kept FROM f""",
+    "op13_importance_resampling": r"""
+WITH ct AS (SELECT list_transform(range(256), lambda c: list_reduce(list_prepend(c, range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(w) AS w FROM d) GROUP BY ALL),
+bw AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM b) GROUP BY ALL),
+v AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+h AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+    lambda a, b: xor(a >> 8, ct.t[1 + (xor(a, b) & 255)])), 4294967295) % 10000 AS bucket FROM v, ct),
+s AS (SELECT bucket, sum(n) AS n FROM dw JOIN h USING (w) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS n FROM bw JOIN h USING (w) GROUP BY bucket),
+g AS (
+  SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000) / ((s.n + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+x AS (SELECT doc_id, CAST(sum(n * gain) AS BIGINT) AS weight FROM dw JOIN h USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+y AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN x USING (doc_id)),
+z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM y WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM z) THEN rank END AS rank FROM y LEFT JOIN z USING (doc_id)""",
 }
