@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspark.llm import chat_format, decontaminate, importance_resampling, jaccard_join, quality_gam, quality_rules, style_tree, substring_dedup, suffix_dedup, tokens, topk_search, url_filter, vector_packing
+from chartspark.llm import chat_format, decontaminate, importance_resampling, jaccard_join, lexical_search, quality_gam, quality_rules, style_tree, substring_dedup, suffix_dedup, tokens, topk_search, url_filter, vector_packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +79,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("carried.doc_id", *names, F.array_join("failed", ",").alias("failed"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance_resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, seed="2024", percent=10, min_words=20)
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -96,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op9_style_tree": op9_style_tree,
     "op10_chat_format": op10_chat_format,
     "op11_quality_rules": op11_quality_rules,
+    "op12_lexical_search": op12_lexical_search,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
@@ -251,4 +256,18 @@ y AS (
   FROM d LEFT JOIN x USING (doc_id)),
 z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM y WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM z) THEN rank END AS rank FROM y LEFT JOIN z USING (doc_id)""",
+    "op12_lexical_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+s AS (SELECT count(*) AS n, sum(len(w)) AS l FROM d WHERE len(w) > 0),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(w) AS term FROM b) GROUP BY ALL),
+p AS (SELECT r, doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) SEMI JOIN q USING (term) GROUP BY r, doc_id, term),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+g AS (SELECT term, CAST(floor(1000 * ln((2 * s.n + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS weight FROM f, s),
+x AS (
+  SELECT item_id, r, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + CAST((25 * p.n * s.n) // s.l AS BIGINT))))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN g USING (term), s GROUP BY item_id, r, doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 20""",
 }
