@@ -9,7 +9,7 @@ no rows. Every stage but the last returns the columns of its input, whatever the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartspark.llm import decontaminate, jaccard_join, quality_gam, substring_dedup, tokens, vector_packing
@@ -23,20 +23,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_gam.scored(docs, model).where("score >= 0.3").select("carried.*")
 
 
+def keyed(docs: DataFrame, text_hash: Column) -> DataFrame:
+    """``carried`` (the row, whatever its columns are called) and what tells rows apart: ``row_id`` and ``row_hash``."""
+    return docs.select(F.struct("*").alias("carried"), F.col("doc_id").alias("row_id"), text_hash.alias("row_hash"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of rows with equal or linked shingle sets: that with the smallest doc_id, then the smallest hash
     of its text, then the least of its other columns. Rows are judged one by one, also where they share a doc_id; rows
     without a doc_id or without words stay."""
     found = written(jaccard_join.linked_rows(docs), "linked")
-    key = F.struct("doc_id", "text_hash")
-    best = found.groupBy("root").agg(F.min(key).alias("best"))
-    keys = found.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
-    judged = written(keys.join(best, "root").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), (F.col("best") == key).alias("best"), "n"), "judged")
-    same = (F.col("doc_id").cast("long") == F.col("d")) & (jaccard_join.text_key() == F.col("h"))
-    kept = docs.join(judged.where("not best or n > 1"), same, "left_anti")
-    copies = docs.join(judged.where("best and n > 1"), same).groupBy("d", "h")
-    least = copies.agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
-    return kept.unionByName(least.select("row.*"))
+    counts = found.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    # A root's best key comes back by that key, not by the root: a group of any size stays spread out.
+    best = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("b")).select("root", "b.doc_id", "b.text_hash", F.lit(True).alias("best"))
+    judged = counts.join(best, ["root", "doc_id", "text_hash"], "left").where("best is null or n > 1")
+    judged = written(judged.select(F.col("doc_id").alias("row_id"), F.col("text_hash").alias("row_hash"), F.coalesce("best", F.lit(False)).alias("best")), "judged")
+    rows = keyed(docs, jaccard_join.text_key()).withColumn("row_id", F.col("row_id").cast("long"))
+    kept = rows.join(judged, ["row_id", "row_hash"], "left_anti").select("carried")
+    copies = rows.join(judged.where("best"), ["row_id", "row_hash"]).groupBy("row_id", "row_hash")
+    return kept.unionByName(copies.agg(F.min("carried").alias("carried")).select("carried")).select("carried.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +55,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark does not contaminate."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    bad = written(found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("d")) & (decontaminate.text_key() == F.col("h")), "left_anti")
+    bad = written(found.select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), "contaminated")
+    same = F.col("row_id").eqNullSafe(F.col("bad_id")) & (F.col("row_hash") == F.col("bad_hash"))
+    return keyed(docs, decontaminate.text_key()).join(bad, same, "left_anti").select("carried.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
