@@ -274,7 +274,7 @@ def test_pipeline_of_nothing_and_of_other_columns(spark, corpus, tmp_path):
     empty = spark.read.parquet(f"{folder}/documents.parquet").where("false")
     for _, stage in p.STAGES:
         assert stage(spark, empty, folder).count() == 0
-    clash = spark.createDataFrame([(1, "some good text here now", "en", "s", 23, 1, 2, "k", 0.5)], "doc_id long, text string, lang string, source string, n_chars long, node long, best int, spans string, score double")
+    clash = spark.createDataFrame([(1, "some good text here now", "en", "s", 23, 1, 2, "k", 0.5, 3, 4, "r", "c", 5, 6)], "doc_id long, text string, lang string, source string, n_chars long, node long, best int, spans string, score double, n int, d long, row string, carried string, h long, row_id long")
     for name, stage in p.STAGES[1:-1]:
         assert stage(spark, clash, folder).collect() == clash.collect(), name
 
