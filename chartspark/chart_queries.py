@@ -20,9 +20,6 @@ PAGES = """SELECT chart_territory AS country, chart_week AS week, CASE WHEN char
   CASE song_id % 4 WHEN 0 THEN concat('Act', song_id % 60, ' & Guest', song_id % 5) WHEN 1 THEN concat('ACT', song_id % 60, ' feat. Someone') WHEN 2 THEN concat('Act', song_id % 60) ELSE concat(' act', song_id % 60, '  x Duo') END AS artist,
   CASE song_id % 3 WHEN 0 THEN concat('Song ', song_id % 60, ' (feat. Guest', song_id % 7, ', Friend)') WHEN 1 THEN concat('Song  ', song_id % 60, ' [Remix ft. other & Guest1]') ELSE concat('SONG ', song_id % 60) END AS title
  FROM chart_entries WHERE chart_territory IS NOT NULL AND chart_name IN ('1-URGENT', '2-HIGH')"""
-#: A batch of rows for weeks between those that the charts have.
-BATCH = """SELECT row_number() OVER (ORDER BY chart_name, chart_territory, chart_week, c.position, c.song_id) AS seq, chart_name, chart_territory, chart_week + 14 AS chart_week, c.position % 40 + 1 AS rank, a.name AS artist, s.title AS title, g.name AS guest
- FROM chart_entries c JOIN songs s ON s.id = c.song_id JOIN artists a ON a.id = s.artist_id LEFT JOIN artists g ON g.id = (s.id * 7 + 3) % 10 WHERE chart_territory IS NOT NULL"""
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
@@ -43,15 +40,6 @@ def _regional(spark: SparkSession, d: str) -> DataFrame:
     return _joined(out.withColumn("score", F.col("score").cast("long")))
 
 
-def _persisted(part: str) -> Query:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        t = Tables(spark, d)
-        rows = t.sql(BATCH).withColumn("featured", F.when(F.col("guest").isNotNull(), F.array("guest")).otherwise(F.array().cast("array<string>"))).drop("guest")
-        return charts.persisted(rows, t["artists"], t["songs"], t["chart_entries"], t["song_features"])[part]
-
-    return run
-
-
 def _encoded(spark: SparkSession, d: str) -> DataFrame:
     p = spark.read.parquet(f"{d}/part.parquet")
     raw = F.concat("p_name", F.lit(" & é! ("), "p_brand", F.lit(")*'~"))
@@ -79,8 +67,6 @@ QUERIES: dict[str, Query] = {
     "flat_top_50": lambda spark, d: _joined(charts.flat(_pages(spark, d), ["country", "week", "platform"], max_rank=90, cap=50)),
     "flat_global": lambda spark, d: _joined(charts.flat(_pages(spark, d), ["week", "platform"], cap=40, first=60)),
     "chart_greedy_insert": _greedy,
-    "persist_entries": lambda spark, d: _persisted("entries")(spark, d).drop("seq"),
-    "persist_features": _persisted("features"),
     "url_components": _encoded,
 }
 
@@ -99,7 +85,7 @@ f AS (SELECT *, flatten(list_transform(regexp_extract_all(t0, '{_BLOCK}', 1), la
   trim(regexp_replace(regexp_replace(t0, '{_BLOCK}', '', 'g'), '\\s+', ' ', 'g')) AS tt FROM t),
 g AS (SELECT *, list_concat({_ONCE.format(l='tf')}, ap[2:]) AS every FROM f),
 c AS (SELECT country, week, platform, rank, seq, ap[1] AS artist, tt AS title, {_ONCE.format(l='every')} AS featured, lower(ap[1]) || '::' || lower(tt) AS key FROM g)"""
-_GREEDY = """WITH RECURSIVE {head}o AS (SELECT *, row_number() OVER (PARTITION BY chart_name, chart_territory, chart_week ORDER BY seq) AS i FROM ({rows}) WHERE chart_territory IS NOT NULL),
+GREEDY = """WITH RECURSIVE {head}o AS (SELECT *, row_number() OVER (PARTITION BY chart_name, chart_territory, chart_week ORDER BY seq) AS i FROM ({rows}) WHERE chart_territory IS NOT NULL),
 r AS (
   SELECT chart_name, chart_territory, chart_week, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS songs, CAST([] AS VARCHAR[]) AS places, false AS ok FROM (SELECT DISTINCT chart_name, chart_territory, chart_week FROM o)
   UNION ALL
@@ -109,9 +95,6 @@ r AS (
     NOT (list_contains(songs, CAST(o.song_id AS VARCHAR)) OR list_contains(places, CAST(o.position AS VARCHAR)))
   FROM r JOIN o ON o.chart_name = r.chart_name AND o.chart_territory = r.chart_territory AND o.chart_week = r.chart_week AND o.i = r.i + 1),
 kept AS (SELECT o.* FROM o JOIN r USING (chart_name, chart_territory, chart_week, i) WHERE r.ok) """
-_RESOLVED = f"""batch AS ({BATCH}), named AS (SELECT b.*, CAST(a.id AS VARCHAR) AS artist_id FROM batch b JOIN artists a ON a.name = b.artist),
-titles AS (SELECT artist_id, lower(title) AS t, min(CAST(id AS VARCHAR)) AS song_id FROM songs GROUP BY 1, 2),
-solved AS (SELECT n.*, t.song_id FROM named n JOIN titles t ON CAST(t.artist_id AS VARCHAR) = n.artist_id AND t.t = lower(n.title)), """
 _SQL: dict[str, str] = {
     "canonical_rows": _CANON + " SELECT country, week, platform, rank, seq, artist, title, array_to_string(featured, '|') AS featured, key FROM c",
     "combined_top_100": _CANON + f""", best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY country, week, platform, key ORDER BY rank, seq) AS n FROM c WHERE rank <= 100) WHERE n = 1),
@@ -132,15 +115,8 @@ SELECT week, platform, key, rank, artist, title, array_to_string(featured, '|')
     "track_keys": """WITH p AS (SELECT p_partkey, p_brand, concat('  « ', upper(p_name), ' »', chr(160), '‚', p_brand, '‛  [x]') AS raw FROM part)
 SELECT p_partkey, trim(regexp_replace(replace(translate(raw, '«»', '()'), chr(160), ''), ' +', ' ', 'g')) AS whole, translate(raw, '‚‛«»', '''''""') AS quotes,
  lower(p_brand) || '::' || lower(trim(regexp_replace(replace(translate(raw, '‚‛«»', '''''""'), chr(160), ' '), ' +', ' ', 'g'))) AS key FROM p""",
-    "chart_greedy_insert": _GREEDY.format(head="", rows="SELECT chart_name, chart_territory, chart_week, song_id % 500 AS song_id, position % 60 AS position, id AS seq FROM chart_entries")
+    "chart_greedy_insert": GREEDY.format(head="", rows="SELECT chart_name, chart_territory, chart_week, song_id % 500 AS song_id, position % 60 AS position, id AS seq FROM chart_entries")
     + "SELECT chart_name, chart_territory, chart_week, song_id, position, seq FROM kept UNION ALL SELECT chart_name, chart_territory, chart_week, song_id % 500, position % 60, id FROM chart_entries WHERE chart_territory IS NULL",
-    "persist_entries": _GREEDY.format(head=_RESOLVED, rows="SELECT chart_name, chart_territory, chart_week, song_id, CAST(rank AS INTEGER) AS position, seq, artist_id FROM solved") + """,
-w AS (SELECT chart_name, chart_territory, chart_week, song_id, position, artist_id, true AS fresh FROM kept UNION ALL SELECT chart_name, chart_territory, chart_week, CAST(song_id AS VARCHAR), position, NULL, false FROM chart_entries WHERE chart_territory IS NOT NULL),
-l AS (SELECT *, lag(position) OVER (PARTITION BY song_id, chart_name, chart_territory ORDER BY chart_week) AS prev FROM w)
-SELECT chart_name, chart_territory, chart_week, song_id, position, artist_id, CAST(prev AS SMALLINT) AS prev_rank, CAST(abs(position - prev) AS SMALLINT) AS delta,
- CASE WHEN prev IS NULL THEN 'NEW' WHEN position < prev THEN 'UP' WHEN position > prev THEN 'DOWN' ELSE 'SAME' END AS trend FROM l WHERE fresh""",
-    "persist_features": f"""WITH {_RESOLVED} f AS (SELECT DISTINCT s.song_id, CAST(g.id AS VARCHAR) AS featured_artist_id FROM solved s JOIN artists g ON g.name = s.guest WHERE CAST(g.id AS VARCHAR) <> s.artist_id)
-SELECT * FROM f ANTI JOIN (SELECT CAST(song_id AS VARCHAR) AS song_id, CAST(featured_artist_id AS VARCHAR) AS featured_artist_id FROM song_features) USING (song_id, featured_artist_id)""",
 }
 _SQL |= {
     "url_components": """SELECT p_partkey, replace(replace(replace(replace(replace(url_encode(p_name || ' & é! (' || p_brand || ')*' || chr(39) || '~'), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*') AS encoded,
@@ -148,9 +124,9 @@ _SQL |= {
 }
 
 
-def _whole(sql: str) -> str:
+def whole(sql: str) -> str:
     """RECURSIVE has to stand first where the fixtures are put in front."""
     return with_fixtures(sql.replace("WITH RECURSIVE ", "WITH ", 1)).replace("WITH ", "WITH RECURSIVE ", 1) if "RECURSIVE" in sql else with_fixtures(sql)
 
 
-SQL: dict[str, str] = {k: _whole(v) for k, v in _SQL.items()}
+SQL: dict[str, str] = {k: whole(v) for k, v in _SQL.items()}

@@ -150,11 +150,28 @@ def split_artists(c: Column) -> Column:
     return F.struct(F.coalesce(F.get(parts, F.lit(0)), cleaned).alias("lead"), others.alias("others"))
 
 
+def title_case(c: Column) -> Column:
+    """Lower case, with a capital at the start and after white space. Only ASCII word characters get one."""
+    starts = F.split(F.regexp_replace(F.lower(c), r"(?<=^|\s)(?=[a-z])", "\u0001"), "\u0001")
+    return F.array_join(F.transform(starts, lambda x, i: F.when(i > 0, F.concat(F.upper(F.substr(x, F.lit(1), F.lit(1))), F.substr(x, F.lit(2)))).otherwise(x)), "")
+
+
 def split_credit(c: Column, slash: bool = False) -> Column:
-    """array of the artists of a weekly-chart credit, parts of one character left out; the credit itself if none is left."""
+    """array of the artists of a weekly-chart credit, parts of one character left out; the credit itself if none is left.
+
+    ``slash``: the form in which "/" too stands between artists, names are put in title case, and a marker before the first
+    artist goes.
+    """
+    c = title_case(c) if slash else c
     between = [rf"\s+{w}\s+" for w in CREDIT_WORDS] + list(CREDIT_SIGNS) + ["/"] * slash
-    parts = F.filter(F.transform(F.split(c, "(?i)" + "|".join(between)), lambda x: F.trim(x)), lambda x: F.length(x) > 1)
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.trim(c)))
+    sign = "^[&,/]\\s*" if slash else "^[&,]\\s*"
+    parts = F.transform(F.split(c, "(?i)" + "|".join(between)), lambda x: F.trim(F.regexp_replace(F.trim(x), sign, "")))
+    parts = F.filter(parts, lambda x: F.length(x) > 1)
+    parts = F.when(F.size(parts) > 0, parts).otherwise(F.array(F.trim(c)))
+    if slash:
+        lead = lambda x: F.trim(F.regexp_replace(x, r"(?i)^(?:featuring|feat\.?|ft\.?)\s+", ""))
+        parts = F.transform(parts, lambda x, i: F.when(i == 0, lead(x)).otherwise(x))
+    return parts
 
 
 def component(c: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from chartspark.functions import text
 from chartspark.operators import relational as rel
 from chartspark.operators import resolve
+from chartspark.plans.staging import staged
 
 NAMES = "array<string>"
 
@@ -94,44 +95,83 @@ def weekly_rows(rows: DataFrame, slash: bool = False) -> DataFrame:
     return credit.withColumns({"artist": F.get("_all", F.lit(0)), "featured": text.dedupe_order(others), "title": text.collapse(F.col("title"))}).drop("_all")
 
 
-def persisted(rows: DataFrame, artists: DataFrame, songs: DataFrame, entries: DataFrame, features: DataFrame, provisional: bool = False) -> dict[str, DataFrame]:
-    """What a batch of canonical chart rows adds: ``mentions`` (artists resolved or created), ``songs``, ``features`` and
-    ``entries`` with ``prev_rank, delta, trend``.
+#: What a song may hold once in a chart and week, and a position too.
+CHART = ["chart_name", "chart_territory", "chart_week"]
+#: Columns that a batch may bring for its entries besides the keys.
+CARRIED = ("peak_position", "weeks_on_chart", "source")
+
+
+def resolved(rows: DataFrame, artists: DataFrame, songs: DataFrame, provisional: bool = False, featured_provisional: bool = True, **known: DataFrame) -> dict[str, DataFrame]:
+    """``mentions`` of artists, ``titles`` of songs and ``credited`` rows (with ``artist_id, song_id``) of canonical rows (seq,
+    artist, title, featured, ...), every name and title resolved once.
 
-    ``rows``: seq, chart_name, chart_territory, chart_week, rank, artist, title, featured. The steps of one row after
-    another become joins: all names are resolved at once, an entry is accepted in the order of ``seq`` where neither its
-    song nor its position is taken in its chart, by the batch or by ``entries``, and its trend is taken from the week
-    before it among all entries, so a backfilled week also corrects its successor in the batch.
+    A new artist is provisional as its first mention says: ``provisional`` for a lead, ``featured_provisional`` for others. A
+    row whose artist or song comes to nothing is left out. ``known``: tables of aliases and external ids, as ``artist_aliases,
+    artist_external_ids, song_aliases, song_external_ids``.
     """
-    lead = rows.select(F.struct("seq", F.lit(0)).alias("at"), F.col("artist").alias("name"))
-    more = rows.select("seq", F.posexplode("featured").alias("i", "name")).select(F.struct("seq", F.col("i") + 1).alias("at"), "name")
-    names = lead.unionByName(more.select(F.col("at").cast(lead.schema["at"].dataType).alias("at"), "name")).where("name is not null")
-    mentions = names.groupBy("name").agg(F.min("at").alias("seq")).withColumn("spotify_id", F.lit(None).cast("string"))
-    who = resolve.resolve_artists(mentions, artists, provisional=provisional).select("name", "entity_id", "matched_by", "entity_status")
-    named = who.where("entity_id is not null")
-    r = rows.join(named.select(F.col("name").alias("artist"), F.col("entity_id").alias("artist_id")), "artist")
+    lead = rows.select(F.struct("seq", F.lit(0).alias("i")).alias("seq"), F.col("artist").alias("name"), F.lit(provisional).alias("provisional"))
+    more = rows.select("seq", F.posexplode("featured").alias("i", "name")).select(F.struct("seq", (F.col("i") + 1).alias("i")).alias("seq"), "name", F.lit(featured_provisional).alias("provisional"))
+    names = lead.unionByName(more).where("name is not null").groupBy("name").agg(F.min_by("provisional", "seq").alias("provisional"), F.min("seq").alias("seq"))
+    names = names.withColumn("spotify_id", F.lit(None).cast("string"))
+    who = resolve.resolve_artists(names, artists, known.get("artist_aliases"), known.get("artist_external_ids"))
+    who = staged(who.select("name", "entity_id", "matched_by", "entity_status"), "who")
     slugs = artists.select(F.col("id").cast("string").alias("artist_id"), F.col("slug").alias("artist_slug"))
-    r = r.join(slugs, "artist_id", "left").withColumn("artist_slug", F.coalesce("artist_slug", text.slug(text.collapse(F.col("artist")))))
-    r = r.withColumn("spotify_track_id", F.lit(None).cast("string"))
-    known = songs.withColumn("artist_id", F.col("artist_id").cast("string"))
-    titled = resolve.resolve_songs(r.select("seq", "artist_id", "artist_slug", "title", "spotify_track_id"), known, provisional=provisional)
-    titled = titled.where("entity_id is not null").select("seq", F.col("entity_id").alias("song_id"), F.col("matched_by").alias("song_matched_by"))
-    r = r.join(titled, "seq")
-    credit = r.select("song_id", "artist_id", "seq", F.posexplode("featured").alias("i", "name")).join(named.select("name", F.col("entity_id").alias("featured_artist_id")), "name")
-    credit = credit.where("featured_artist_id <> artist_id").select("song_id", "featured_artist_id", F.struct("seq", "i").alias("at"))
+    named = who.where("entity_id is not null").select(F.col("name").alias("artist"), F.col("entity_id").alias("artist_id"))
+    r = rows.join(named, "artist").join(slugs, "artist_id", "left")
+    r = r.withColumn("artist_slug", F.coalesce("artist_slug", text.slug(text.collapse(F.col("artist"))))).withColumn("spotify_track_id", F.lit(None).cast("string"))
+    r = staged(r, "named")
+    titles = resolve.resolve_songs(
+        r.select("seq", "artist_id", "artist_slug", "title", "spotify_track_id"), songs.withColumn("artist_id", F.col("artist_id").cast("string")),
+        known.get("song_aliases"), provisional=provisional, external=known.get("song_external_ids"),
+    )
+    titles = staged(titles, "titles")
+    found = titles.where("entity_id is not null").select("seq", F.col("entity_id").alias("song_id"))
+    return {"mentions": who, "titles": titles, "credited": staged(r.join(found, "seq"), "credited")}
+
+
+def credited_features(credited: DataFrame, who: DataFrame, features: DataFrame) -> DataFrame:
+    """New rows of (song_id, featured_artist_id): featured artists other than the lead, each once."""
+    named = who.where("entity_id is not null").select("name", F.col("entity_id").alias("featured_artist_id"))
+    credit = credited.select("song_id", "artist_id", F.explode("featured").alias("name")).join(named, "name")
+    fresh = credit.where("featured_artist_id <> artist_id").select("song_id", "featured_artist_id").distinct()
     had = features.select(F.col("song_id").cast("string").alias("song_id"), F.col("featured_artist_id").cast("string").alias("featured_artist_id"))
-    fresh = credit.groupBy("song_id", "featured_artist_id").agg(F.min("at").alias("at")).join(had, ["song_id", "featured_artist_id"], "left_anti").drop("at")
-    chart = ["chart_name", "chart_territory", "chart_week"]
-    offered = r.select(*chart, "song_id", F.col("rank").cast("int").alias("position"), "seq", "artist_id")
-    there = entries.select(*chart, F.col("song_id").cast("string").alias("song_id"), "position")
-    free = offered.join(there.select(*chart, "song_id"), [*chart, "song_id"], "left_anti").join(there.select(*chart, "position"), [*chart, "position"], "left_anti")
-    taken = rel.greedy_insert(free.select(*chart, "song_id", "position", "seq", "artist_id"))
+    return fresh.join(had, ["song_id", "featured_artist_id"], "left_anti")
+
+
+def accepted(credited: DataFrame, entries: DataFrame) -> DataFrame:
+    """Chart entries of credited rows, in the order of ``seq`` where neither their song nor their position is taken in their
+    chart and week, by the batch or by ``entries``."""
+    extra = [c for c in CARRIED if c in credited.columns]
+    offered = credited.select(*CHART, "song_id", F.col("rank").cast("int").alias("position"), "seq", "artist_id", *extra)
+    there = entries.select(*CHART, F.col("song_id").cast("string").alias("song_id"), "position")
+    free = offered.join(there.select(*CHART, "song_id"), [*CHART, "song_id"], "left_anti").join(there.select(*CHART, "position"), [*CHART, "position"], "left_anti")
+    return rel.greedy_insert(free.select(*CHART, "song_id", "position", "seq", "artist_id", *extra))
+
+
+def trended(taken: DataFrame, entries: DataFrame) -> DataFrame:
+    """``taken`` with ``prev_rank, delta, trend`` against the week before among all entries: a backfilled week also counts for
+    its successor in the batch."""
+    there = entries.select(*CHART, F.col("song_id").cast("string").alias("song_id"), "position")
     touched = there.join(taken.select("chart_name", "song_id").distinct(), ["chart_name", "song_id"], "left_semi")
-    columns = [*chart, "song_id", "position", "seq", "artist_id"]
-    every = taken.select(*columns, F.lit(True).alias("new")).unionByName(touched.withColumns({"seq": F.lit(None).cast(taken.schema["seq"].dataType), "artist_id": F.lit(None).cast("string"), "new": F.lit(False)}))
+    kept = [c for c in taken.columns if c not in there.columns]
+    every = taken.withColumn("new", F.lit(True)).unionByName(touched.withColumn("new", F.lit(False)), allowMissingColumns=True)
     every = every.withColumn("prev", rel.previous_position()).where("new")
-    added = every.select(
-        *columns, F.col("prev").cast("short").alias("prev_rank"), F.abs(F.col("position") - F.col("prev")).cast("short").alias("delta"),
+    return every.select(
+        *CHART, "song_id", "position", *kept, F.col("prev").cast("short").alias("prev_rank"), F.abs(F.col("position") - F.col("prev")).cast("short").alias("delta"),
         rel.trend(F.col("prev"), F.col("position")).alias("trend"),
     )
-    return {"mentions": who, "songs": titled, "features": fresh, "entries": added}
+
+
+def persisted(rows: DataFrame, artists: DataFrame, songs: DataFrame, entries: DataFrame, features: DataFrame, provisional: bool = False) -> dict[str, DataFrame]:
+    """What a batch of canonical chart rows adds: ``mentions`` (artists resolved or created), ``songs``, ``features`` and
+    ``entries`` with ``prev_rank, delta, trend``.
+
+    ``rows``: seq, chart_name, chart_territory, chart_week, rank, artist, title, featured. Each step is written once and read
+    by the next: the rows, who and what they name, the credited rows, the accepted entries. Featured artists that are new
+    are provisional, whatever the source is.
+    """
+    rows, entries = staged(rows, "rows"), staged(entries.select(*CHART, "song_id", "position"), "entries")
+    found = resolved(rows, artists, songs, provisional)
+    taken = staged(accepted(found["credited"], entries), "taken")
+    songs_found = found["titles"].where("entity_id is not null").select("seq", F.col("entity_id").alias("song_id"), F.col("matched_by").alias("song_matched_by"))
+    return {"mentions": found["mentions"], "songs": songs_found, "features": credited_features(found["credited"], found["mentions"], features), "entries": trended(taken, entries)}

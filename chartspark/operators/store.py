@@ -16,17 +16,20 @@ from pyspark.sql import functions as F
 
 from chartspark.functions import text
 from chartspark.operators.relational import latest_by
+from chartspark.plans.staging import staged
 
 
 @dataclass(frozen=True)
 class Rule:
     """On a conflict of ``keys``, ``update`` takes the batch's values, ``fill`` takes them where they are not null, all
-    other columns stay. ``insert`` has the values of new rows where the batch has none."""
+    other columns stay. ``insert`` has the values of new rows where the batch has none. ``touch``: a conflict renews
+    ``updated_at``."""
 
     keys: tuple[str, ...]
     update: tuple[str, ...]
     fill: tuple[str, ...] = ()
     insert: Mapping[str, object] = field(default_factory=dict)
+    touch: bool = False
 
 
 _ALBUM = ("artist_id", "title", "slug", "album_type", "release_date", "image_url", "total_tracks")
@@ -39,16 +42,17 @@ _STREAMS = ("total_streams", "total_streams_as_lead", "total_streams_solo", "tot
 _DAILY = ("daily_streams", "daily_streams_as_lead", "daily_streams_as_feature")
 
 RULES: dict[str, Rule] = {
-    "artists_discovered": Rule(("spotify_id",), ("name", "normalized_name"), insert=_KNOWN | {"source_of_truth": "kworb"}),
+    "artists_discovered": Rule(("spotify_id",), ("name", "normalized_name"), insert=_KNOWN | {"source_of_truth": "kworb"}, touch=True),
     "artists": Rule(
         ("spotify_id",),
         ("name", "normalized_name", "canonical_name", "image_url", "popularity", "is_afrobeats", "source_of_truth"),
         insert=_KNOWN | {"source_of_truth": "spotify"},
+        touch=True,
     ),
-    "artists_by_slug": Rule(("slug",), ("name", "normalized_name"), fill=("spotify_id",), insert=_KNOWN | {"is_afrobeats": False}),
+    "artists_by_slug": Rule(("slug",), ("name", "normalized_name"), fill=("spotify_id",), insert=_KNOWN | {"is_afrobeats": False}, touch=True),
     "artist_genres": Rule(("artist_id", "genre"), ("is_primary",), insert={"is_primary": False}),
     "listener_snapshots": Rule(
-        ("artist_id", "snapshot_date"), ("monthly_listeners", "daily_change", "peak_rank", "peak_listeners"), insert={"source": "kworb"}
+        ("artist_id", "snapshot_date"), ("monthly_listeners", "daily_change", "peak_rank", "peak_listeners"), insert={"source": "kworb"}, touch=True
     ),
     "albums": Rule(("spotify_album_id",), (*_ALBUM, "is_afrobeats"), insert={"is_afrobeats": False}),
     "albums_scraped": Rule(("spotify_album_id",), _ALBUM, insert={"is_afrobeats": False}),
@@ -62,8 +66,9 @@ RULES: dict[str, Rule] = {
 }
 
 
-def merge(target: DataFrame, batch: DataFrame, rule: Rule, seq: str | None = None) -> DataFrame:
+def merge(target: DataFrame, batch: DataFrame, rule: Rule, seq: str | None = None, now: Column | None = None) -> DataFrame:
     """``target`` after the batch. The last row of a key (by ``seq``) counts; without ``seq`` keys must be unique.
+    ``now`` (the present time, where not given) is the ``updated_at`` of new rows and of those that a conflict touches.
 
     Columns of the rule that the target lacks are left out, target columns that the batch lacks are null in it.
     """
@@ -81,9 +86,13 @@ def merge(target: DataFrame, batch: DataFrame, rule: Rule, seq: str | None = Non
     both = t.join(s, [F.col(f"_t_{k}") == F.col("s")[k] for k in rule.keys], "full")
     met = F.col("t").isNotNull() & F.col("s").isNotNull()
 
+    stamp = (F.current_timestamp() if now is None else now).cast(kinds.get("updated_at", "timestamp"))
+
     def value(c: str) -> Column:
         old, new = F.col("t")[c], F.col("s")[c]
-        if c in rule.fill:
+        if c == "updated_at":
+            new, changed = F.coalesce(new, stamp), stamp if rule.touch else old
+        elif c in rule.fill:
             changed = F.coalesce(new, old)
         else:
             changed = new if c in rule.update else old
@@ -178,6 +187,12 @@ def find_all(table: DataFrame, **equal: object) -> DataFrame:
     return table
 
 
+def titled(songs: DataFrame, artist: object, titles: DataFrame) -> DataFrame:
+    """The song of an artist whose stored normal form is that of a title (``titles``: title), of several that with the least id."""
+    asked = titles.select(text.title_form(F.col("title")).alias("_asked")).distinct()
+    return find_all(songs, artist_id=artist).join(asked, F.col("normalized_title") == F.col("_asked"), "left_semi").orderBy("id").limit(1)
+
+
 def find_in(table: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     """Rows whose ``column`` is in the first column of ``wanted``, a table of any size; nulls are never in it."""
     keys = wanted.select(F.col(wanted.columns[0]).alias("_wanted")).distinct()
@@ -207,9 +222,15 @@ def certified(certifications: DataFrame, artist: object, area: str) -> DataFrame
 
 
 def chunks(page: DataFrame, order: str, size: int) -> DataFrame:
-    """The rows of a page (a bounded number, as ``next_page`` gives) and ``chunk``: groups of ``size`` in order, from 0."""
-    at = F.row_number().over(Window.orderBy(order)) - 1
-    return page.withColumn("chunk", F.floor(at / size).cast("long"))
+    """The rows and ``chunk``: groups of ``size`` in order, from 0. Rows are dealt out by ranges of ``order`` and counted in each,
+    so no task numbers them all."""
+    place = F.monotonically_increasing_id()  # the range in the upper 31 bits, the place in it in the lower 33
+    dealt = page.repartitionByRange(order).sortWithinPartitions(order)
+    dealt = staged(dealt.select(F.struct(*page.columns).alias("row"), F.shiftright(place, 33).alias("part"), place.bitwiseAND((1 << 33) - 1).alias("place")), "chunks")
+    sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    at = F.col("before") + F.col("place")
+    return dealt.join(F.broadcast(before), "part").select("row.*", F.floor(at / size).cast("long").alias("chunk"))
 
 
 def window(rows: DataFrame, order: str, offset: int, size: int) -> DataFrame:
@@ -228,8 +249,8 @@ def next_page(rows: DataFrame, key: str, cursor: object, size: int) -> DataFrame
 
 
 def progress(done: Column, total: Column) -> Column:
-    """Whole percent, half up; 0 of nothing is 0."""
-    return F.when(total > 0, F.floor(100 * done / total + 0.5)).otherwise(0).cast("int")
+    """Whole percent, half up; nothing to do is done."""
+    return F.when(total > 0, F.floor(100 * done / total + 0.5)).otherwise(100).cast("int")
 
 
 def counters(outcomes: DataFrame) -> DataFrame:

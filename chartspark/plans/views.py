@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartspark.operators.relational import latest_by, lookback, trend
+from chartspark.operators.relational import latest_by, lookback
 from chartspark.plans.fixtures import Tables
 
 SNAPSHOT_ORDER = "snapshot_date"
@@ -62,25 +62,14 @@ def song_chart_summary(t: Tables) -> DataFrame:
 
 
 def chart_latest_leaderboard(t: Tables) -> DataFrame:
-    """The previous position and the latest row share one shuffle of narrow rows; dimensions join what is left."""
-    e = t["chart_entries"].select(
-        F.col("id").alias("entry_id"), "song_id", "artist_id", "chart_name", territory().alias("chart_territory"),
-        F.col("chart_territory").isNull().alias("worldwide"), "position", "peak_position", "weeks_on_chart", "chart_week",
+    """The latest entry of each song in each chart, with its trend as stored when it was persisted (null where none was)."""
+    e = t["chart_entries"].where("song_id is not null and artist_id is not null").select(
+        F.col("id").alias("entry_id"), "song_id", "artist_id", "chart_name", territory().alias("chart_territory"), "position", "peak_position", "weeks_on_chart", "chart_week",
     )
-    keys = ["chart_name", "chart_territory", "song_id"]
-    whole = F.col("song_id").isNotNull() & F.col("artist_id").isNotNull()
-    newest = Window.partitionBy(*keys, whole).orderBy(F.col("chart_week").desc(), "entry_id")
-    before = Window.partitionBy(*keys, "worldwide").orderBy("chart_week")
-    e = e.repartition(*keys).withColumn("rn", F.row_number().over(newest))
-    e = e.withColumn("prev", F.when(~F.col("worldwide"), F.lag("position").over(before)))
-    e = e.where(whole & (F.col("rn") == 1))
-    e = e.withColumns({
-        "prev_rank": F.col("prev").cast("short"),
-        "delta": F.abs(F.col("position") - F.col("prev")).cast("short"),
-        "trend": trend(F.col("prev"), F.col("position")),
-    })
+    e = latest_by(e, ["chart_name", "chart_territory", "song_id"], [F.col("chart_week").desc(), F.col("entry_id")])
+    e = e.join(t["chart_entry_snapshots"].select("entry_id", "prev_rank", "delta", "trend"), "entry_id", "left")
     songs = _songs(t).drop("song_artist_id", "song_is_afrobeats", "release_date")
-    return e.drop("rn", "prev", "worldwide").join(songs, "song_id").join(_artists(t).drop("origin_country"), "artist_id")
+    return e.join(songs, "song_id").join(_artists(t).drop("origin_country"), "artist_id")
 
 
 def artist_stream_summary(t: Tables) -> DataFrame:

@@ -14,6 +14,8 @@ from chartspark.functions import parse, text
 from chartspark.job_queries import QUERIES as JOB_QUERIES
 from chartspark.job_queries import SQL as JOB_SQL
 from chartspark.operators import relational as rel
+from chartspark.persist_queries import QUERIES as PERSIST_QUERIES
+from chartspark.persist_queries import SQL as PERSIST_SQL
 from chartspark.plans import views
 from chartspark.plans.fixtures import Tables, with_fixtures
 from chartspark.store_queries import QUERIES as STORE_QUERIES
@@ -171,7 +173,7 @@ QUERIES: dict[str, Query] = {
     "insert_ignore": _ignore,
     "page_links": _links,
     **STORE_QUERIES,
-    **CHART_QUERIES,
+    **CHART_QUERIES, **PERSIST_QUERIES,
     **JOB_QUERIES,
 }
 
@@ -219,7 +221,8 @@ def _topped(view: str, columns: str, order: str, where: str = "true", k: int = 2
 
 
 _OTHER_SQL: dict[str, str] = {
-    "chart_trend": "SELECT * FROM chart_entry_snapshots",
+    "chart_trend": """WITH p AS (SELECT id AS entry_id, position, CASE WHEN chart_territory IS NOT NULL THEN lag(position) OVER (PARTITION BY song_id, chart_name, chart_territory ORDER BY chart_week) END AS prev FROM chart_entries)
+SELECT entry_id, CAST(prev AS SMALLINT) AS prev_rank, CAST(abs(position - prev) AS SMALLINT) AS delta, CASE WHEN prev IS NULL THEN 'NEW' WHEN position < prev THEN 'UP' WHEN position > prev THEN 'DOWN' ELSE 'SAME' END AS trend FROM p""",
     **{name: _topped(view, columns, order, where, k) for name, (view, order, columns, where, k) in LEADERBOARDS.items()},
     "top_artists_by_country": f"SELECT origin_country, CAST(r AS INTEGER) AS rank, artist_id, total_streams FROM (SELECT *, row_number() OVER (PARTITION BY origin_country ORDER BY total_streams DESC NULLS LAST, artist_id) AS r FROM ({_VIEW_SQL['artist_country_summary']})) WHERE r <= 3",
     "artist_career_card": f"""SELECT a.id AS artist_id, a.name, s.total_streams, c.chart_weeks, c.best_peak, c.weeks_at_number_1, k.certifications, l.monthly_listeners FROM artists a
@@ -243,4 +246,4 @@ _OTHER_SQL: dict[str, str] = {
     "insert_ignore": _BATCH.format(dir="ASC", first="o", then="n"),
     "page_links": "SELECT page_id, href, count(*) AS n, CAST(min(pos) AS INTEGER) AS first_at FROM (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS h FROM pages)) GROUP BY page_id, href",
 }
-SQL: dict[str, str] = {k: with_fixtures(v) for k, v in (_VIEW_SQL | _OTHER_SQL).items()} | STORE_SQL | CHART_SQL | JOB_SQL
+SQL: dict[str, str] = {k: with_fixtures(v) for k, v in (_VIEW_SQL | _OTHER_SQL).items()} | STORE_SQL | CHART_SQL | PERSIST_SQL | JOB_SQL

@@ -19,6 +19,10 @@ def test_names_and_titles(spark):
     assert tuple(one(spark, "NoDash", text.split_artist_title)) == ("", "NoDash")
     assert tuple(one(spark, "Ameno (feat. Nektunez & Goya) - Remix", text.extract_features)) == ("Ameno - Remix", ["Nektunez", "Goya"])
     assert one(spark, "Drake Featuring Rihanna & Jay-Z", text.split_credit) == ["Drake", "Rihanna", "Jay-Z"]
+    uk = lambda c: text.split_credit(c, True)
+    assert one(spark, "feat. BURNA BOY/ed SHEERAN FT. o'neal", uk) == ["Burna Boy", "ed Sheeran", "O'neal"]
+    assert one(spark, "& REMA x, AYRA STARR", uk) == ["Rema X", "Ayra Starr"]
+    assert one(spark, "  ", uk) == [""]
     assert one(spark, ["A", "b", "a", "B"], text.dedupe_order, "array<string>") == ["A", "b"]
     assert one(spark, "God's Plan!", lambda c: text.album_slug(c, F.lit("ABCDEFGHIJ"))) == "gods-plan-ABCDEFGH"
 
