@@ -57,10 +57,18 @@ def song_chart_summary(t: Tables) -> DataFrame:
         F.min("chart_week").alias("first_charted"),
         F.max("chart_week").alias("last_charted"),
     )
-    joined = g.join(_songs(t), "song_id").join(_artists(t, flag="artist_is_afrobeats"), "artist_id")
+    return song_chart_dimensions(g, t)
+
+
+def song_chart_dimensions(groups: DataFrame, t: Tables) -> DataFrame:
+    joined = groups.join(_songs(t), "song_id").join(_artists(t, flag="artist_is_afrobeats"), "artist_id")
     return joined.drop("song_artist_id", "song_image_url")
 
 
+def artist_dimensions(groups: DataFrame, t: Tables) -> DataFrame:
+    return groups.join(_artists(t), "artist_id")
+
+
 def chart_latest_leaderboard(t: Tables) -> DataFrame:
     """The latest entry of each song in each chart, with its trend as stored when it was persisted (null where none was)."""
     e = t["chart_entries"].where("song_id is not null and artist_id is not null").select(
@@ -138,8 +146,12 @@ def _momentum(df: DataFrame, daily: str, week: str) -> DataFrame:
     return df.withColumn("momentum_score", F.expr(score))
 
 
+def artist_trending_of(growth: DataFrame) -> DataFrame:
+    return _momentum(growth, "0.6", "0.4")
+
+
 def artist_trending_summary(t: Tables) -> DataFrame:
-    return _momentum(artist_growth_summary(t), "0.6", "0.4")
+    return artist_trending_of(artist_growth_summary(t))
 
 
 def song_growth_summary(t: Tables) -> DataFrame:
@@ -148,12 +160,20 @@ def song_growth_summary(t: Tables) -> DataFrame:
     return s.join(songs, "song_id").join(_artists(t).select("artist_id", "artist_name", "artist_slug"), "artist_id")
 
 
+def song_trending_of(growth: DataFrame) -> DataFrame:
+    return _momentum(growth, "0.7", "0.3")
+
+
 def song_trending_summary(t: Tables) -> DataFrame:
-    return _momentum(song_growth_summary(t), "0.7", "0.3")
+    return song_trending_of(song_growth_summary(t))
 
 
 def artist_country_summary(t: Tables) -> DataFrame:
-    s = artist_stream_summary(t).withColumnRenamed("artist_image_url", "image_url")
+    return artist_country_of(artist_stream_summary(t))
+
+
+def artist_country_of(streams: DataFrame) -> DataFrame:
+    s = streams.withColumnRenamed("artist_image_url", "image_url")
     return s.select("origin_country", "artist_id", "artist_name", "artist_slug", "image_url", "is_afrobeats", "total_streams", "daily_streams")
 
 
@@ -188,14 +208,3 @@ VIEWS = {
     )
 }
 
-
-def refresh(t: Tables, folder: str, names: list[str] | None = None) -> dict[str, str]:
-    """Write read models as Parquet under ``folder``; a view that fails leaves the others (its message is returned)."""
-    out = {}
-    for name in names or VIEWS:
-        try:
-            VIEWS[name](t).write.mode("overwrite").parquet(f"{folder}/{name}")
-            out[name] = "ok"
-        except Exception as e:  # noqa: BLE001
-            out[name] = str(e)[:200]
-    return out

@@ -6,16 +6,3 @@ from chartspark import queries
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_its_sql(name, same, model):
     same(queries.QUERIES[name], queries.SQL[name], model)
-
-
-def test_views_refresh_one_by_one(spark, model, tmp_path):
-    from chartspark.plans import views
-    from chartspark.plans.fixtures import Tables
-
-    names = ["song_stream_summary", "artist_country_summary"]
-    assert views.refresh(Tables(spark, model), str(tmp_path), names) == dict.fromkeys(names, "ok")
-    assert spark.read.parquet(f"{tmp_path}/artist_country_summary").count() == views.artist_country_summary(Tables(spark, model)).count()
-    broken = Tables(spark, model)
-    broken.made["songs"] = spark.range(1)
-    out = views.refresh(broken, str(tmp_path), names)
-    assert out["song_stream_summary"] != "ok" and out["artist_country_summary"] == "ok"
