@@ -71,9 +71,39 @@ def album_slug(title: Column, album_id: Column) -> Column:
     return F.concat_ws("-", c, F.substring(album_id, 1, 8))
 
 
+#: What slugs write for signs, and for letters that are no accented ASCII letter. Two or more letters each:
+LONG_FORMS = {
+    "&": "and", "%": "percent", "$": "dollar", "<": "less", ">": "greater", "|": "or", "¢": "cent", "£": "pound", "¤": "currency", "¥": "yen", "€": "euro", "©": "c", "®": "r", "™": "tm",
+    "∑": "sum", "∆": "delta", "∞": "infinity", "♥": "love", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ψ": "ps",
+    "ё": "yo", "ж": "zh", "ч": "ch", "ш": "sh", "щ": "sh", "ю": "yu", "я": "ya", "є": "ye", "ї": "yi",
+}
+#: One letter each, in two rows: Latin, Greek, Cyrillic.
+SHORT_FORMS = (
+    "ðđøłı" "αβγδεζηθικλμνξοπρσςτυφχω" "абвгдезийклмнопрстуфхцыэіґ",
+    "ddoli" "abgdezh8iklmn3oprsstyfxw" "abvgdezijklmnoprstufhcyeig",
+)
+
+
+def _accented() -> tuple[str, str]:
+    """Small letters of the Latin and Greek blocks whose decomposition begins with another letter, and that letter."""
+    pairs = []
+    for block in ((0xC0, 0x250), (0x386, 0x3D0), (0x1E00, 0x2000)):
+        for c in map(chr, range(*block)):
+            base = unicodedata.normalize("NFD", c)[0]
+            if base != c and c == c.lower():
+                pairs.append((c, base))
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
 def slug(c: Column) -> Column:
-    c = F.regexp_replace(nfd_strip(F.lower(F.trim(c))), r"[^a-z0-9\s-]", "")
-    return F.regexp_replace(F.trim(c), r"[\s-]+", "-")
+    """Lower case in ASCII, words joined by "-": signs and foreign letters as they are commonly written ("&" is "and"), all else
+    left out. JVM functions only: one translation for accents and single letters, one replacement for each longer form."""
+    c = F.lower(F.trim(c))
+    accented, plain = _accented()
+    c = F.translate(F.translate(c, accented, plain), *SHORT_FORMS)
+    for sign, form in LONG_FORMS.items():
+        c = F.replace(c, F.lit(sign), F.lit(form))
+    return F.regexp_replace(F.trim(F.regexp_replace(c, r"[^a-z0-9\s-]", "")), r"[\s-]+", "-")
 
 
 def split_artist_title(c: Column) -> Column:

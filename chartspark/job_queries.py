@@ -133,7 +133,7 @@ u AS (SELECT * FROM p WHERE place = 1), artist_rows AS ({ROWS['artist_rows']}) "
 _LAST = "monthly_listeners, daily_change, peak_rank, peak_listeners"
 _B = "trim(regexp_replace(regexp_replace(replace(lower({c}), '&', 'and'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
 _A = "trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
-_SLUG = "regexp_replace(trim(regexp_replace(lower(trim(regexp_replace({c}, ' +', ' ', 'g'))), '[^a-z0-9 -]', '', 'g')), '[ -]+', '-', 'g')"
+_SLUG = "regexp_replace(trim(regexp_replace(replace(lower(trim(regexp_replace({c}, ' +', ' ', 'g'))), '&', 'and'), '[^a-z0-9 -]', '', 'g')), '[ -]+', '-', 'g')"
 #: The route of each profile: by spotify id, else by normal form B of the name, else by slug.
 _ROUTED = _FOUND + f""", seed_artists AS ({SEED_ARTISTS}),
 k AS (SELECT u.*, CAST(substr(u.spotify_id, 3) AS BIGINT) AS at_, {_SLUG.format(c='u.name')} AS slug, {_B.format(c='u.name')} AS nb FROM u),

@@ -164,6 +164,7 @@ QUERIES: dict[str, Query] = {
     "normalize_name_a": _words("text", "documents", text.name_a, "name"),
     "normalize_name_b": _words("text", "documents", text.name_b, "name"),
     "normalize_title": _words("text", "documents", text.title_form, "title"),
+    "slugs": lambda spark, d: spark.read.parquet(f"{d}/part.parquet").select("p_partkey", text.slug(F.concat("p_name", F.lit(" & "), "p_type", F.lit(" Straße Жар Étoile "), "p_brand", F.lit("%"))).alias("slug")),
     "album_slug": lambda spark, d: Tables(spark, d)["part"].select("p_partkey", text.album_slug(F.concat("p_name", F.lit("'s & "), "p_type"), F.sha2(F.col("p_partkey").cast("string"), 256)).alias("slug")),
     "parse_values": _units,
     "friday_align": _fridays,
@@ -237,6 +238,7 @@ SELECT entry_id, CAST(prev AS SMALLINT) AS prev_rank, CAST(abs(position - prev)
     "normalize_name_a": r"""SELECT text AS raw, trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(text), '&', ' and '), '\bfeat\b\.?', 'featuring', 'g'), '[^\p{L}\p{N} \t\n\r]', '', 'g'), '\s+', ' ', 'g')) AS name FROM documents""",
     "normalize_name_b": r"""SELECT text AS raw, trim(regexp_replace(regexp_replace(regexp_replace(replace(strip_accents(lower(text)), '&', 'and'), '[''"`’‘]', '', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM documents""",
     "normalize_title": r"""SELECT text AS raw, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\(feat[^)]*\)|\(ft[^)]*\)|\[feat[^\]]*\]', '', 'g'), '[^\p{L}\p{N} \t\n\r]', '', 'g'), '\s+', ' ', 'g')) AS title FROM documents""",
+    "slugs": """SELECT p_partkey, regexp_replace(lower(p_name), ' +', '-', 'g') || '-and-' || regexp_replace(replace(lower(p_type), '%', 'percent'), '[ -]+', '-', 'g') || '-strasse-zhar-etoile-' || regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') || 'percent' AS slug FROM part""",
     "album_slug": "SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(lower(trim(concat(p_name, '''s & ', p_type))), '''', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '-' || left(sha256(CAST(p_partkey AS VARCHAR)), 8) AS slug FROM part",
     "parse_values": "SELECT p_partkey, CAST(p_size AS BIGINT) AS units, -CAST(round_even(p_retailprice, 0) AS BIGINT) AS signed, CAST(coalesce(nullif(regexp_replace(p_brand, '[^0-9]', '', 'g'), ''), '0') AS BIGINT) AS plain, CASE WHEN lower(p_type) LIKE '%diamond%' THEN 'diamond' WHEN lower(p_type) LIKE '%platinum%' THEN 'platinum' WHEN lower(p_type) LIKE '%gold%' THEN 'gold' WHEN lower(p_type) LIKE '%silver%' THEN 'silver' ELSE lower(p_type) END AS level FROM part",
     "friday_align": "SELECT o_orderkey, CAST(o_orderdate AS DATE) - CAST((dayofweek(o_orderdate) + 2) % 7 AS INTEGER) AS friday, CAST(o_orderdate AS DATE) AS day FROM orders",

@@ -22,7 +22,6 @@ LISTENERS = "url string, seq int, spotify_id string, name string, listeners stri
 TOTALS = "url string, artist_name string, last_updated string, streams array<string>, daily array<string>, tracks string"
 SONGS = "url string, seq int, raw_title string, track_id string, streams string, daily string"
 AWARDS = "url string, seq int, riaa_id string, share string, artist string, title string, certified_at string, label string, format string"
-WEEKLY = "url string, seq int, position int, song string, artist string, peak_position int, weeks_on_chart int"
 
 
 def read_pages(pages: DataFrame, reader: Callable[[Node], list[tuple]], schema: str) -> DataFrame:
@@ -75,12 +74,6 @@ def _daily_chart(page: Node) -> list[tuple]:
     return out
 
 
-def tidy(c: Column) -> Column:
-    """Without format characters and no-break spaces; brackets of any kind as ( and ); white space collapsed."""
-    c = F.regexp_replace(c, "[\\p{Cf}\\x{FEFF}\\x{A0}]", "")
-    return text.collapse(F.regexp_replace(F.regexp_replace(c, "[［【〔｛『«]", "("), "[］】〕｝』»]", ")"))
-
-
 def daily_chart(pages: DataFrame, limit: int | None = None, max_rank: int | None = None) -> DataFrame:
     """``url, label, page_date, rank, artist, title, featured``: the first ``limit`` accepted rows of each page's chart table.
 
@@ -89,9 +82,9 @@ def daily_chart(pages: DataFrame, limit: int | None = None, max_rank: int | None
     rows = read_pages(pages, _daily_chart, CHART)
     if max_rank is not None:
         rows = rows.where(F.col("rank") <= max_rank)
-    parts = rows.withColumn("p", text.split_artist_title(tidy(F.col("credit"))))
+    parts = rows.withColumn("p", text.split_artist_title(text.normalize_all(F.col("credit"))))
     whole = (F.col("p.artist") != "") & (F.col("p.title") != "")
-    parts = parts.withColumn("artist", F.when(whole, F.col("p.artist")).otherwise(tidy(F.col("link_artist")))).withColumn("raw", F.when(whole, F.col("p.title")).otherwise(tidy(F.col("link_title"))))
+    parts = parts.withColumn("artist", F.when(whole, F.col("p.artist")).otherwise(text.normalize_all(F.col("link_artist")))).withColumn("raw", F.when(whole, F.col("p.title")).otherwise(text.normalize_all(F.col("link_title"))))
     found = parts.where("artist <> '' and raw <> ''")
     if limit is not None:
         found = found.withColumn("n", F.row_number().over(Window.partitionBy("url").orderBy("seq"))).where(F.col("n") <= limit)
@@ -194,47 +187,58 @@ def _has(*classes: str, tags: tuple[str, ...] = ()) -> Callable[[Node], bool]:
     return lambda n: n.tag in tags or not n.classes.isdisjoint(classes)
 
 
-#: What marks a row of a weekly chart, tried in this order.
-ROW_MARKS = (lambda n: "data-chart-position" in n.attrs, _has("chart-item"), _has("chart-list-item"), lambda n: n.tag == "article", lambda n: n.tag == "li")
+#: What may mark a row of a weekly chart, the surest first, and what stands for its parts.
+ROW_MARKS = (lambda n: "data-chart-position" in n.attrs, _has("chart-item"), _has("chart-list-item"), _has(tags=("article",)), _has(tags=("li",)))
+PLACE, PEAK, WEEKS = _has("position", "chart-key", "chart-position"), _has("peak", "chart-peak"), _has("weeks", "chart-weeks")
 TITLE = _has("title", "chart-name", "track-title", tags=("h3", "h4"))
 ARTIST = _has("artist", "chart-artist", "artist-name", tags=("p",))
+CANDIDATES = "url string, seq int, mark int, places array<string>, title string, artists array<string>, peak string, weeks string"
+#: What a weekly chart puts before a title or credit that is new or back.
+FRESH = r"(?i)^(?:New|RE)(?=\s*[A-Z0-9])"
+
+
+def _candidates(page: Node) -> list[tuple]:
+    """Every element that may be a row, once for each mark it bears, with the texts of its parts as they stand."""
+    out = []
+    for seq, el in enumerate(page.walk()):
+        marks = [m for m, bears in enumerate(ROW_MARKS) if bears(el)]
+        if not marks:
+            continue
+        below = list(el.walk())
+        texts = lambda of: [n.text() for n in below if of(n)]  # noqa: B023, E731
+        first = lambda of: next(iter(texts(of)), "")  # noqa: B023, E731
+        attributes = [n.attrs.get("data-chart-position", "") for n in (el, *below)]
+        places = [attributes[0], next((x for x in attributes[1:] if x), ""), first(PLACE)]
+        parts = (places, first(TITLE), texts(ARTIST), first(PEAK), first(WEEKS))
+        out += [(seq, m, *parts) for m in marks]
+    return out
+
+
+def _number(c: Column) -> Column:
+    """The first number of a text, commas left out; null without one or beyond 32 bits."""
+    return F.try_to_number(F.nullif(F.regexp_extract(F.replace(c, F.lit(","), F.lit("")), "([0-9]{1,18})", 1), F.lit("")), F.lit("9" * 18)).cast("long")
 
 
-def _number(s: str) -> int | None:
-    """The first number; None without one or beyond 32 bits."""
-    m = re.search(r"[0-9]+", s.replace(",", ""))
-    return int(m[0]) if m and int(m[0]) < 2**31 else None
-
-
-def _weekly(page: Node) -> list[tuple]:
-    out: dict[int, tuple] = {}
-    squeeze = lambda s: re.sub(r"\s+", " ", s).strip()
-    unmarked = lambda s: re.sub(r"(?i)^(New|RE)(?=\s*[A-Z0-9])", "", s).strip()
-    for mark in ROW_MARKS:
-        for el in page.find(mark):
-            inner = next((x.attrs["data-chart-position"] for x in el.find(ROW_MARKS[0])), "")
-            shown = el.attrs.get("data-chart-position") or inner or first_text(el.find(_has("position", "chart-key", "chart-position")))
-            place = _number(shown)
-            if not place or place > 100 or place in out:
-                continue
-            title = squeeze(first_text(el.find(TITLE)))
-            artist = squeeze(first_text([x for x in el.find(ARTIST) if 0 < len(x.text().strip()) < 200]))
-            if not title or not artist:
-                continue
-            title = re.sub(r"(^\w|\s\w)", lambda m: m[0].upper(), unmarked(title).lower(), flags=re.ASCII)
-            artist = unmarked(artist)
-            if artist.upper().startswith(title.upper()):
-                artist = artist[len(title) :].strip()
-            if title and artist:
-                out[place] = (title, artist, _number(first_text(el.find(_has("peak", "chart-peak")))), _number(first_text(el.find(_has("weeks", "chart-weeks")))))
-        if len(out) >= 100:
-            break
-    return [(seq, place, *out[place]) for seq, place in enumerate(sorted(out))]
+def _small(c: Column) -> Column:
+    n = _number(c)
+    return F.when(n < 2**31, n.cast("int"))
 
 
 def weekly_chart(pages: DataFrame) -> DataFrame:
-    """Positions 1 to 100 of a weekly chart page, the first complete row of each position."""
-    return read_pages(pages, _weekly, WEEKLY)
+    """Positions 1 to 100 of a weekly chart page: of the candidates for a position that are complete, that with the surest mark,
+    the first on the page."""
+    rows = read_pages(pages, _candidates, CANDIDATES)
+    shown = F.get(F.filter("places", lambda x: F.trim(x) != ""), F.lit(0))
+    credit = F.get(F.filter("artists", lambda x: F.length(F.trim(x)).between(1, 199)), F.lit(0))
+    bare = lambda c: F.trim(F.regexp_replace(text.collapse(c), FRESH, ""))
+    rows = rows.select("url", "seq", "mark", _small(shown).alias("position"), text.title_case(bare(F.col("title"))).alias("song"), bare(credit).alias("artist"), _small(F.col("peak")).alias("peak_position"), _small(F.col("weeks")).alias("weeks_on_chart"))
+    # Some pages repeat the title before the credit.
+    repeated = F.upper(F.col("artist")).startswith(F.upper(F.col("song")))
+    rows = rows.withColumn("artist", F.when(repeated, F.trim(F.substr("artist", F.length("song") + 1))).otherwise(F.col("artist")))
+    whole = rows.where("position between 1 and 100 and song <> '' and artist <> ''")
+    best = Window.partitionBy("url", "position").orderBy("mark", "seq")
+    found = whole.withColumn("n", F.row_number().over(best)).where("n = 1")
+    return found.select("url", (F.col("position") - 1).alias("seq"), "position", "song", "artist", "peak_position", "weeks_on_chart")
 
 
 def discover_all(chart_pages: DataFrame, listener_pages: DataFrame) -> DataFrame:

@@ -69,3 +69,14 @@ def test_fused_charts_follow_language_order(spark):
     out = charts.combined(df, ["country"], {"spotify": 1, "apple": 2}, max_rank=10).orderBy("rank").collect()
     assert [(r.rank, r.artist, r.title, r.score, r.apple_rank) for r in out] == [(1, "a", "EZ", 12, 5), (2, "B", "Éa", 6, None), (3, "B", "ez", 6, None)]
     assert out[0].featured == ["X"]
+
+
+def test_slugs_write_signs_and_letters_out(spark):
+    cases = {
+        "Simon & Garfunkel": "simon-and-garfunkel", "Straße Æon Œuvre Þór": "strasse-aeon-oeuvre-thor", "Beyoncé  JAŸ-Z": "beyonce-jay-z", "Жанна Агузарова щё": "zhanna-aguzarova-shyo", "50% $tar": "50percent-dollartar",
+        "Ψυχή Ώρα θξ": "psyxh-wra-83", "e\u0301te": "ete", "ØłĐ ỗ": "old-o", "東京 x": "x", "--a__b--": "-ab-", "!!": "", "I'm £5 < €6 | ♥": "im-pound5-less-euro6-or-love",
+    }
+    for raw, want in cases.items():
+        assert one(spark, raw, text.slug) == want, raw
+    plan = spark.range(1).select(text.slug(F.col("id").cast("string")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan

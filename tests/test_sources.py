@@ -53,6 +53,16 @@ def test_weekly_page(page):
     assert got == [(1, "One", "Ann", None, None), (2, "Song Two", "Bob", 1, 12)]
 
 
+def test_weekly_page_prefers_the_surest_mark(page):
+    html = (
+        '<li><b class="position">1</b><h4>First on the page</h4><p>Low</p></li><article data-chart-position="1"><h3>RE one</h3><p></p><p>ONE New Ann</p></article>'
+        '<div class="chart-item"><i data-chart-position="No. 2"></i><b class="position">9</b><h3>two</h3><p>NewBob</p></div><li><b class="position">99999999999</b><h4>x</h4><p>y</p></li>'
+        '<li><b class="position">3</b><h4>Same</h4><p>same</p></li><li class="chart-list-item"><b class="chart-key">4</b><span class="track-title">re-run</span><span class="artist">Re</span><i class="peak">1,2</i></li>'
+    )
+    got = rows(pages.weekly_chart(page(html)).orderBy("position"), "seq", "position", "song", "artist", "peak_position", "weeks_on_chart")
+    assert got == [(0, 1, "One", "New Ann", None, None), (1, 2, "Two", "Bob", None, None), (3, 4, "Re-run", "Re", 12, None)]
+
+
 def test_documents(spark):
     def landed(*bodies, **more):
         return spark.createDataFrame([(b,) for b in bodies], "body string")
@@ -82,4 +92,3 @@ def test_discovery_from_pages_to_unique_artists(spark):
 
 def test_ranks_beyond_32_bits_are_no_ranks():
     assert pages._digits("99999999999") == 0 and pages._digits("#1,2") == 12
-    assert pages._number("99999999999") is None and pages._number("No. 1,234") == 1234
