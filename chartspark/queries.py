@@ -20,6 +20,8 @@ from chartspark.plans import views
 from chartspark.plans.fixtures import Tables, with_fixtures
 from chartspark.refresh_queries import QUERIES as REFRESH_QUERIES
 from chartspark.refresh_queries import sql as refresh_sql
+from chartspark.source_queries import QUERIES as SOURCE_QUERIES
+from chartspark.source_queries import SQL as SOURCE_SQL
 from chartspark.store_queries import QUERIES as STORE_QUERIES
 from chartspark.store_queries import SQL as STORE_SQL
 
@@ -176,7 +178,7 @@ QUERIES: dict[str, Query] = {
     "insert_ignore": _ignore,
     "page_links": _links,
     **STORE_QUERIES,
-    **CHART_QUERIES, **PERSIST_QUERIES, **REFRESH_QUERIES,
+    **CHART_QUERIES, **PERSIST_QUERIES, **REFRESH_QUERIES, **SOURCE_QUERIES,
     **JOB_QUERIES,
 }
 
@@ -250,4 +252,4 @@ SELECT entry_id, CAST(prev AS SMALLINT) AS prev_rank, CAST(abs(position - prev)
     "insert_ignore": _BATCH.format(dir="ASC", first="o", then="n"),
     "page_links": "SELECT page_id, href, count(*) AS n, CAST(min(pos) AS INTEGER) AS first_at FROM (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS h FROM pages)) GROUP BY page_id, href",
 }
-SQL: dict[str, str] = {k: with_fixtures(v) for k, v in (_VIEW_SQL | _OTHER_SQL).items()} | STORE_SQL | CHART_SQL | PERSIST_SQL | refresh_sql(_VIEW_SQL) | JOB_SQL
+SQL: dict[str, str] = {k: with_fixtures(v) for k, v in (_VIEW_SQL | _OTHER_SQL).items()} | STORE_SQL | CHART_SQL | PERSIST_SQL | refresh_sql(_VIEW_SQL) | SOURCE_SQL | JOB_SQL
