@@ -251,7 +251,7 @@ def _spanned(rows: DataFrame, links_of, name: str) -> DataFrame:
 def _sets(wanted: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """``wanted`` (doc_id, node and more) with ``data``, the set of the node, from the text of that doc_id; equal rows give
     equal rows. Texts are not shuffled: a bitmap of hashed ids, of SLOTS bits whatever their number, passes the texts that
-    may be wanted and few others, and their sets are joined."""
+    may be wanted and few others, and their sets are joined: by a merge at every size, as what is wanted grows with the corpus."""
     at = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int")
     slots = np.zeros(SLOTS, bool)
     slots[wanted.select(at.alias("slot")).distinct().toArrow().column(0).to_numpy()] = True  # at most SLOTS numbers
@@ -268,7 +268,7 @@ def _sets(wanted: DataFrame, docs: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(keep, pa.int64())), pa.array([node_of(own[i]) for i in keep], pa.int64()), pa.array([own[i].tobytes() for i in keep], pa.binary())], names=["doc_id", "node", "data"])
 
     rows = docs.where("doc_id is not null").select("doc_id", "text", at.alias("slot"))
-    return rows.mapInArrow(run, "doc_id long, node long, data binary").join(wanted, ["doc_id", "node"])
+    return rows.mapInArrow(run, "doc_id long, node long, data binary").join(wanted.hint("merge"), ["doc_id", "node"])
 
 
 def linked_components(documents: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
