@@ -9,7 +9,8 @@ its rarest term, as counted over the index; a window with a term that the corpus
 A posting of such a term gives an alignment: the offset between places in the document and in the
 item. Its list is intersected, adjusted by that offset, with the list of the second rarest term,
 and for alignments that are left, with the lists of all other terms: a window occurs where all its
-places are left. The same lists, shifted by up to ``slop`` places, give proximity matches.
+places are left. The same lists, shifted by up to ``slop`` places, give proximity matches. Windows of an item with the same
+words are looked up once, and windows are read off runs of places, so repeated words and long items cost their length.
 
 Shuffles: postings of documents that have an alignment, and what is asked of them; texts never.
 Terms and alignments are joined by size: the planner broadcasts a side only when its written bytes
@@ -25,7 +26,7 @@ gives an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartspark.llm.scratch import dropped, written
@@ -73,14 +74,18 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def rarest(index: DataFrame, places: DataFrame, size: int) -> DataFrame:
     """``item, at, width, of, term, of2, term2``: for each window (by its first place ``at``), places and terms of its two
-    rarest words (of a window of one word, the second is null); only where the corpus has all its terms."""
+    rarest words (of a window of one word, the second is null); only where the corpus has all its terms. Of the windows of
+    an item that have the same words, the first stands for all: they occur in the same places of a document."""
     counts = index.where(F.col("term") != END).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     counted = places.join(counts, "term", "left")
     first, last = F.greatest(F.col("place") - size + 1, F.lit(0)), F.least("place", F.greatest(F.col("size") - size, F.lit(0)))
     parts = counted.select("item", "size", "place", "term", "n", F.explode(F.sequence(first, last)).alias("at"))
-    ranked = parts.groupBy("item", "at").agg(F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("n", "term", "place")))).alias("by"), F.least(F.first("size"), F.lit(size)).alias("width"))
+    known = F.when(F.col("n").isNotNull(), F.struct("n", "term", "place"))
+    ranked = parts.groupBy("item", "at").agg(F.array_sort(F.collect_list(known)).alias("by"), F.array_sort(F.collect_list(F.struct("place", "term"))).alias("words"), F.least(F.first("size"), F.lit(size)).alias("width"))
     one = lambda i, what: F.get("by", F.lit(i))[what]
-    return ranked.where(F.size("by") == F.col("width")).select("item", "at", "width", one(0, "place").alias("of"), one(0, "term").alias("term"), one(1, "place").alias("of2"), one(1, "term").alias("term2"))
+    window = F.struct("at", "width", one(0, "place").alias("of"), one(0, "term").alias("term"), one(1, "place").alias("of2"), one(1, "term").alias("term2"))
+    kept = ranked.where(F.size("by") == F.col("width")).groupBy("item", F.transform("words", lambda x: x["term"]).alias("words"))
+    return kept.agg(F.min(window).alias("window")).select("item", "window.*")
 
 
 def _shifted(slop: int) -> Column:
@@ -88,7 +93,7 @@ def _shifted(slop: int) -> Column:
 
 
 def alignments(index: DataFrame, windows: DataFrame, slop: int) -> DataFrame:
-    """``row, item, shift, low, high``: where the lists of the two rarest terms of a window meet, and the places in the item of all such windows."""
+    """``row, item, shift, low, high, width``: where the lists of the two rarest terms of a window meet, and the places in the item of all such windows."""
     looked = windows.select("term", "item", "at", "width", "of", "of2", "term2")
     first = index.join(looked, "term").select("row", "item", "at", "width", "of2", "term2", (F.col("pos") - F.col("of")).alias("shift"))
     second = index.join(windows.where("term2 is not null").select(F.col("term2").alias("term")).distinct(), "term").select("row", F.col("term").alias("term2"), "pos")
@@ -96,7 +101,7 @@ def alignments(index: DataFrame, windows: DataFrame, slop: int) -> DataFrame:
     asked = asked.withColumn("pos", F.col("shift") + F.col("of2") + F.col("off"))
     met = asked.join(second, ["row", "term2", "pos"], "left_semi").select("row", "item", "shift", "at", "width")
     both = met.unionByName(first.where("term2 is null").select("row", "item", "shift", "at", "width"))
-    return both.groupBy("row", "item", "shift").agg(F.min("at").alias("low"), F.max(F.col("at") + F.col("width")).alias("high"))
+    return both.groupBy("row", "item", "shift").agg(F.min("at").alias("low"), F.max(F.col("at") + F.col("width")).alias("high"), F.max("width").alias("width"))
 
 
 def matches(index: DataFrame, places: DataFrame, size: int = 13, slop: int = 0) -> DataFrame:
@@ -106,14 +111,23 @@ def matches(index: DataFrame, places: DataFrame, size: int = 13, slop: int = 0)
     aligned = written(alignments(index, windows, slop), "aligned")
     near = index.where(F.col("term") != END).join(aligned.select("row").distinct(), "row", "left_semi").select("row", "pos", "term")
     asked = aligned.join(places.select("item", "place", "term"), "item").where("place >= low and place < high").withColumn("off", _shifted(slop))
-    asked = asked.select("row", "item", "shift", "term", "place", "off", (F.col("shift") + F.col("place") + F.col("off")).alias("pos"))
-    left = asked.join(near, ["row", "term", "pos"])
-    there = left.groupBy("row", "item", "shift").agg(F.collect_set(F.when(F.col("off") == 0, F.col("place"))).alias("same"), F.collect_set("place").alias("around"))
-    listed = windows.groupBy("item").agg(F.collect_list(F.struct("at", "width", "of")).alias("windows"))
-    spread = there.join(listed, "item").select("row", "item", "shift", "same", "around", F.inline("windows"))
-    held = lambda c: F.size(F.array_intersect(c, F.sequence(F.col("at"), F.col("at") + F.col("width") - 1))) == F.col("width")
-    found = spread.where(F.array_contains("same", F.col("of")) & held(F.col("around")))
-    return found.select("row", "item", "shift", "at", "width", held(F.col("same")).alias("exact"))
+    asked = asked.select("row", "item", "shift", "width", "term", "place", "off", (F.col("shift") + F.col("place") + F.col("off")).alias("pos"))
+    at, same = ["row", "item", "shift"], F.col("same")
+    placed = asked.join(near, ["row", "term", "pos"]).repartition(*at).groupBy(*at, "width", "place").agg(F.max(F.col("off") == 0).alias("same"))
+    # Places that follow each other have one difference to their number in order: they are a run, and a run holds the windows
+    # that begin up to ``width`` before its end.
+    by = Window.partitionBy(*at).orderBy("place")
+    placed = written(placed.select(*at, "width", "place", "same", (F.col("place") - F.row_number().over(by)).alias("around"), (F.col("place") - F.sum(same.cast("int")).over(by)).alias("exact")), "placed")
+    around, exact = _begun(placed, at, "around"), _begun(placed.where(same), at, "exact").select(*at, "at", F.lit(True).alias("exact"))
+    found = around.join(windows.select("item", "at", "of"), ["item", "at"])
+    found = found.join(placed.where(same).select(*at, F.col("place").alias("of")), [*at, "of"], "left_semi")
+    return found.join(exact, [*at, "at"], "left").select(*at, "at", "width", F.coalesce("exact", F.lit(False)).alias("exact"))
+
+
+def _begun(placed: DataFrame, key: list[str], run: str) -> DataFrame:
+    """The first places of the windows that lie in runs of places."""
+    runs = placed.groupBy(*key, "width", run).agg(F.min("place").alias("low"), (F.max("place") - F.col("width") + 1).alias("high"))
+    return runs.where("low <= high").select(*key, "width", F.explode(F.sequence("low", "high")).alias("at"))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, slop: int = 2) -> DataFrame:

@@ -239,6 +239,16 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</scri
 <article><h1>Head &amp;  line</h1><p><b>One.<br><p>Two <i>in</i>line&nbsp;x</p><div class="comments"><p>bad</p></div><form><p>f</p></form></article><footer>&copy;</footer>"""
 
 
+def test_repeated_words_and_long_items_cost_their_length(spark):
+    n = 5000
+    long = " ".join(f"w{i}" for i in range(n))
+    bench = spark.createDataFrame([("same", "again " * n), ("two", "tick tock " * (n // 2)), ("long", long)], "item_id string, text string")
+    rows = [(1, "again " * n), (2, "tock tick " * (n // 2) + "end"), (3, "x " + long + " y"), (4, "again " * 12 + "stop " + "again " * 12), (5, "again tick " * 40)]
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"]), r.n_near) for r in decontaminate.contamination(spark.createDataFrame(rows, "doc_id int, text string"), bench).collect()}
+    assert got[1] == (n, n, ["same"], 1) and got[2] == (n + 1, n, ["two"], 1) and got[3] == (n + 2, n, ["long"], 1)
+    assert got[4][:3] == (25, 0, []) and got[5][:3] == (80, 0, [])
+
+
 def test_main_text(spark):
     rows = [(1, "http://h/x", PAGE), (2, None, None), (3, "http://h/y", ""), (4, "x", "<p>a<p>b <!-- open")]
     shared = [(10 + i, f"http://same.org/{i}", f"<div class=top><p>Same words</p></div><p>Own {i}</p>") for i in range(8)]
