@@ -9,7 +9,7 @@ no rows. Every stage but the last returns the columns of its input, whatever the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chartspark.llm import decontaminate, jaccard_join, quality_gam, substring_dedup, tokens, vector_packing
@@ -38,10 +38,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     best = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("b")).select("root", "b.doc_id", "b.text_hash", F.lit(True).alias("best"))
     judged = counts.join(best, ["root", "doc_id", "text_hash"], "left").where("best is null or n > 1")
     judged = written(judged.select(F.col("doc_id").alias("row_id"), F.col("text_hash").alias("row_hash"), F.coalesce("best", F.lit(False)).alias("best")), "judged")
+    # One merge join at every size: what is judged grows with the corpus, and texts cross the network once.
     rows = keyed(docs, jaccard_join.text_key()).withColumn("row_id", F.col("row_id").cast("long"))
-    kept = rows.join(judged, ["row_id", "row_hash"], "left_anti").select("carried")
-    copies = rows.join(judged.where("best"), ["row_id", "row_hash"]).groupBy("row_id", "row_hash")
-    return kept.unionByName(copies.agg(F.min("carried").alias("carried")).select("carried")).select("carried.*")
+    met = rows.join(judged.hint("merge"), ["row_id", "row_hash"], "left")
+    place = F.row_number().over(Window.partitionBy("row_id", "row_hash").orderBy("carried"))
+    return met.withColumn("place", place).where("best is null or (best and place = 1)").select("carried.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
