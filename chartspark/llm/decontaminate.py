@@ -120,8 +120,9 @@ def matches(index: DataFrame, places: DataFrame, size: int = 13, slop: int = 0)
     placed = written(placed.select(*at, "width", "place", "same", (F.col("place") - F.row_number().over(by)).alias("around"), (F.col("place") - F.sum(same.cast("int")).over(by)).alias("exact")), "placed")
     around, exact = _begun(placed, at, "around"), _begun(placed.where(same), at, "exact").select(*at, "at", F.lit(True).alias("exact"))
     found = around.join(windows.select("item", "at", "of"), ["item", "at"])
-    found = found.join(placed.where(same).select(*at, F.col("place").alias("of")), [*at, "of"], "left_semi")
-    return found.join(exact, [*at, "at"], "left").select(*at, "at", "width", F.coalesce("exact", F.lit(False)).alias("exact"))
+    # Merge joins: these tables grow with the corpus, and compress so well that their files look small enough to broadcast.
+    found = found.join(placed.where(same).select(*at, F.col("place").alias("of")).hint("merge"), [*at, "of"], "left_semi")
+    return found.join(exact.hint("merge"), [*at, "at"], "left").select(*at, "at", "width", F.coalesce("exact", F.lit(False)).alias("exact"))
 
 
 def _begun(placed: DataFrame, key: list[str], run: str) -> DataFrame:
