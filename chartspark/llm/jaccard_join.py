@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +47,9 @@ FREQUENT = 1 / 500
 FREQUENT_MOST = 250_000
 #: The most members, and shingles of them, that one task compares at once; more are dealt out in parts.
 HELD, HELD_SHINGLES = 8192, 4 << 20
-#: Bits of the map that passes texts of wanted documents; fewer than ids only means that more texts are read in vain.
-SLOTS = 1 << 22
+#: Bits for each key of a map that passes rows of wanted keys, and the most bits of a map (16 MB): beyond, more rows pass in
+#: vain and none is lost.
+SLOTS_EACH, SLOTS_MOST = 8, 1 << 27
 
 
 def shingle_sets(column: pa.Array, hasher: Hasher, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,29 +250,52 @@ def _spanned(rows: DataFrame, links_of, name: str) -> DataFrame:
     return written(links.unionByName(more), name, links)
 
 
+def _wanted_map(keys: DataFrame, key: str) -> tuple[Broadcast, Column]:
+    """A bitmap of the hashed ``key`` of ``keys`` (a written table), sized by their count, and the slot of a row in it. Spark
+    puts its 64-bit words together; the driver gets them, at most SLOTS_MOST / 64, and no key."""
+    slots = min(SLOTS_MOST, 1 << max(6, (SLOTS_EACH * keys.count()).bit_length()))
+    slot = F.pmod(F.xxhash64(key), F.lit(slots))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
+    got = keys.select(F.shiftright(slot, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(slots // 64, U)
+    words[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(U)
+    return keys.sparkSession.sparkContext.broadcast(words), slot.alias("slot")
+
+
+def _passed(batch: pa.RecordBatch, words: np.ndarray) -> pa.RecordBatch:
+    """The rows whose slot is open in the map, without ``slot``."""
+    slot = batch.column("slot").to_numpy()
+    open_ = (words[slot >> 6] >> (slot & 63).view(U)) & U(1)
+    return batch.filter(pa.array(open_.astype(bool))).drop_columns(["slot"])
+
+
 def _sets(wanted: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """``wanted`` (doc_id, node and more) with ``data``, the set of the node, from the text of that doc_id; equal rows give
-    equal rows. Texts are not shuffled: a bitmap of hashed ids, of SLOTS bits whatever their number, passes the texts that
-    may be wanted and few others, and their sets are joined: by a merge at every size, as what is wanted grows with the corpus."""
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int")
-    slots = np.zeros(SLOTS, bool)
-    slots[wanted.select(at.alias("slot")).distinct().toArrow().column(0).to_numpy()] = True  # at most SLOTS numbers
-    passed = docs.sparkSession.sparkContext.broadcast(np.packbits(slots))
+    """``wanted`` (a written table: doc_id, node and more) with ``data``, the set of the node, from the text of that doc_id;
+    equal rows give equal rows. Texts are not shuffled: a bitmap of hashed ids passes the texts that may be wanted and few
+    others, and their sets are joined: by a merge at every size, as what is wanted grows with the corpus."""
+    passed, slot = _wanted_map(wanted, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, open_ = Hasher(fold=True), np.unpackbits(passed.value).astype(bool)
+        hasher = Hasher(fold=True)
         for batch in batches:
-            batch = batch.filter(pa.array(open_[batch.column("slot").to_numpy()]))
-            for part in slices(batch, "text"):
+            for part in slices(_passed(batch, passed.value), "text"):
                 hashes, offsets = shingle_sets(part.column("text"), hasher, n)
                 own = [hashes[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 keep = [i for i, s in enumerate(own) if len(s)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(keep, pa.int64())), pa.array([node_of(own[i]) for i in keep], pa.int64()), pa.array([own[i].tobytes() for i in keep], pa.binary())], names=["doc_id", "node", "data"])
 
-    rows = docs.where("doc_id is not null").select("doc_id", "text", at.alias("slot"))
+    rows = docs.where("doc_id is not null").select("doc_id", "text", slot)
     return rows.mapInArrow(run, "doc_id long, node long, data binary").join(wanted.hint("merge"), ["doc_id", "node"])
 
 
+def _of_kept(seen: DataFrame, kept: DataFrame) -> DataFrame:
+    """The members of the blocks in ``kept`` (a written table): most blocks repeat the members of another, so a bitmap of
+    tokens drops their rows before the shuffle."""
+    passed, slot = _wanted_map(kept, "token")
+    few = seen.select("token", "node", "n", slot).mapInArrow(lambda it: (_passed(b, passed.value) for b in it), "token long, node long, n int")
+    return few.join(kept.hint("merge"), "token")
+
+
 def linked_components(documents: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``documents`` (doc_id, text)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -306,10 +331,11 @@ def _rooted(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> tuple[Da
     tokens = tokens.repartitionByRange("token", "node").sortWithinPartitions("token", "node")
     seen = written(tokens.mapInArrow(_members, "token long, node long, n int, h1 long, h2 long, members long, load long"), "members")
     sums = seen.where("members is not null").groupBy("token").agg(F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"), F.sum("members").alias("members"), F.sum("load").alias("load"))
-    kept = sums.where("members > 1").groupBy("h1", "h2", "members", "load").agg(F.min("token").alias("token")).select("token", "members", "load")
+    kept = sums.where("members > 1").groupBy("h1", "h2", "members", "load").agg(F.min("token").alias("token"))
+    kept = written(kept.select("token", "members", "load"), "kept")
     bits = nodes.where("bits is not null").select("node", "bits").dropDuplicates(["node"])
-    blocks = seen.select("token", "node", "n").join(kept, "token").join(bits, "node")
-    blocks = written(blocks.select(F.col("token").alias("group"), "node", "n", F.col("bits").alias("data"), "members", "load"), "blocks", seen)
+    blocks = _of_kept(seen, kept).join(bits, "node")
+    blocks = written(blocks.select(F.col("token").alias("group"), "node", "n", F.col("bits").alias("data"), "members", "load"), "blocks", seen, kept)
     pairs = _spanned(blocks, _may_link(percent), "pairs")
     dropped(blocks)
     roots = components(pairs)
