@@ -95,9 +95,12 @@ def _header(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", meta["chart_date"].alias("chart_date"), F.date_format(meta["page_time"], "yyyy-MM-dd HH:mm").alias("page_time"))
 
 
-def _progress(spark: SparkSession, d: str) -> DataFrame:
-    o = Tables(spark, d)["orders"]
-    return o.select("o_orderkey", store.progress(F.col("o_orderkey") % 70, F.col("o_orderkey") % 71).cast("long").alias("percent"))
+def _progress(nothing: int) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        o = Tables(spark, d)["orders"]
+        return o.select("o_orderkey", store.progress(F.col("o_orderkey") % 70, F.col("o_orderkey") % 71, nothing).cast("long").alias("percent"))
+
+    return run
 
 
 QUERIES: dict[str, Query] = {
@@ -121,7 +124,8 @@ QUERIES: dict[str, Query] = {
     "origin_job": lambda spark, d: (lambda t: jobs.origin_patches(t.sql(ROWS["artist_rows"]), _batch(t, "origins")))(Tables(spark, d)),
     "lost_references": lambda spark, d: (lambda t: jobs.validated(t["song_stats_snapshots"], "song_id", t["songs"].where("id % 3 > 0")).select("song_id", "snapshot_date"))(Tables(spark, d)),
     "header_meta": _header,
-    "job_progress": _progress,
+    "job_progress": _progress(100),
+    "artist_job_progress": _progress(0),
     "job_counters": lambda spark, d: store.counters(Tables(spark, d)["events"].select((F.col("event_type") == "view").alias("ok"))),
 }
 
@@ -175,6 +179,7 @@ _SQL: dict[str, str] = {
     "lost_references": "SELECT song_id, snapshot_date FROM song_stats_snapshots WHERE song_id NOT IN (SELECT id FROM songs WHERE id % 3 > 0)",
     "header_meta": f"""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS chart_date, CASE WHEN o_orderkey % 8 < 6 THEN strftime(TIMESTAMP '{DAY} 00:30:00' + to_hours(CAST(o_orderkey % 24 + CASE o_orderkey % 8 WHEN 0 THEN -4 WHEN 1 THEN -5 WHEN 4 THEN 1 WHEN 5 THEN 1 ELSE 0 END AS INTEGER)), '%Y-%m-%d %H:%M') END AS page_time FROM orders""",
     "job_progress": "SELECT o_orderkey, CASE WHEN o_orderkey % 71 > 0 THEN CAST(floor(100.0 * (o_orderkey % 70) / (o_orderkey % 71) + 0.5) AS BIGINT) ELSE 100 END AS percent FROM orders",
+    "artist_job_progress": "SELECT o_orderkey, CASE WHEN o_orderkey % 71 > 0 THEN CAST(floor(100.0 * (o_orderkey % 70) / (o_orderkey % 71) + 0.5) AS BIGINT) ELSE 0 END AS percent FROM orders",
     "job_counters": "SELECT count(*) AS total, count(*) FILTER (WHERE event_type = 'view') AS succeeded, count(*) FILTER (WHERE event_type <> 'view') AS failed FROM events",
 }
 SQL: dict[str, str] = {k: with_fixtures(v) for k, v in _SQL.items()}

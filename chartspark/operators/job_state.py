@@ -79,8 +79,9 @@ class Job:
         entries = self.log.entries()
         return {k: sum(e[k] for e in entries) for k in ("total", "succeeded", "failed", "skipped")}
 
-    def status(self, rows: DataFrame) -> dict:
-        """``cursor, totalPending, percentComplete`` (of the rows that are there now) and ``nextBatch``, the places of the next page."""
+    def status(self, rows: DataFrame, nothing: int = 100) -> dict:
+        """``cursor, totalPending, percentComplete`` (of the rows that are there now) and ``nextBatch``, the places of the
+        next page. ``nothing``: the percentage where no rows are there."""
         cursor = self.cursor()
         total = rows.count()
         if self.by == "offset" or cursor is None:
@@ -88,4 +89,4 @@ class Job:
         else:
             done = rows.where(F.col(self.key) <= F.lit(cursor).cast(rows.schema[self.key].dataType)).count()
         start = 0 if done >= total else done
-        return {"cursor": cursor, "totalPending": total, "percentComplete": int(100 * done / total + 0.5) if total else 100, "nextBatch": (start + 1, min(start + self.size, total)) if total else None}
+        return {"cursor": cursor, "totalPending": total, "percentComplete": int(100 * done / total + 0.5) if total else nothing, "nextBatch": (start + 1, min(start + self.size, total)) if total else None}

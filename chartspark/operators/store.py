@@ -248,9 +248,10 @@ def next_page(rows: DataFrame, key: str, cursor: object, size: int) -> DataFrame
     return page.join(F.broadcast(fresh), F.col("_again") == (F.col("_fresh") == 0)).drop("_again", "_fresh")
 
 
-def progress(done: Column, total: Column) -> Column:
-    """Whole percent, half up; nothing to do is done."""
-    return F.when(total > 0, F.floor(100 * done / total + 0.5)).otherwise(100).cast("int")
+def progress(done: Column, total: Column, nothing: int = 100) -> Column:
+    """Whole percent, half up. ``nothing`` is the percentage where there is nothing to do: 100 for songs, 0 for the jobs over
+    artists (certifications, origins)."""
+    return F.when(total > 0, F.floor(100 * done / total + 0.5)).otherwise(nothing).cast("int")
 
 
 def counters(outcomes: DataFrame) -> DataFrame:

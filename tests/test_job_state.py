@@ -56,6 +56,7 @@ def test_status_reset_and_empty_lists(spark, tmp_path):
     assert job.cursor() is None and [r.id for r in job.page(rows)[0].collect()] == [0, 1, 2, 3]
     none = rows.where("false")
     assert job.status(none) == {"cursor": None, "totalPending": 0, "percentComplete": 100, "nextBatch": None}
+    assert job.status(none, nothing=0)["percentComplete"] == 0
     assert job.run(none, enriched)["total"] == 0 and job.cursor() is None
     by_key = Job(spark, f"file://{tmp_path}/keys", "id", 3)
     by_key.run(rows.where("id > 5"), enriched)
