@@ -7,7 +7,8 @@ gives no records. ``seq`` is the place of a record in its page, for rules of the
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from chartspark.functions import parse as values
 from chartspark.functions import text
-from chartspark.sources.html import Node, first_text, parse
+from chartspark.sources.html import Node, elements, first_text, parse
 
 CHART = "url string, seq int, heading string, rank int, credit string, link_artist string, link_title string"
 LISTENERS = "url string, seq int, spotify_id string, name string, listeners string, daily string, peak_rank string, peak_listeners string"
@@ -24,19 +25,39 @@ SONGS = "url string, seq int, raw_title string, track_id string, streams string,
 AWARDS = "url string, seq int, riaa_id string, share string, artist string, title string, certified_at string, label string, format string"
 
 
-def read_pages(pages: DataFrame, reader: Callable[[Node], list[tuple]], schema: str) -> DataFrame:
-    """The tuples that ``reader`` finds in each page, in the order of ``schema`` after the url."""
+#: Characters of a page that go to a reader as one row, and records that come back as one batch.
+PIECE, RECORDS = 4096, 4096
+
+
+def of_tree(of: Callable[[Node], Iterable[tuple]]) -> Callable[[Iterator[str]], Iterable[tuple]]:
+    """A reader of the tree of a page."""
+    return lambda pieces: of(parse(pieces))
+
+
+def of_elements(of: Callable[[Iterator[Node]], Iterable[tuple]], test: Callable[[Node], bool], within: str = "") -> Callable[[Iterator[str]], Iterable[tuple]]:
+    """A reader of a page's elements (see ``html.elements``), one after another: for lists of any length."""
+    return lambda pieces: of(elements(pieces, test, within))
+
+
+def read_pages(pages: DataFrame, reader: Callable[[Iterator[str]], Iterable[tuple]], schema: str) -> DataFrame:
+    """The tuples that ``reader`` finds in each page, in the order of ``schema`` after the url. Pages go to it in pieces, in order
+    and without a shuffle, so neither a batch of pages nor a long page is in a reader's memory whole."""
     target = pa.schema([(f.name, _arrow(f.dataType.simpleString())) for f in pages.sparkSession.createDataFrame([], schema).schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for url, html in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
-                out += [(url, *r) for r in reader(parse(html))] if html else []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
+        def pieces() -> Iterator[tuple[int, str, str]]:
+            page = 0
+            for b in batches:
+                for url, at, piece in zip(*(b.column(c) for c in ("url", "at", "piece")), strict=True):
+                    page += at.as_py() == 0
+                    yield page, url.as_py(), piece.as_py()
 
-    return pages.select("url", "html").mapInArrow(run, schema)
+        found = ((url, *r) for (_, url), of in groupby(pieces(), lambda p: p[:2]) for r in reader(p[2] for p in of))
+        while out := list(islice(found, RECORDS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
+
+    cut = F.regexp_extract_all("html", F.lit(f"(?s).{{1,{PIECE}}}+"), F.lit(0))
+    return pages.select("url", F.posexplode(cut).alias("at", "piece")).mapInArrow(run, schema)
 
 
 def _arrow(kind: str) -> pa.DataType:
@@ -79,7 +100,7 @@ def daily_chart(pages: DataFrame, limit: int | None = None, max_rank: int | None
 
     ``limit`` of none takes all rows; ``max_rank`` leaves out greater ranks first.
     """
-    rows = read_pages(pages, _daily_chart, CHART)
+    rows = read_pages(pages, of_tree(_daily_chart), CHART)
     if max_rank is not None:
         rows = rows.where(F.col("rank") <= max_rank)
     parts = rows.withColumn("p", text.split_artist_title(text.normalize_all(F.col("credit"))))
@@ -93,23 +114,22 @@ def daily_chart(pages: DataFrame, limit: int | None = None, max_rank: int | None
     return found.select("url", F.col("heading").alias("label"), day.alias("page_date"), "rank", "artist", clean["title"].alias("title"), clean["featured"].alias("featured"))
 
 
-def _chart_artists(page: Node) -> list[tuple]:
-    out = []
-    for seq, a in enumerate(page.find(lambda n: n.tag == "a" and "/artist/" in n.attrs.get("href", ""))):
+def _chart_artists(links: Iterator[Node]) -> Iterator[tuple]:
+    for seq, a in enumerate(links):
         if m := re.search(r"/artist/([A-Za-z0-9]+)\.html$", a.attrs["href"]):
-            out.append((seq, m[1], a.text().strip(), None, None, None, None))
-    return out
+            yield seq, m[1], a.text().strip(), None, None, None, None
 
 
 def discovered_on_charts(pages: DataFrame) -> DataFrame:
     """``url, seq, spotify_id, name`` of the artists linked from each chart page, first named link of an id."""
-    rows = read_pages(pages, _chart_artists, LISTENERS).where("name <> ''")
+    reader = of_elements(_chart_artists, lambda n: n.tag == "a" and "/artist/" in n.attrs.get("href", ""))
+    rows = read_pages(pages, reader, LISTENERS).where("name <> ''")
     return rows.groupBy("url", "spotify_id").agg(F.min("seq").alias("seq"), F.min_by("name", "seq").alias("name"))
 
 
-def _listeners(page: Node) -> list[tuple]:
-    out, seen = [], set()
-    for seq, row in enumerate(r for t in page.find("table") for r in t.find("tr")):
+def _listeners(rows: Iterator[Node]) -> Iterator[tuple]:
+    seen = set()
+    for seq, row in enumerate(rows):
         cells = _cells(row)
         links = row.find(lambda n: n.tag == "a" and "artist/" in n.attrs.get("href", ""))
         m = re.search(r"(?:^|/)artist/([A-Za-z0-9]+)(?:_[a-z]+)?\.html$", links[0].attrs["href"]) if links else None
@@ -118,14 +138,13 @@ def _listeners(page: Node) -> list[tuple]:
         seen.add(m[1])  # before the name is looked at
         if name := links[0].text().strip():
             t = [c.text() for c in cells]
-            out.append((seq, m[1], name, t[2], t[3], *((t[4], t[5]) if len(t) > 5 else (None, t[4]))))
-    return out
+            yield seq, m[1], name, t[2], t[3], *((t[4], t[5]) if len(t) > 5 else (None, t[4]))
 
 
 def listener_page(pages: DataFrame) -> DataFrame:
     """Monthly listeners; pages of five columns have no peak rank."""
     n = values.signed_number
-    return read_pages(pages, _listeners, LISTENERS).select("url", "seq", "spotify_id", "name", n(F.col("listeners")).alias("monthly_listeners"), n(F.col("daily")).alias("daily_change"), n(F.col("peak_rank")).cast("int").alias("peak_rank"), n(F.col("peak_listeners")).alias("peak_listeners"))
+    return read_pages(pages, of_elements(_listeners, lambda n: n.tag == "tr", "table"), LISTENERS).select("url", "seq", "spotify_id", "name", n(F.col("listeners")).alias("monthly_listeners"), n(F.col("daily")).alias("daily_change"), n(F.col("peak_rank")).cast("int").alias("peak_rank"), n(F.col("peak_listeners")).alias("peak_listeners"))
 
 
 def _totals(page: Node) -> list[tuple]:
@@ -143,7 +162,7 @@ def _totals(page: Node) -> list[tuple]:
 def artist_totals(pages: DataFrame) -> DataFrame:
     """One row a page: the artist's totals; what a page lacks is 0."""
     n = values.unsigned_number
-    t = read_pages(pages, _totals, TOTALS)
+    t = read_pages(pages, of_tree(_totals), TOTALS)
     wide = {"total_streams": F.col("streams")[0], "total_streams_as_lead": F.col("streams")[1], "total_streams_solo": F.col("streams")[2], "total_streams_as_feature": F.col("streams")[3], "daily_streams": F.col("daily")[0], "daily_streams_as_lead": F.col("daily")[1], "daily_streams_as_feature": F.col("daily")[3]}
     return t.select("url", "artist_name", values.source_date(F.col("last_updated")).alias("source_updated_at"), *[n(c).alias(k) for k, c in wide.items()], n(F.col("tracks")).cast("int").alias("track_count"))
 
@@ -162,24 +181,23 @@ def _songs(page: Node) -> list[tuple]:
 def song_totals(pages: DataFrame) -> DataFrame:
     """One row a song of each totals page; a leading * marks a feature."""
     n = values.unsigned_number
-    t = read_pages(pages, _songs, SONGS).withColumn("title", F.trim(F.regexp_replace("raw_title", r"^\*\s*", ""))).where("title <> ''")
+    t = read_pages(pages, of_tree(_songs), SONGS).withColumn("title", F.trim(F.regexp_replace("raw_title", r"^\*\s*", ""))).where("title <> ''")
     return t.select("url", "seq", "track_id", "title", n(F.col("streams")).alias("spotify_streams"), n(F.col("daily")).alias("daily_streams"), F.col("raw_title").startswith("*").alias("is_feature"))
 
 
-def _awards(page: Node) -> list[tuple]:
-    out = []
-    for seq, row in enumerate(page.find(lambda n: n.tag == "tr" and "table_award_row" in n.classes)):
+def _awards(rows: Iterator[Node]) -> Iterator[tuple]:
+    for seq, row in enumerate(rows):
         of = lambda c: [x for x in row.find("td") if c in x.classes]
         share = next((x.attrs.get("data-share-desc", "") for x in row.find(lambda n: "share_text" in n.classes)), "")
         other = [x.text().strip() for x in of("others_cell")] + ["", "", ""]
         artist, form = ("".join(x.text() for x in of(c)) for c in ("artists_cell", "format_cell"))
-        out.append((seq, row.attrs.get("id", "").replace("default_", "", 1), share, artist.strip(), *other[:3], form.replace("MORE DETAILS", "", 1).strip()))
-    return out
+        yield seq, row.attrs.get("id", "").replace("default_", "", 1), share, artist.strip(), *other[:3], form.replace("MORE DETAILS", "", 1).strip()
 
 
 def award_rows(pages: DataFrame) -> DataFrame:
     """Certifications of an award search page; rows without an artist, a title or a level go."""
-    rows = read_pages(pages, _awards, AWARDS).withColumn("award", values.award_level(F.col("share")))
+    reader = of_elements(_awards, lambda n: n.tag == "tr" and "table_award_row" in n.classes)
+    rows = read_pages(pages, reader, AWARDS).withColumn("award", values.award_level(F.col("share")))
     return rows.where("artist <> '' and title <> '' and award.level <> ''").select("url", "seq", "riaa_id", "artist", "title", "award.level", "award.units", "certified_at", "label", "format")
 
 
@@ -227,7 +245,7 @@ def _small(c: Column) -> Column:
 def weekly_chart(pages: DataFrame) -> DataFrame:
     """Positions 1 to 100 of a weekly chart page: of the candidates for a position that are complete, that with the surest mark,
     the first on the page."""
-    rows = read_pages(pages, _candidates, CANDIDATES)
+    rows = read_pages(pages, of_tree(_candidates), CANDIDATES)
     shown = F.get(F.filter("places", lambda x: F.trim(x) != ""), F.lit(0))
     credit = F.get(F.filter("artists", lambda x: F.length(F.trim(x)).between(1, 199)), F.lit(0))
     bare = lambda c: F.trim(F.regexp_replace(text.collapse(c), FRESH, ""))

@@ -3,7 +3,7 @@ from datetime import date
 import pytest
 
 from chartspark.sources import documents, pages
-from chartspark.sources.html import parse
+from chartspark.sources.html import elements, parse
 
 
 @pytest.fixture
@@ -92,3 +92,35 @@ def test_discovery_from_pages_to_unique_artists(spark):
 
 def test_ranks_beyond_32_bits_are_no_ranks():
     assert pages._digits("99999999999") == 0 and pages._digits("#1,2") == 12
+
+
+def test_long_pages_are_read_row_by_row(spark):
+    """Of a long page one row is held at a time, rows come before the page has ended, and its pieces may be cut anywhere."""
+    row = '<tr class="x"><td>{0} &amp; é😀<!-- <tr> --><td><a href="artist/a{0}.html">A{0}</a><td>1,000<td>-5<td>2<td>2,000</tr>\n'
+    html = "<body><p>top<table>" + "".join(row.format(i) for i in range(50)) + '<tr><td><table><tr><td>in</table><tr/></table><tr><td>out<script>"<tr>"</script>'
+    tree = lambda n: (n.tag, n.attrs, n.text())
+    want = [tree(r) for t in parse(html).find("table")[:1] for r in t.find("tr")]
+    assert len(want) == 53
+    for size in (1, 2, 7, 4096):
+        cut = [html[i : i + size] for i in range(0, len(html), size)]
+        assert [tree(r) for r in elements(cut, lambda n: n.tag == "tr", "table")] == want
+        assert tree(parse(cut)) == tree(parse(html)) and [tree(n) for n in parse(cut).walk()] == [tree(n) for n in parse(html).walk()]
+
+    def endless():
+        for i in range(10**9):
+            assert i < 100, "a row has to come before its page has ended"
+            yield row.format(i)
+
+    assert next(elements(endless(), lambda n: n.tag == "tr")).text().startswith("0 & é😀")
+
+    many = spark.range(4).selectExpr("concat('u', id) AS url", f"concat('<table>', array_join(transform(sequence(1, 3000), i -> replace('{row.strip()}', '{{0}}', concat(id, 'x', i))), ''), '</table>') AS html")
+    sent = []
+
+    def reader(pieces):
+        for p in pieces:
+            yield (len(sent), str(len(p)), None, None, None, None, None)
+
+    sizes = pages.read_pages(many.coalesce(1), reader, pages.LISTENERS).groupBy("url").agg({"spotify_id": "count", "name": "count"}).collect()
+    assert len(sizes) == 4 and all(r["count(spotify_id)"] > 50 for r in sizes)
+    got = pages.listener_page(many.coalesce(1)).selectExpr("count(*)", "count(DISTINCT spotify_id)", "max(seq)", "min(monthly_listeners)").first()
+    assert tuple(got) == (12000, 12000, 2999, 1000)
