@@ -146,17 +146,19 @@ REFERENCES: dict[str, tuple[tuple[str, str, str], ...]] = {
 
 
 def delete(tables: Mapping[str, DataFrame], name: str, ids: DataFrame) -> dict[str, DataFrame]:
-    """The tables without the rows of ``name`` whose id is in ``ids`` (id), and without or with null in what refers to them."""
+    """The tables without the rows of ``name`` whose id is in ``ids`` (id), and without or with null in what refers to them.
+
+    Ids that go are written once for each table: the plan of a table holds every other table at most as a list of ids to read.
+    """
     out = dict(tables)
-    gone = ids.select(F.col("id").alias("_gone")).distinct()
-    lost = out[name].join(gone, F.col("id") == F.col("_gone"), "left_semi")
+    gone = staged(ids.select(F.col("id").alias("_gone")).distinct(), "gone")
     out[name] = out[name].join(gone, F.col("id") == F.col("_gone"), "left_anti")
     for other, column, action in REFERENCES.get(name, ()):
         if other not in out or column not in out[other].columns:
             continue
         if action == "cascade" and "id" in out[other].columns and other in REFERENCES:
-            keys = lost.select(F.col("id").alias("_lost"))
-            out = delete(out, other, out[other].join(keys, F.col(column) == F.col("_lost"), "left_semi").select("id"))
+            lost = gone.join(tables[name].select("id"), F.col("_gone") == F.col("id"), "left_semi")
+            out = delete(out, other, out[other].join(lost, F.col(column) == F.col("_gone"), "left_semi").select("id"))
         elif action == "cascade":
             out[other] = out[other].join(gone, F.col(column) == F.col("_gone"), "left_anti")
         else:
