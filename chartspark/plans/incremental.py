@@ -19,7 +19,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from chartspark.plans import views
 from chartspark.plans.fixtures import Tables
-from chartspark.plans.staging import Log
+from chartspark.plans.staging import Log, staged
 
 
 NONE = "cast(null as string)"
@@ -186,10 +186,10 @@ class Stored:
         self.log.commit(entry, len(self.log.entries()))
 
     def apply(self, changes: DataFrame) -> list[int]:
-        """A version after ``changes`` (rows with ``sign`` 1 or -1); the buckets that were read and written."""
+        """A version after ``changes`` (rows with ``sign``: how many come, below 0: go); the buckets that were read and written."""
         entries = self.log.entries()
         last = entries[-1]
-        delta = self.model.counts(_signed(changes))
+        delta = staged(self.model.counts(_signed(changes)), "delta")
         touched = sorted(r.b for r in delta.select(self._bucket().alias("b")).distinct().collect())  # at most one number for each bucket
         if not touched:
             return []

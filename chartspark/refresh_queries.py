@@ -28,23 +28,25 @@ AWARDS_AFTER = "SELECT artist_id, territory, body, level, units, certified_at FR
 
 
 def _changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows that went (-1) and that came (1), copies counted."""
-    gone, come = before.exceptAll(after).withColumn("sign", F.lit(-1)), after.exceptAll(before).withColumn("sign", F.lit(1))
-    return gone.unionByName(come)
+    """Rows that went and that came, with how many copies as ``sign`` (below 0: went); both tables are met in one grouping."""
+    both = before.withColumn("sign", F.lit(-1)).unionByName(after.withColumn("sign", F.lit(1)))
+    return both.groupBy(*before.columns).agg(F.sum("sign").alias("sign")).where("sign <> 0")
 
 
 def _stored(t: Tables, model: incremental.Model) -> incremental.Stored:
     return incremental.Stored(t.spark, f"{shared_dir(t.spark)}/models/{uuid.uuid4().hex}", model, 16)
 
 
-def _tables(spark: SparkSession, d: str) -> Tables:
+def _tables(spark: SparkSession, d: str, *names: str) -> Tables:
+    """The tables, those that are read before and after the changes written once."""
     t = Tables(spark, d)
-    t.made["chart_entries"] = staged(t["chart_entries"], "chart_entries")
+    for name in names:
+        t.made[name] = staged(t[name], name)
     return t
 
 
 def _songs(spark: SparkSession, d: str) -> DataFrame:
-    t = _tables(spark, d)
+    t = _tables(spark, d, "chart_entries")
     before, after = t.sql(ENTRIES_BEFORE), t.sql(ENTRIES_AFTER)
     kept = _stored(t, incremental.SONG_CHARTS)
     kept.build(incremental.song_chart_rows(before))
@@ -53,7 +55,7 @@ def _songs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _artists(spark: SparkSession, d: str) -> DataFrame:
-    t = _tables(spark, d)
+    t = _tables(spark, d, "chart_entries", "song_features")
     entries, features = (t.sql(ENTRIES_BEFORE), t.sql(ENTRIES_AFTER)), (t.sql(FEATURES_BEFORE), t.sql(FEATURES_AFTER))
     kept = _stored(t, incremental.ARTIST_CHARTS)
     kept.build(incremental.artist_chart_rows(entries[0], features[0]))
@@ -62,7 +64,7 @@ def _artists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _certifications(spark: SparkSession, d: str) -> DataFrame:
-    t = Tables(spark, d)
+    t = _tables(spark, d, "certifications")
     before, after = t.sql(AWARDS_BEFORE), t.sql(AWARDS_AFTER)
     kept = _stored(t, incremental.CERTIFICATIONS)
     kept.build(incremental.certification_rows(before))
