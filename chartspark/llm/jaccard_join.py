@@ -7,7 +7,9 @@
    last that are frequent in some part of the corpus and in all of it (at most 1 / FREQUENT times
    the mean set size of them, so they can be broadcast), which keeps blocks small and changes no
    result. Blocks are found over ranges of equal size of the sorted (shingle, set) rows, so a
-   shingle of any frequency lies in as many ranges as it fills. Blocks with equal members count once.
+   shingle of any frequency lies in as many ranges as it fills. A member stays in a block only if it
+   may link with another one whose first common shingle this is: by their sizes and the places of the
+   shingle in both orders (``_partnered``). Blocks with equal members count once.
 3. In each block a signature tree gives pairs that may link, enough to connect all that could be
    connected (``signature_tree``). Their components are closed: no link leads out of one.
 4. Each set of such a component is sent once more, to its component, where a signature tree with wide
@@ -47,6 +49,8 @@ FREQUENT = 1 / 500
 FREQUENT_MOST = 250_000
 #: The most members, and shingles of them, that one task compares at once; more are dealt out in parts.
 HELD, HELD_SHINGLES = 8192, 4 << 20
+#: Bits of a place in a prefix. Shingles that differ in these bits only are one block, which loses no pair.
+PLACE = 16
 #: Bits for each key of a map that passes rows of wanted keys, and the most bits of a map (16 MB): beyond, more rows pass in
 #: vain and none is lost.
 SLOTS_EACH, SLOTS_MOST = 8, 1 << 27
@@ -84,6 +88,12 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def _placed(shingles: np.ndarray) -> np.ndarray:
+    """Shingles with their places, those from 2**PLACE - 1 on as that one, in place of their last PLACE bits."""
+    place = np.minimum(np.arange(len(shingles)), (1 << PLACE) - 1).astype(U)
+    return ((shingles >> U(PLACE) << U(PLACE)) | place).view(np.int64)
+
+
 def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
     """Shingles in at least FREQUENT of all documents by their counts in the parts of tasks where they are as frequent, sorted."""
 
@@ -103,7 +113,8 @@ def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``doc_id, n_shingles, node``, and once for each node and task ``prefix`` and ``bits``; ``text_hash`` too if ``docs`` has it."""
+    """``doc_id, n_shingles, node``, and once for each node and task ``prefix`` and ``bits``; ``text_hash`` too if ``docs`` has it.
+    A shingle of ``prefix`` holds its place there in its last PLACE bits: as many tokens, of fewer bits, and no other column."""
     keyed = "text_hash" in docs.columns
     last = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n))
 
@@ -127,7 +138,7 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     o = often[offsets[i] : offsets[i + 1]]
                     m = prefix_size(len(s), percent)
                     first = s[~o][:m]
-                    prefixes.append(np.concatenate([first, s[o][: m - len(first)]]).view(np.int64))
+                    prefixes.append(_placed(np.concatenate([first, s[o][: m - len(first)]])))
                     bits.append(st.bitmap(s, st.width_of(len(s))).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary()), *([part.column("text_hash")] if keyed else [])], names=["doc_id", "n_shingles", "node", "prefix", "bits", *["text_hash"] * keyed])
 
@@ -153,9 +164,26 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of blocks with at least two, from rows sorted by token and node, one batch at a time. The first row of a
-    block has sums over its members in this batch; where a batch ends inside a block, several rows have a part of them."""
+def _partnered(token: np.ndarray, size: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    """Of rows sorted by token, those of sets that may link with another set of their token whose first common shingle it is.
+
+    Sets x and y with the shingle at places p and q of their orders, and none in common before, have at most
+    min(|x| - p, |y| - q) in common. To link they need percent * (|x| + |y|) / (100 + percent), so each allows the other
+    a largest size. Any two that link do so at their first common shingle, which is in both prefixes."""
+    most = (100 + percent) * (size - at) // percent - size
+    apart = np.cumsum(np.r_[False, token[1:] != token[:-1]]) * (max(size.max(), most.max()) + 1)
+    order = np.lexsort((size, token))
+    allowed = (apart + most)[order]
+    first = np.r_[-1, np.maximum.accumulate(allowed)]  # the largest and second largest of what the smallest sets allow
+    second = np.r_[-1, np.maximum.accumulate(np.minimum(allowed, first[:-1]))]
+    small = np.searchsorted((apart + size)[order], apart + most, "right")
+    return np.where(size <= most, second[small], first[small]) >= apart + size  # a set of a size it allows is one of them itself
+
+
+def _members(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Members of blocks with at least two, from rows sorted by token (``_placed``) and node, one batch at a time. Blocks that lie inside
+    a batch lose the members that can link with no other there. The first row of a block has sums over its members in this
+    batch; where a batch ends inside a block, several rows have a part of them."""
     before = None
     for b in batches:
         if not b.num_rows:
@@ -163,19 +191,24 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, node, size = (b.column(c).to_numpy() for c in ("token", "node", "n"))
         once = np.r_[before != (token[0], node[0]), (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
         before = token[-1], node[-1]
-        token, node, size = token[once], node[once], size[once]
+        token, node, size = token[once], node[once], size[once].astype(np.int64)
         if not len(token):
             continue
+        token, at = token >> PLACE, token & ((1 << PLACE) - 1)
+        count = np.diff(np.flatnonzero(np.r_[True, token[1:] != token[:-1], True]))
+        edge, whole = np.zeros(len(count), bool), count > 1
+        edge[[0, -1]], whole[[0, -1]] = True, False
+        keep, whole = np.repeat(edge, count), np.flatnonzero(np.repeat(whole, count))
+        if len(whole):
+            keep[whole[_partnered(token[whole], size[whole], at[whole], percent)]] = True
+        token, node, size = token[keep], node[keep], size[keep]
         begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         count = np.diff(np.r_[begin, len(token)])
-        many = count > 1
-        many[[0, -1]] = True
-        keep = np.repeat(many, count)
-        first = np.zeros(len(token), bool)
-        first[begin] = True
-        sums = [np.repeat(x, count) for x in (*(np.bitwise_xor.reduceat(mix(node.view(U), k), begin).view(np.int64) for k in (31, 32)), count, np.add.reduceat(size.astype(np.int64), begin))]
-        none = pa.array(~first[keep])
-        yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(node[keep]), pa.array(size[keep]), *(pc.if_else(none, None, pa.array(x[keep])) for x in sums)], names=["token", "node", "n", "h1", "h2", "members", "load"])
+        none = np.ones(len(token), bool)
+        none[begin] = False
+        sums = (*(np.bitwise_xor.reduceat(mix(node.view(U), k), begin).view(np.int64) for k in (31, 32)), count, np.add.reduceat(size, begin))
+        none = pa.array(none)
+        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node), pa.array(size.astype(np.int32)), *(pc.if_else(none, None, pa.array(np.repeat(x, count))) for x in sums)], names=["token", "node", "n", "h1", "h2", "members", "load"])
 
 
 def _per_unit(batches: Iterator[pa.RecordBatch], links_of) -> Iterator[pa.RecordBatch]:
@@ -321,7 +354,7 @@ def _rooted(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> tuple[Da
     place = nodes.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
     tokens = nodes.where("prefix is not null").select(F.explode("prefix").alias("token"), "node", F.col("n_shingles").cast("int").alias("n"))
     tokens = tokens.repartitionByRange("token", "node").sortWithinPartitions("token", "node")
-    seen = written(tokens.mapInArrow(_members, "token long, node long, n int, h1 long, h2 long, members long, load long"), "members")
+    seen = written(tokens.mapInArrow(lambda it: _members(it, percent), "token long, node long, n int, h1 long, h2 long, members long, load long"), "members")
     sums = seen.where("members is not null").groupBy("token").agg(F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"), F.sum("members").alias("members"), F.sum("load").alias("load"))
     kept = sums.where("members > 1").groupBy("h1", "h2", "members", "load").agg(F.min("token").alias("token")).select("token", "members", "load")
     bits = nodes.where("bits is not null").select("node", "bits").dropDuplicates(["node"])
