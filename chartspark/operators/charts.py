@@ -7,7 +7,7 @@ key, so one plan fuses any number of charts.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,6 +99,8 @@ def weekly_rows(rows: DataFrame, slash: bool = False) -> DataFrame:
 CHART = ["chart_name", "chart_territory", "chart_week"]
 #: Columns that a batch may bring for its entries besides the keys.
 CARRIED = ("peak_position", "weeks_on_chart", "source")
+#: What a batch adds.
+PARTS = ("mentions", "songs", "features", "entries")
 
 
 def resolved(rows: DataFrame, artists: DataFrame, songs: DataFrame, provisional: bool = False, featured_provisional: bool = True, **known: DataFrame) -> dict[str, DataFrame]:
@@ -162,16 +164,18 @@ def trended(taken: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
-def persisted(rows: DataFrame, artists: DataFrame, songs: DataFrame, entries: DataFrame, features: DataFrame, provisional: bool = False) -> dict[str, DataFrame]:
+def persisted(rows: DataFrame, artists: DataFrame, songs: DataFrame, entries: DataFrame, features: DataFrame, provisional: bool = False, parts: Collection[str] = PARTS) -> dict[str, DataFrame]:
     """What a batch of canonical chart rows adds: ``mentions`` (artists resolved or created), ``songs``, ``features`` and
     ``entries`` with ``prev_rank, delta, trend``.
 
     ``rows``: seq, chart_name, chart_territory, chart_week, rank, artist, title, featured. Each step is written once and read
     by the next: the rows, who and what they name, the credited rows, the accepted entries. Featured artists that are new
-    are provisional, whatever the source is.
+    are provisional, whatever the source is. ``parts``: those that are wanted; entries are accepted only for ``entries``.
     """
-    rows, entries = staged(rows, "rows"), staged(entries.select(*CHART, "song_id", "position"), "entries")
-    found = resolved(rows, artists, songs, provisional)
-    taken = staged(accepted(found["credited"], entries), "taken")
+    found = resolved(staged(rows, "rows"), artists, songs, provisional)
     songs_found = found["titles"].where("entity_id is not null").select("seq", F.col("entity_id").alias("song_id"), F.col("matched_by").alias("song_matched_by"))
-    return {"mentions": found["mentions"], "songs": songs_found, "features": credited_features(found["credited"], found["mentions"], features), "entries": trended(taken, entries)}
+    out = {"mentions": found["mentions"], "songs": songs_found, "features": credited_features(found["credited"], found["mentions"], features)}
+    if "entries" in parts:
+        entries = staged(entries.select(*CHART, "song_id", "position"), "entries")
+        out["entries"] = trended(staged(accepted(found["credited"], entries), "taken"), entries)
+    return {part: out[part] for part in parts}

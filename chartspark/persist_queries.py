@@ -55,7 +55,7 @@ def _persisted(part: str) -> Query:
         t.made["chart_entries"] = entries
         guest = F.when(F.col("guest").isNotNull(), F.array("guest")).otherwise(F.array().cast("array<string>"))
         rows = t.sql(BATCH).withColumn("featured", guest).drop("guest")
-        return charts.persisted(rows, t["artists"], t["songs"], entries, t["song_features"])[part]
+        return charts.persisted(rows, t["artists"], t["songs"], entries, t["song_features"], parts=[part])[part]
 
     return run
 

@@ -153,3 +153,11 @@ def test_persistence_makes_each_step_once(spark):
     t = _tables(spark)
     plan = charts.persisted(rows, t["artists"], t["songs"], t["chart_entries"], t["song_features"])["entries"]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") < 10
+
+
+def test_a_part_of_a_batch_is_made_alone(spark, monkeypatch):
+    rows = spark.createDataFrame([(0, "c", "t", date(2020, 1, 3), 1, "Ann", "T", ["Bob"])], "seq int, chart_name string, chart_territory string, chart_week date, rank int, artist string, title string, featured array<string>")
+    t = _tables(spark)
+    monkeypatch.setattr(charts, "accepted", lambda *_: pytest.fail("entries are not asked for"))
+    got = charts.persisted(rows, t["artists"], t["songs"], t["chart_entries"], t["song_features"], parts=["features"])
+    assert list(got) == ["features"] and got["features"].count() == 1
